@@ -10,14 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
+from .ngram_join import ngram_join
 from .packing import pack
+from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,11 +41,21 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op7_packing, op8_token_files, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_exact_dedup, op6_ngram_join, op7_packing, op8_token_files, op9_byte_bpe)}
 
 
 #: Plain SQL for the operators whose whole result it can express.
 ORACLE_SQL = {
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS s FROM d),
+        windows AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS k FROM starts),
+        least AS (SELECT k, min(doc_id) AS m FROM windows GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM windows JOIN least USING (k) WHERE m < doc_id),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op3_exact_dedup": """
         WITH t AS (
           SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents
