@@ -12,8 +12,10 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .ngram_join import ngram_join
 from .packing import pack
+from .quality_classifier import quality_scores
 from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
+from .toxicity import toxicity_scores
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -40,8 +46,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_exact_dedup, op6_ngram_join, op7_packing, op8_token_files, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_exact_dedup, op5_quality_classifier, op6_ngram_join, op7_packing, op8_token_files, op9_byte_bpe, op10_toxicity)}
 
 
 #: Plain SQL for the operators whose whole result it can express.
