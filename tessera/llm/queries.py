@@ -13,9 +13,18 @@ from .exact_dedup import exact_dedup
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality_classifier import quality_scores
+from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity_scores
+from .url_filter import url_filter
+
+#: Fixed by the contract of op4.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +35,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_exact_dedup, op5_quality_classifier, op6_ngram_join, op7_packing, op8_token_files, op9_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_exact_dedup, op4_url_filter, op5_quality_classifier, op6_ngram_join, op7_packing, op8_token_files, op9_byte_bpe, op10_toxicity)}
 
 
 #: Plain SQL for the operators whose whole result it can express.
@@ -73,6 +86,19 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM t""",
+    "op4_url_filter": r"""
+        WITH rules(v, r) AS (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')),
+        parts AS (
+          SELECT page_id,
+                 translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+          FROM pages),
+        hits AS (
+          SELECT page_id, max({'n': length(r), 'r': r, 'v': v}) AS hit
+          FROM (SELECT DISTINCT page_id, host, path FROM parts)
+          JOIN rules ON starts_with(path, substr(r, instr(r, '/'))) AND ends_with('.' || host, '.' || substr(r, 1, instr(r, '/') - 1))
+          GROUP BY page_id)
+        SELECT page_id, host, path, hit.r AS rule, coalesce(hit.v, 'allow') AS verdict FROM parts LEFT JOIN hits USING (page_id)""",
 }
 
 
