@@ -2,16 +2,16 @@
 
 Documents are dealt to parts of a few MB by the hash of their ids; one shuffle of the texts serves all three readings.
 
-1. Each part hashes its windows (128 bits each, from hashes of words) and adds them to a count-min sketch of two rows. A part's share of the
+1. Each part hashes its windows (96 bits each, from hashes of words) and adds them to a count-min sketch of two rows. A part's share of the
    sketch is sparse, so it travels as sorted, compressed cell numbers, by blocks of cells; each block merges the shares of all parts and
    answers every part with those of its cells that are counted twice or more. A sketch never undercounts, so no repeated window is lost. The
    number of cells grows with the bytes of the corpus, which keeps the share of false positives constant; a block does not grow.
-2. Each part sends the windows that both rows estimate repeated to exact grouping by their 128 bits, once a part with its smallest document
+2. Each part sends the windows that both rows estimate repeated to exact grouping by their 96 bits, once a part with its smallest document
    id. A window that half of all documents share is thus one row a part. The grouping answers the parts that do not hold the smallest id.
 3. Each part marks the words of the windows that an earlier document holds, within the part or by the answer, and returns what is left.
 
 Defined results: a null text has no words; texts shorter than a window keep everything; rows without an id are left out; rows that repeat an
-id do not count against each other; other columns are ignored. Two different windows are taken for equal with a chance of 2^-128 a pair.
+id do not count against each other; other columns are ignored. Two different windows are taken for equal with a chance of 2^-96 a pair.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ PART_BYTES, BLOCK_BITS = 8 << 20, 24
 ROWS = 2
 
 SHARE = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("cells", pa.binary())])
-WINDOW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("part", pa.int64()), ("least", pa.int64())])
+WINDOW = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("part", pa.int64()), ("least", pa.int64())])
 
 
 def pack(cells: np.ndarray) -> bytes:
@@ -58,12 +58,12 @@ class Part:
         self.start, self.owner = window_starts(self.words.ptr, length)
         if len(self.start):
             self.h1 = window_hashes(a, length)[self.start]
-            self.h2 = window_hashes(joined(b, b), length)[self.start]
+            self.h2 = (window_hashes(joined(b, b), length)[self.start] >> np.uint64(32)).astype(np.uint32)
         else:
-            self.h1 = self.h2 = np.zeros(0, np.uint64)
+            self.h1, self.h2 = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
 
     def cells(self, row: int, bits: int) -> np.ndarray:
-        return (self.h1, self.h2)[row] >> np.uint64(64 - bits)
+        return (self.h1 if row == 0 else joined(self.h1, self.h2.astype(np.uint64))) >> np.uint64(64 - bits)
 
 
 def sketch(length: int, bits: int):
@@ -136,7 +136,7 @@ def estimated(length: int, bits: int):
         keep = keep[order]
         least = np.minimum.reduceat(part.doc[part.owner[keep]], first)
         one = keep[first]
-        return pa.table([part.h1[one].view(np.int64), part.h2[one].view(np.int64), np.full(len(one), key[0].as_py()), least], schema=WINDOW)
+        return pa.table([part.h1[one].view(np.int64), part.h2[one].view(np.int32), np.full(len(one), key[0].as_py()), least], schema=WINDOW)
 
     return windows
 
@@ -171,7 +171,7 @@ def leaving(length: int, with_text: bool):
     def rest(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         part = Part(texts, length)
         w = part.words
-        gone = removed(part, answers.column("h1").to_numpy().view(np.uint64), answers.column("h2").to_numpy().view(np.uint64))
+        gone = removed(part, answers.column("h1").to_numpy().view(np.uint64), answers.column("h2").to_numpy().view(np.uint32))
         before = np.concatenate([[0], np.cumsum(gone)])
         stay = np.flatnonzero(~gone)
         size = w.end[stay] - w.start[stay]
@@ -197,7 +197,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, id_col: str = "doc_id", t
     share = "block long, part long, cells binary"
     shares = dealt.groupBy("part").applyInArrow(sketch(length, bits), share)
     answers = shares.groupBy("block").applyInArrow(merge, share)
-    windows = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(estimated(length, bits), "h1 long, h2 long, part long, least long")
+    windows = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(estimated(length, bits), "h1 long, h2 int, part long, least long")
     everywhere = F.min("least").over(Window.partitionBy("h1", "h2"))
     earlier = windows.withColumn("first", everywhere).filter("first < least").select("part", "h1", "h2")
     out = dealt.groupBy("part").cogroup(earlier.groupBy("part")).applyInArrow(leaving(length, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
