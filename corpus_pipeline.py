@@ -1,11 +1,66 @@
-"""The corpus pipeline: labelled quality, exact and near copies, repeated passages, packing."""
+"""The corpus pipeline: learned quality, exact copies, near copies, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns of documents.
+Rows without a doc_id cannot be named, so no stage but the first, which judges rows where they lie, and the last, which leaves them out,
+acts on them. SQL cannot express a learned classifier, so there is no ORACLE_SQL; the tests hold each stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import prepare, stored, table
+from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.ngram_join import ngram_join
+from tessera.llm.packing import pack
+from tessera.llm.quality_classifier import fit, keep_good
+from tessera.llm.substring_dedup import substring_dedup
+
+FOLDS, HELD = 4, 2
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    labels = table(spark, sf_dir, "labels")
+    return keep_good(docs, fit(docs, labels, FOLDS, HELD))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    prepare(spark)
+    return docs.join(exact_dedup(docs).filter("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect the one with the smallest id stays."""
+    prepare(spark)
+    return docs.join(ngram_join(docs).filter("class_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds go; a document of which nothing is left goes too, one that loses nothing stays as it is."""
+    prepare(spark)
+    cut = stored(substring_dedup(docs, with_text=True).filter("n_removed > 0").select("doc_id", "kept_text"), "cut").dropDuplicates(["doc_id"])
+    out = docs.join(cut, "doc_id", "left").filter("kept_text is null or kept_text <> ''")
+    out = out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast("long"))
+    return out.withColumn("text", F.coalesce("kept_text", "text")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    prepare(spark)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality), ("exact_copies", exact_copies), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("packing", packing)]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -58,7 +58,11 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
         used[int(slope.argmax())] = True
         while True:
             cols = np.flatnonzero(used)
-            z = np.linalg.lstsq(a[:, cols], b, rcond=None)[0]
+            own = a[:, cols]
+            try:
+                z = np.linalg.solve(own.T @ own, own.T @ b)
+            except np.linalg.LinAlgError:
+                z = np.linalg.lstsq(own, b, rcond=None)[0]
             if (z > 0).all():
                 x[:] = 0
                 x[cols] = z

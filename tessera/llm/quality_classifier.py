@@ -105,6 +105,27 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, most: int = S
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
+def margins(texts: Texts, weights: np.ndarray) -> np.ndarray:
+    places, ptr = features(texts)
+    total = np.concatenate([[0.0], np.cumsum(weights[places], dtype=np.float64)])
+    return (total[ptr[1:]] - total[ptr[:-1]]) / np.maximum(1, np.diff(ptr))
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose texts score the threshold or more; no row moves."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(sigmoid(margins(Texts(b.column(text_col)), shared.value)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of whole texts. The weights, of a fixed size, are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
@@ -112,10 +133,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            places, ptr = features(Texts(b.column("text")))
-            total = np.concatenate([[0.0], np.cumsum(w[places], dtype=np.float64)])
-            margin = (total[ptr[1:]] - total[ptr[:-1]]) / np.maximum(1, np.diff(ptr))
-            yield batch(SCORED, doc_id=b.column("doc_id"), score=1 / (1 + np.exp(-np.clip(margin, -35, 35))))
+            yield batch(SCORED, doc_id=b.column("doc_id"), score=sigmoid(margins(Texts(b.column("text")), w)))
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     return texts.mapInArrow(run, "doc_id long, score double")
