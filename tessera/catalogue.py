@@ -1,29 +1,37 @@
-"""All driver queries of the library proper, by name."""
+"""All driver queries of the library proper, by name, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def keyed_extent_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
-    facts = lines.groupBy("l_suppkey").agg(F.count("*").alias("records"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
-    return facts.join(suppliers, facts["l_suppkey"] == suppliers["s_suppkey"], "left").select("l_suppkey", F.coalesce("s_name", F.lit("unknown")).alias("name"), "records", "least", "most")
+def query(sql: str | None = None):
+    """Registers a function of (table, spark), where table(name) reads one of the driver's tables."""
 
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
 
-QUERIES["keyed_extent_summary"] = keyed_extent_summary
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from .plans import geometry, graphs, summaries, trials, tracks  # noqa: F401  each registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
