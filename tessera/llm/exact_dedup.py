@@ -138,11 +138,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     differ = stored(differing(texts, members), "differing")
     grouped = prints.join(many, key, "left")
     if not differ.isEmpty():  # fingerprints that agree by chance: their texts are told apart by SHA-256
-        apart = grouped.join(differ.withColumn("apart", F.lit(True)), "id", "left").withColumn("class", F.when(F.col("apart"), F.col("text_sha256")))
-        again = apart.groupBy("keep_id", "class").agg(F.count("*").alias("again_size"), F.max("id").alias("again_id"))
-        grouped = apart.join(again, apart["keep_id"].eqNullSafe(again["keep_id"]) & apart["class"].eqNullSafe(again["class"])).select(
-            "id", "text_sha256", F.when(apart["keep_id"].isNotNull(), F.col("again_id")).alias("keep_id"), F.col("again_size").alias("group_size")
-        )
+        apart = differ.select("id", F.lit(True).alias("apart"))
+        rows = grouped.join(apart, "id", "left").select("id", "text_sha256", "keep_id", "group_size", F.when(F.col("apart"), F.col("text_sha256")).otherwise("").alias("class"))
+        shared = rows.filter("keep_id is not null")
+        again = shared.groupBy(F.col("keep_id").alias("first"), F.col("class").alias("its")).agg(F.count("*").alias("again_size"), F.max("id").alias("again_id"))
+        again = shared.join(again, (F.col("keep_id") == F.col("first")) & (F.col("class") == F.col("its"))).select("id", "text_sha256", F.col("again_id").alias("keep_id"), F.col("again_size").alias("group_size"))
+        grouped = again.unionByName(rows.filter("keep_id is null").select("id", "text_sha256", "keep_id", "group_size"))
     keep = F.coalesce(F.col("keep_id"), F.col("id"))
     size = F.when(F.col("keep_id").isNull(), 1).otherwise(F.col("group_size")).cast("long")
     return grouped.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), (keep == F.col("id")).alias("kept"), "text_sha256")
