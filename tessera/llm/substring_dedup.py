@@ -173,13 +173,16 @@ def leaving(length: int, with_text: bool):
         w = part.words
         gone = removed(part, answers.column("h1").to_numpy().view(np.uint64), answers.column("h2").to_numpy().view(np.uint32))
         before = np.concatenate([[0], np.cumsum(gone)])
-        stay = np.flatnonzero(~gone)
-        size = w.end[stay] - w.start[stay]
-        at = np.concatenate([[0], np.cumsum(size + 1)])
-        data = part.texts.bytes[np.minimum(spread(w.start[stay], size + 1), max(len(part.texts.bytes) - 1, 0))] if len(stay) else np.zeros(0, np.uint8)
-        data[at[1:] - 1] = 0x20
-        first = w.ptr - before[w.ptr]
-        kept = [data[at[s] : max(at[e] - 1, at[s])].tobytes() for s, e in zip(first[:-1], first[1:])]
+        kept: list[bytes] = []
+        for d in range(0, part.texts.n, 64):  # some documents at a time bound the index arrays, which are larger than the texts
+            ptr = w.ptr[d : d + 65]
+            stay = ptr[0] + np.flatnonzero(~gone[ptr[0] : ptr[-1]])
+            size = w.end[stay] - w.start[stay]
+            at = np.concatenate([[0], np.cumsum(size + 1)])
+            data = part.texts.bytes[np.minimum(spread(w.start[stay], size + 1), len(part.texts.bytes) - 1)] if len(stay) else np.zeros(0, np.uint8)
+            data[at[1:] - 1] = 0x20
+            first = (ptr - ptr[0]) - (before[ptr] - before[ptr[0]])
+            kept += [data[at[s] : max(at[e] - 1, at[s])].tobytes() for s, e in zip(first[:-1], first[1:])]
         more = {"kept_text": [x.decode() for x in kept]} if with_text else {}
         out = batch(schema, doc_id=part.doc, n_words=np.diff(w.ptr), n_removed=np.diff(before[w.ptr]), kept_sha256=[hashlib.sha256(x).hexdigest() for x in kept], **more)
         return pa.Table.from_batches([out])

@@ -42,7 +42,8 @@ def test_rules_are_found_and_ordered(spark):
     assert quality_rules.learn([]) == [] and quality_rules.learn(rows[:10]) == []
 
 
-def test_rules_need_no_python_on_executors(spark, docs, labels):
+def test_rules_need_no_python_on_executors(spark, labels):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = quality_rules.quality_rules(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "Exchange" not in plan
 
