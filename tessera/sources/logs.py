@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the format.
-MARKER, RECORD = "ATLAS_GROUND_META,", "ATLAS_GROUND,"
+MARKER, RECORD = "GROUND_META,", "GROUND,"
 FIELDS = ["index int", "hit int", "x double", "y double", "predicted_z double", "world_id int", "z double", "nx double", "ny double", "nz double", "kind string"]
 
 

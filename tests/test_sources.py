@@ -123,7 +123,7 @@ def test_tiles(spark, tmp_path):
 
 
 def log(world, count, rows, extra=""):
-    return [f"12:00 ATLAS_GROUND_META,world={world},count={count}", *[f"x ATLAS_GROUND,{k},1,1.0,2.0,3.0,{world},4.0,0,0,1,terrain{extra}" for k in rows], "noise"]
+    return [f"12:00 GROUND_META,world={world},count={count}", *[f"x GROUND,{k},1,1.0,2.0,3.0,{world},4.0,0,0,1,terrain{extra}" for k in rows], "noise"]
 
 
 def test_latest_run(spark):
@@ -132,5 +132,5 @@ def test_latest_run(spark):
     assert [r["kind"] for r in logs.latest_run(rows, 3, 2).orderBy("index").collect()] == ["terrain,new"] * 2
     with pytest.raises(ValueError):  # a broken newest run does not give way to an older one
         logs.latest_run(logs.parsed(frame(log(3, 2, [0, 1]) + log(3, 2, [0]))), 3, 2)
-    bad = logs.parsed(frame(["ATLAS_GROUND,1,2", "ATLAS_GROUND,-1,1,1,2,3,4,5,6,7,8,k"]))
+    bad = logs.parsed(frame(["GROUND,1,2", "GROUND,-1,1,1,2,3,4,5,6,7,8,k"]))
     assert [r["reject_reason"] for r in bad.orderBy("line").collect()] == ["fields", "values"]
