@@ -119,14 +119,15 @@ def least_reached(ids: np.ndarray, link: np.ndarray) -> np.ndarray:
 
 def verify(numerator: int, denominator: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = (x.as_py() for x in key[1:])
         comp, rep, size, side = (table.column(c).to_numpy() for c in ("component", "rep", "size", "side"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("ngrams").to_pylist()]
         order = np.lexsort((rep, comp))
         rows = []
         for own in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
             own = own[np.unique(rep[own], return_index=True)[1]]  # rows that repeat an id
-            link = linked([sets[i] for i in own], numerator, denominator)
-            if len({*side[own]}) > 1:  # two blocks: pairs within a block are another task's
+            link = linked([sets[k] for k in own], numerator, denominator)
+            if i < j:  # of two blocks, even if one is empty: pairs within a block are another task's
                 link &= side[own][:, None] != side[own]
             rows.append(np.stack([rep[own], link @ size[own], least_reached(rep[own], link), comp[own]]))
         return pa.table([*np.concatenate(rows, 1)], schema=LINKS)
@@ -178,7 +179,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5),
         "rep", "size", "component", "side", "ngrams",
         F.when(own, F.col("component")).otherwise(F.lit(-1)).alias("group"),
         F.when(own, F.least("side", "other")).otherwise(F.expr(f"pmod(xxhash64(component), {bundles}L)")).alias("i"),
-        F.when(own, F.greatest("side", "other")).otherwise(F.lit(0)).alias("j"),
+        F.when(own, F.greatest("side", "other")).otherwise(F.lit(0)).alias("j"),  # i < j only for two blocks of a component
     )
     found = stored(keyed.groupBy("group", "i", "j").applyInArrow(verify(*threshold), "rep long, links long, label long, component long"), "links")
     # components of several blocks: what each task connected is connected further

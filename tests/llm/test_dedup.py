@@ -123,6 +123,16 @@ def test_large_components_in_blocks(spark, monkeypatch):
     assert {c for c, _ in got.values()} == {0}
 
 
+def test_long_copies_beside_an_empty_block(spark, monkeypatch):
+    """Near copies that all fall into one of two blocks: the task of both blocks must not count them again."""
+    ids = [r["id"] for r in spark.range(40).filter("pmod(xxhash64(id), 2) = 0").collect()][:3]
+    for m in (2, 3):
+        rows = [(i, " ".join(f"own{k}" if w == k else f"w{w}" for w in range(304))) for k, i in enumerate(ids[:m])]
+        monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", 300 * m // 2)
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: (min(ids[:m]), m - 1) for i in ids[:m]}
+
+
 def test_banding_reaches_recall():
     b, r = ngram_join.banding(0.8, 0.999999)
     assert 1 - (1 - 0.8**r) ** b >= 0.999999
