@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,18 +109,78 @@ def run_lengths(data: bytes, literal_first: bool, bias: int, want: int) -> bool:
     return made == want
 
 
-def codec_scan(voxels: DataFrame, want: int = 17**3, offsets: range = range(5)) -> DataFrame:
-    """(literal_first, bias, offset, records): how many payloads each run-length codec explains to the last byte."""
-    schema = pa.schema([("literal_first", pa.bool_()), ("bias", pa.int32()), ("offset", pa.int32())])
-    models = [*itertools.product((False, True), (0, 1, 2, 3), offsets)]
+def packbits(data: bytes, want: int) -> bool:
+    """Whether the data are exactly so many values in PackBits: 128 does nothing, above it a value is repeated 257 - control times."""
+    at, made = 0, 0
+    while at < len(data):
+        c = data[at]
+        at += 1
+        if c == 128:
+            continue
+        n = c + 1 if c < 128 else 257 - c
+        at += n if c < 128 else 1
+        made += n
+        if made > want or at > len(data):
+            return False
+    return made == want
+
+
+#: What a stored count stands for; None rejects a count of zero.
+COUNTS = {
+    "count": lambda n: n if n.all() else None,
+    "count+1": lambda n: n + 1,
+    "zero=256": lambda n: np.where(n == 0, 256, n),
+}
+
+
+def count_sum(data: bytes, width: int, at: int, dtype: str, counts: str, want: int) -> bool:
+    """Whether the data are records of so many bytes, whose counts (of a type, at a place in the record) sum to so many values."""
+    if not data or len(data) % width:
+        return False
+    n = np.ndarray(len(data) // width, dtype, data, at, (width,)).astype(np.int64)
+    n = COUNTS[counts](n)
+    return n is not None and int(n.sum()) == want
+
+
+def codecs_of_runs() -> dict[tuple[str, bool | None, int | None], Callable[[bytes, int], bool]]:
+    """By (codec, literal_first, bias), which are null but for runs by a high bit."""
+    out = {}
+    for order, first in (("count-value", True), ("value-count", False)):
+        for c in COUNTS:
+            out[f"rle8/{order}/{c}", None, None] = partial(count_sum, width=2, at=0 if first else 1, dtype="u1", counts=c)
+        for short, dtype in (("be", ">u2"), ("le", "<u2")):
+            for c in ("count", "count+1"):
+                out[f"rle16{short}/{order}/{c}", None, None] = partial(count_sum, width=3, at=0 if first else 1, dtype=dtype, counts=c)
+    for c in COUNTS:
+        out[f"run-sum/{c}", None, None] = partial(count_sum, width=1, at=0, dtype="u1", counts=c)
+    out["packbits", None, None] = packbits
+    for literal_first, bias in itertools.product((False, True), (0, 1, 2, 3)):
+        out[f"highbit/{int(not literal_first)}=repeat", literal_first, bias] = partial(run_lengths, literal_first=literal_first, bias=bias)
+    return out
+
+
+def codec_scan(voxels: DataFrame, want: int = 17**3, offsets: range = range(5), modes: tuple[int, ...] = (4, 5)) -> DataFrame:
+    """(codec, literal_first, bias, framed, mode, offset, records): how many payloads each run-length codec explains to the last byte.
+
+    Offsets count from the payload's start, or where framed from the body of a frame (mode, length of two bytes, body) that fits exactly. The
+    mode is "all", or the first byte of the payloads counted. What explains no payload has no row.
+    """
+    schema = pa.schema([("codec", pa.string()), ("literal_first", pa.bool_()), ("bias", pa.int32()), ("framed", pa.bool_()), ("mode", pa.string()), ("offset", pa.int32())])
+    models = codecs_of_runs()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits = [m for data in b.column("payload").to_pylist() for m in models if data and run_lengths(data[m[2] :], m[0], m[1], want)]
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, m)) for m in hits], schema)
-
-    hits = voxels.filter("reject_reason is null").select("payload").mapInArrow(run, "literal_first boolean, bias int, offset int")
-    return hits.groupBy("literal_first", "bias", "offset").agg(F.count("*").alias("records"))
+            hits = []
+            for data in filter(None, b.column("payload").to_pylist()):
+                own = ["all"] + [f"{m:02x}" for m in modes if data[0] == m]
+                starts = [(False, 0)] + [(True, 3)] * (len(data) >= 3 and int.from_bytes(data[1:3], "big") == len(data) - 3)
+                for (framed, start), offset in itertools.product(starts, offsets):
+                    rest = data[start + offset :]
+                    hits += [(*model, framed, mode, offset) for model, fits in models.items() if fits(rest, want=want) for mode in own]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, h)) for h in hits], schema)
+
+    hits = voxels.filter("reject_reason is null").select("payload").mapInArrow(run, "codec string, literal_first boolean, bias int, framed boolean, mode string, offset int")
+    return hits.groupBy(schema.names).agg(F.count("*").alias("records"))
 
 
 def mask_scan(voxels: DataFrame, want: int = 17**3, offsets: range = range(9)) -> DataFrame:

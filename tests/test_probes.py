@@ -42,6 +42,34 @@ def test_codec_and_mask_scans(spark):
     assert (1, True, 4) in got and (1, True, 5) not in got
 
 
+def test_codec_scan_holds_every_codec(spark):
+    """A payload for each codec of the survey's M2, of 300 values, in a frame and two bytes after its head."""
+    bodies = {}
+    for name, counts in (("count", [200, 100]), ("count+1", [199, 99]), ("zero=256", [0, 44])):
+        bodies[f"rle8/count-value/{name}"] = bytes([counts[0], 7, counts[1], 9])
+        bodies[f"rle8/value-count/{name}"] = bytes([7, counts[0], 9, counts[1]])
+        bodies[f"run-sum/{name}"] = bytes(counts)
+    for end, short in ((">", "be"), ("<", "le")):
+        for name, n in (("count", 300), ("count+1", 299)):
+            bodies[f"rle16{short}/count-value/{name}"] = struct.pack(end + "HB", n, 7)
+            bodies[f"rle16{short}/value-count/{name}"] = struct.pack(end + "BH", 7, n)
+    bodies["packbits"] = bytes([129, 7, 128, 129, 8, 43]) + bytes(range(44))  # 128 + 128 + 44
+    bodies["highbit/1=repeat"] = bytes([255, 7, 255, 8, 43]) + bytes(range(44))
+    bodies["highbit/0=repeat"] = bytes([127, 7, 127, 8, 128 | 43]) + bytes(range(44))
+    assert len(bodies) == 20
+    df = voxels(spark, [bytes([4 + k % 2]) + struct.pack(">H", len(x) + 2) + b"zz" + x for k, x in enumerate(bodies.values())] + [b"", b"\x04"])
+    got = {(r["codec"], r["bias"], r["framed"], r["mode"], r["offset"]): r["records"] for r in P.codec_scan(df, want=300).collect()}
+    for k, name in enumerate(bodies):
+        bias = 1 if "highbit" in name else None
+        assert got[name, bias, True, "all", 2] >= 1 and got[name, bias, True, f"0{4 + k % 2}", 2] >= 1, name
+    modes = lambda m: {(c, b, o): n for (c, b, framed, mode, o), n in got.items() if framed and mode == m}
+    every = modes("all")
+    assert every == {x: modes("04").get(x, 0) + modes("05").get(x, 0) for x in every}
+    assert got["packbits", None, True, "all", 2] == 1 and got["rle16be/count-value/count", None, True, "all", 2] == 1
+    assert {r["codec"] for r in P.codec_scan(voxels(spark, [bytes([200, 7, 0, 9, 100, 1])]), want=300, offsets=range(1)).collect()} == set()  # a count of zero
+    assert P.codec_scan(voxels(spark, [b"\x04\x00\x09" + bodies["packbits"]]), want=300).filter("framed").count() == 0  # not the length that it declares
+
+
 def test_key_profile(spark):
     df = spark.createDataFrame([(1, 0, None, None, "table", None), (1, 1, "string", "a", "int", None), (2, 1, "string", "a", "float", None), (2, 1, "int", None, "int", None), (3, None, None, None, None, "bad")], "row_id int, depth int, key_kind string, key_str string, value_kind string, reject_reason string")
     assert {(r["key"], r["value_kind"]): r["records"] for r in P.key_profile(df).filter(F.col("depth") == 1).collect()} == {("a", "int"): 1, ("a", "float"): 1, ("#int", "int"): 1}
