@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns of documents.
 Rows without a doc_id cannot be named, so no stage but the first, which judges rows where they lie, and the last, which leaves them out,
-acts on them. SQL cannot express a learned classifier, so there is no ORACLE_SQL; the tests hold each stage against a brute-force version.
+acts on them. Rows that repeat an id are documents of their own: each is judged, dropped or cut by its own text, and among them the order of
+their texts (then of their other columns) stands for that of ids. SQL cannot express a learned classifier, so there is no ORACLE_SQL; the tests hold each stage against a brute-force version.
 """
 
 from __future__ import annotations
@@ -21,6 +22,14 @@ from tessera.llm.substring_dedup import substring_dedup
 FOLDS, HELD = 4, 2
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents and the column that tells their rows apart: doc_id or, where ids repeat, the rows' number in the order of id and text."""
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs, "doc_id"
+    ordered = docs.orderBy("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    return stored(ordered.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows"), "_row"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = table(spark, sf_dir, "labels")
@@ -28,22 +37,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays; of rows that repeat both id and text one."""
     prepare(spark)
-    return docs.join(exact_dedup(docs).filter("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    rows, key = told_apart(docs)
+    return rows.join(exact_dedup(rows, key).filter("not kept").select(key), key, "left_anti").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect the one with the smallest id stays."""
+    """Of documents that links connect the one with the smallest id stays; of rows that repeat an id only those go that a link connects to an
+    earlier one."""
     prepare(spark)
-    return docs.join(ngram_join(docs).filter("class_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    rows, key = told_apart(docs)
+    return rows.join(ngram_join(rows, id_col=key).filter(f"class_id <> {key}").select(key), key, "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds go; a document of which nothing is left goes too, one that loses nothing stays as it is."""
+    """Passages that an earlier document holds go; a document of which nothing is left goes too, one that loses nothing stays as it is. Rows
+    that repeat an id lose their own passages only, also those that an earlier row of the id holds."""
     prepare(spark)
-    cut = stored(substring_dedup(docs, with_text=True).filter("n_removed > 0").select("doc_id", "kept_text"), "cut").dropDuplicates(["doc_id"])
-    out = docs.join(cut, "doc_id", "left").filter("kept_text is null or kept_text <> ''")
+    rows, key = told_apart(docs)
+    cut = stored(substring_dedup(rows, id_col=key, with_text=True).filter("n_removed > 0").select(key, "kept_text"), "cut")
+    out = rows.join(cut, key, "left").filter("kept_text is null or kept_text <> ''")
     out = out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast("long"))
     return out.withColumn("text", F.coalesce("kept_text", "text")).select(docs.columns)
 
