@@ -8,7 +8,8 @@ from ..catalogue import query
 from ..operators import graph as G
 from .summaries import nation_pairs
 
-#: Nations are nodes; a customer nation and a supplier nation that trade often enough are joined, at a length of whole numbers.
+#: Nations are nodes; a customer nation and a supplier nation that trade are joined, at a length of whole numbers, but only pairs that their
+#: ids choose (about a quarter): how often they trade (n) is not asked. The SQL makes the same choice.
 FLOW = """SELECT s_nationkey AS a, c_nationkey AS b, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL"""
 EDGES = f"SELECT a, b, (1 + (a * 7 + b * 13) % 11)::BIGINT AS length, (a + b) % 2 = 0 AS contact FROM ({FLOW}) WHERE a <> b AND (a * 3 + b * 5) % 4 = 0"
 
