@@ -99,6 +99,16 @@ def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray, EliasFano]:
     return docs, ids, EliasFano.from_bytes(data[at : at + n_ends])
 
 
+def block_rows(data: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(document id, start within the block, ids, their CRC-32) of each document; its end is selected from the boundaries, one at a time."""
+    docs, ids, ends = read_block(data)
+    start = 0
+    for i, doc in enumerate(docs.tolist()):
+        end = ends[i]
+        yield doc, start, end - start, zlib.crc32(ids[start:end].astype("<u4"))
+        start = end
+
+
 BLOCK = pa.schema([("shard", pa.int32()), ("block_no", pa.int64()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("block", pa.binary())])
 ROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -152,11 +162,7 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, _, ids_before, _, data in zip(*(b.column(i).to_pylist() for i in range(5))):
-                docs, ids, ends = read_block(data)
-                end = ends.all()
-                start = np.concatenate([[0], end[:-1]])
-                wide = ids.astype("<u4")
-                crc = [zlib.crc32(wide[s:e]) for s, e in zip(start, end)]
-                yield batch(ROW, doc_id=docs, start=start + base[shard] + ids_before, n_tokens=end - start, ids_crc32=crc)
+                doc, start, n, crc = zip(*block_rows(data))
+                yield batch(ROW, doc_id=doc, start=[s + base[shard] + ids_before for s in start], n_tokens=n, ids_crc32=crc)
 
     return blocks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -81,6 +81,15 @@ def test_block_round_trip():
     assert docs.tolist() == [3, 9, 12] and (back == ids).all() and ends.all().tolist() == [1, 69_999, 70_000]
 
 
+def test_rows_of_a_block_are_read_by_select(monkeypatch):
+    lengths = np.random.default_rng(4).integers(1, 9, 700).tolist()
+    ids = np.arange(sum(lengths), dtype=np.uint32)
+    data = token_files.write_block([*range(700)], lengths, ids)
+    monkeypatch.setattr(token_files.EliasFano, "all", None)  # no table of all boundaries
+    at = [0, *np.cumsum(lengths).tolist()]
+    assert [*token_files.block_rows(data)] == [(i, at[i], n, zlib.crc32(ids[at[i] : at[i + 1]].astype("<u4"))) for i, n in enumerate(lengths)]
+
+
 @pytest.fixture(scope="module")
 def reference():
     return tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(MULTI), special_tokens={})
