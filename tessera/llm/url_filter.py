@@ -6,7 +6,7 @@ each level is a fraction of the one before. Filters are built by bit_or over wor
 a cascade are counted before it is shipped; beyond the limit membership is a semi-join instead.
 
 Defined results: a null url, or one without "://", has an empty host and path and fits no rule; rows that repeat an id are judged each;
-other columns are ignored; without rules everything is allowed.
+other columns are ignored; without rules everything is allowed; of a rule listed with several verdicts the first in their order holds.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def candidate_keys(lengths: list[int]) -> Column:
     return F.expr(f"CASE WHEN host = '' THEN cast(array() as array<string>) ELSE flatten(transform({domains}, d -> transform({paths}, p -> concat(d, p)))) END")
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row for each page: id, host, path, rule (the longest that fits, else null), verdict. rules: (verdict, host and path)."""
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -115,10 +115,13 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     cascades = {}
     for verdict in sorted({v for v, _ in rules}):
         listed = spark.createDataFrame([(r,) for v, r in rules if v == verdict], "key string")
-        cascades[verdict] = Cascade.build(listed, universe)
+        cascades[verdict] = Cascade.build(listed, universe, most_bytes)
     if any(c is None for c in cascades.values()):
-        hits = urls.select("*", F.explode_outer("keys").alias("key")).join(spark.createDataFrame([(r, v) for v, r in rules], "key string, v string"), "key", "left")
-        best = hits.groupBy("page_id", "host", "path").agg(F.max(F.when(F.col("v").isNotNull(), F.struct(F.length("key").alias("n"), F.col("key").alias("key"), F.col("v").alias("verdict")))).alias("hit"))
+        verdicts = {r: v for v, r in sorted(rules, reverse=True)}  # the first of a rule's verdicts, as in the cascades
+        places = urls.select("host", "path", "keys").distinct().select("host", "path", F.explode("keys").alias("key"))
+        hits = places.join(spark.createDataFrame([*verdicts.items()], "key string, v string"), "key")
+        hits = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("key"), F.col("v").alias("verdict"))).alias("hit"))
+        best = urls.join(hits, ["host", "path"], "left")
     else:
         found = lambda k: F.coalesce(*[F.when(c.contains(k), F.lit(v)) for v, c in cascades.items()])
         judged = urls.withColumn("judged", F.transform("keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), found(k).alias("verdict"))))

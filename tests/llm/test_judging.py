@@ -69,6 +69,16 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.url_filter(df, []).collect()} == {"allow"}
 
 
+def test_beyond_the_limit_rows_are_judged_each(spark):
+    prepare(spark)
+    rules = URL_RULES + [("block", "net/de/"), ("allow", "org/es/")]
+    rows = [(1, "http://x.com/en/1")] * 3 + [(2, "http://a.net/de/1"), (None, "http://a.org/es/1"), (None, "http://a.org/es/1"), (3, None), (3, None), (4, "http://q/x")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    small, large = ([tuple(r) for r in url_filter.url_filter(df, rules, most_bytes=m).collect()] for m in (0, url_filter.MOST_BYTES))
+    assert sorted(small, key=str) == sorted(large, key=str) and len(small) == len(rows)
+    assert {r[4] for r in small if r[3] in ("net/de/", "org/es/")} == {"allow"}
+
+
 def test_cascade_is_exact_and_bounded(spark):
     universe = spark.range(3000).select(F.concat(F.lit("key"), F.col("id")).alias("key"))
     listed = universe.filter(F.crc32("key") % 7 == 0)
