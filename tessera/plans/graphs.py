@@ -91,10 +91,16 @@ def grid_components(table, spark):
     return whole.groupBy("component").agg(F.count("*").alias("cells"))
 
 
+#: How far the values of a click and a purchase may differ.
+TOLERANCE = 0.5
+
+
 @query()
 def greedy_assignment(table, spark):
-    """Orders to clicks of the same value bucket, cheapest pair first, each used once."""
-    e = table("events").select("event_id", "event_type", "value", F.floor(F.col("value") * 2).alias("cell"))
-    l = e.filter("event_type = 'click'").select(F.col("event_id").alias("l"), F.col("value").alias("vl"), "cell")
+    """Purchases to clicks whose values differ by the tolerance at most, cheapest pair first, each used once."""
+    cell = F.floor(F.col("value") / TOLERANCE).cast("long")
+    e = table("events").select("event_id", "event_type", "value", cell.alias("cell"))
+    l = e.filter("event_type = 'click'").select(F.col("event_id").alias("l"), F.col("value").alias("vl"), F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])).alias("cell"))
     r = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("r"), F.col("value").alias("vr"), "cell")
-    return G.mutual_nearest(l.join(r, "cell").select("l", "r", F.abs(F.col("vl") - F.col("vr")).alias("d")))
+    d = F.abs(F.col("vl") - F.col("vr"))
+    return G.mutual_nearest(l.join(r, "cell").filter(d <= TOLERANCE).select("l", "r", d.alias("d")))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph, relational, series, spatial
 from tessera.operators.search import interleaved, search, terms
+from tessera.plans import graphs
 
 
 def rows(df, *cols):
@@ -111,6 +112,21 @@ def test_greedy_matching(spark):
     assert rows(graph.mutual_nearest(spark.createDataFrame(pairs, "l int, r int, d double")), "l", "r") == sorted(want)
 
 
+def test_assignment_pairs_all_values_within_the_tolerance(spark):
+    """Against brute force, also across the borders of cells."""
+    rng = random.Random(8)
+    events = [(k, rng.choice(["click", "purchase", "view"]), rng.uniform(-3, 9)) for k in range(90)]
+    events += [(100, "click", 20.001), (101, "purchase", 19.999), (102, "click", 30.0), (103, "purchase", 30.5), (104, "click", 40.0), (105, "purchase", 40.51), (106, "click", None)]
+    df = spark.createDataFrame(events, "event_id long, event_type string, value double")
+    near = [(abs(v - w), l, r) for l, t, v in events if t == "click" and v is not None for r, u, w in events if u == "purchase" and abs(v - w) <= 0.5]
+    want, used = [], set()
+    for _, l, r in sorted(near):
+        if not {l, r} & used:
+            used |= {l, r}
+            want.append((l, r))
+    assert rows(graphs.greedy_assignment(lambda name: df, spark), "l", "r") == sorted(want) and {(100, 101), (102, 103)} < {*want}
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "Red Cave", "a"), (2, "red pocket", "b"), (3, "blue cave", "a")], "i int, t string, g string")
     assert rows(search(df, " RED  ca", F.col("t")), "i") == [(1,)]
