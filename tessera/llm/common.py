@@ -37,9 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. Only where it is unset, as in tests, a temporary one."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only where it is unset and Spark is local, as in tests, a
+    temporary one; on a cluster without it no executor could read what another wrote."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _scratch:
             _scratch.append(tempfile.mkdtemp(prefix="tessera-"))
         base = f"file://{_scratch[0]}"
@@ -149,6 +152,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Sum of values[ptr[i]:ptr[i + 1]] for each i, added in order, so that it does not depend on what stands around it."""
+    out = np.zeros(len(ptr) - 1)
+    full = np.flatnonzero(ptr[1:] > ptr[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(np.asarray(values, np.float64), ptr[:-1][full])
+    return out
+
+
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The hash of a sequence from the hashes of its two parts, in order."""
     return mixed(left * np.uint64(0x9E3779B97F4A7C15) + (right ^ np.uint64(0xA0761D6478BD642F)))

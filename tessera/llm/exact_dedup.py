@@ -5,8 +5,8 @@ length-shifted arithmetic, H(AB) = H(A) * base^len(B) + H(B), so a huge document
 fingerprint agree are then compared chunk by chunk with the one that stays, as rows that hold one chunk each.
 
 Defined results: a null text counts as empty, empty texts are equal to each other; ASCII capitals count as small letters; rows without an
-id are left out, as no result can name them; rows that repeat an id are members like any other and share one verdict; other columns are
-ignored, whatever their names.
+id are left out, as no result can name them; rows that repeat an id are judged each by its own text, and those that repeat id and text share
+one verdict; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import Texts, batch, stored
 
 #: Coefficients (of three bytes each) of a chunk.
 CHUNK_UNITS = 1 << 14
+#: Coefficients that are hashed at once; each takes some tens of bytes.
+AT_ONCE = 1 << 20
 #: Primes under 2^31 with a base each; four lanes make a fingerprint of 124 bits.
 LANES = ((2147483647, 1103515245), (2147483629, 1812433253), (2147483647, 1664525009), (2147483629, 1566083941))
 #: A salted share of a group holds so many documents and so many bytes at most.
@@ -51,33 +53,43 @@ def combine(lane: int, left: np.ndarray, right: np.ndarray, right_units: np.ndar
     return (left * powers(lane)[right_units] + right) % p
 
 
+def chunk_hashes(texts: Texts, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes by lane, units) of chunks of the bytes, so many at a time that the arrays stay small whatever the texts' length."""
+    units = -(-size // 3)
+    out = np.zeros((len(LANES), len(start)), np.uint64)
+    first = np.concatenate([[0], np.cumsum(units)])
+    s = 0
+    while s < len(start):
+        e = max(s + 1, int(np.searchsorted(first, first[s] + AT_ONCE, side="right")) - 1)
+        at = first[s : e + 1] - first[s]
+        padded = np.zeros(3 * int(at[-1]), np.uint8)
+        for k in range(s, e):
+            padded[3 * at[k - s] : 3 * at[k - s] + size[k]] = texts.bytes[start[k] : start[k] + size[k]]
+        c = padded.reshape(-1, 3).astype(np.uint64)
+        c = (c[:, 0] << np.uint64(16)) | (c[:, 1] << np.uint64(8)) | c[:, 2]
+        power = np.repeat(at[1:] - 1, units[s:e]) - np.arange(len(c))
+        for lane, (p, _) in enumerate(LANES):
+            out[lane, s:e] = np.add.reduceat(c * powers(lane)[power] % np.uint64(p), at[:-1]) % np.uint64(p)
+        s = e
+    return out, units
+
+
 def fingerprints(texts: Texts) -> np.ndarray:
     """(n, 2) int64: two lanes of 31 bits in each."""
+    step = 3 * CHUNK_UNITS
     size = np.diff(texts.at)
-    units = -(-size // 3)
-    at = np.concatenate([[0], np.cumsum(units)])
-    padded = np.zeros(3 * int(at[-1]), np.uint8)
-    for i in np.flatnonzero(size):
-        padded[3 * at[i] : 3 * at[i] + size[i]] = texts.bytes[texts.at[i] : texts.at[i + 1]]
-    c = padded.reshape(-1, 3).astype(np.uint64)
-    c = (c[:, 0] << np.uint64(16)) | (c[:, 1] << np.uint64(8)) | c[:, 2]
-    chunks = -(-units // CHUNK_UNITS)
+    chunks = -(-size // step)
     first = np.concatenate([[0], np.cumsum(chunks)])
     owner = np.repeat(np.arange(texts.n), chunks)
-    nth = np.arange(int(first[-1])) - first[:-1][owner]
-    start = at[:-1][owner] + nth * CHUNK_UNITS
-    length = np.minimum(CHUNK_UNITS, units[owner] - nth * CHUNK_UNITS)
-    power = np.repeat(start + length - 1, length) - np.arange(len(c))
+    within = (np.arange(int(first[-1])) - first[:-1][owner]) * step
+    hashed, units = chunk_hashes(texts, texts.at[:-1][owner] + within, np.minimum(step, size[owner] - within))
     out = np.zeros((texts.n, len(LANES)), np.uint64)
-    for lane, (p, _) in enumerate(LANES):
-        if not len(c):
-            break
-        hashed = np.add.reduceat(c * powers(lane)[power] % np.uint64(p), start) % np.uint64(p)
+    for lane in range(len(LANES)):
         h = np.zeros(texts.n, np.uint64)
         for k in range(int(chunks.max(initial=0))):
             i = np.flatnonzero(chunks > k)
             j = first[:-1][i] + k
-            h[i] = combine(lane, h[i], hashed[j], length[j])
+            h[i] = combine(lane, h[i], hashed[lane, j], units[j])
         out[:, lane] = h
     return np.stack([(out[:, 0] << np.uint64(31)) | out[:, 1], (out[:, 2] << np.uint64(31)) | out[:, 3]], 1).astype(np.int64)
 
@@ -89,7 +101,9 @@ def normalised(column: pa.Array) -> Texts:
 
 
 PRINT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("fp_a", pa.int64()), ("fp_b", pa.int64()), ("text_sha256", pa.string())])
-CHUNKS = pa.schema([("id", pa.int64()), ("rep", pa.int64()), ("salt", pa.int64()), ("chunk_no", pa.int64()), ("chunk", pa.binary())])
+KEY = ["n_bytes", "fp_a", "fp_b"]
+CHUNK_DDL = "id long, text_sha256 string, n_bytes long, fp_a long, fp_b long, stays boolean, salt long, chunk_no long, chunk binary"
+CHUNKS = pa.schema([("id", pa.int64()), ("text_sha256", pa.string()), *[(k, pa.int64()) for k in KEY], ("stays", pa.bool_()), ("salt", pa.int64()), ("chunk_no", pa.int64()), ("chunk", pa.binary())])
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,14 +114,16 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of the rows that are meant: an id may have other texts too, which the SHA-256 of the row tells apart."""
     step = 3 * CHUNK_UNITS
     for b in batches:
         t = normalised(b.column("text"))
         rows: list[tuple] = []
-        ids, reps, salts = (b.column(x).to_pylist() for x in ("id", "rep", "salt"))
-        for i in range(t.n):
+        for i, r in enumerate(zip(*(b.column(c).to_pylist() for c in CHUNKS.names[:7]))):
+            if hashlib.sha256(t.text(i)).hexdigest() != r[1]:
+                continue
             for k, s in enumerate(range(int(t.at[i]), int(t.at[i + 1]), step)):
-                rows.append((ids[i], reps[i], salts[i], k, t.bytes[s : min(s + step, int(t.at[i + 1]))].tobytes()))
+                rows.append((*r, k, t.bytes[s : min(s + step, int(t.at[i + 1]))].tobytes()))
                 if len(rows) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), CHUNKS)], schema=CHUNKS)
                     rows = []
@@ -116,34 +132,34 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def differing(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """ids of members (id, rep, shares) whose text is not that of rep. One row holds one chunk, and a key one share of a group."""
-    other = members.filter("id <> rep").select("id", "rep", F.expr("pmod(xxhash64(id), shares)").alias("salt"))
-    stays = members.filter("id = rep").dropDuplicates(["id"]).select("id", "rep", F.explode(F.expr("sequence(0L, shares - 1)")).alias("salt"))
-    keyed = texts.join(other.unionByName(stays), "id").select("id", "rep", "salt", "text")
-    chunk = keyed.mapInArrow(_chunks, "id long, rep long, salt long, chunk_no long, chunk binary")
-    mine = chunk.filter("id <> rep")
-    its = chunk.filter("id = rep").select("rep", "salt", "chunk_no", F.col("chunk").alias("its"))
-    return mine.join(its, ["rep", "salt", "chunk_no"]).filter("chunk <> its").select("id").distinct()
+    """(id, text_sha256) of members whose text is not that of their group's row that stays. One row holds one chunk, a key one share of a
+    group. members: id, text_sha256, the fingerprint, stays, shares; a row each for id and text."""
+    other = members.filter("not stays").withColumn("salt", F.expr("pmod(xxhash64(id), shares)"))
+    stays = members.filter("stays").withColumn("salt", F.explode(F.expr("sequence(0L, shares - 1)")))
+    keyed = texts.join(other.unionByName(stays).drop("shares"), "id").select("id", "text_sha256", *KEY, "stays", "salt", "text")
+    chunk = keyed.mapInArrow(_chunks, CHUNK_DDL)
+    mine = chunk.filter("not stays")
+    its = chunk.filter("stays").groupBy(*KEY, "salt", "chunk_no").agg(F.first("chunk").alias("its"))
+    return mine.join(its, [*KEY, "salt", "chunk_no"]).filter("chunk <> its").select("id", "text_sha256").distinct()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, keep_id (the largest id among equal texts), group_size, kept, text_sha256."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     prints = stored(texts.mapInArrow(_prints, "id long, n_bytes long, fp_a long, fp_b long, text_sha256 string"), "prints")
-    key = ["n_bytes", "fp_a", "fp_b"]
-    many = prints.groupBy(*key).agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id")).filter("group_size > 1")
-    many = stored(many, "groups")
+    many = prints.groupBy(*KEY).agg(F.count("*").alias("group_size"), F.max(F.struct("id", "text_sha256")).alias("first")).filter("group_size > 1")
+    many = stored(many.select(*KEY, "group_size", F.col("first.id").alias("keep_id"), F.col("first.text_sha256").alias("keep_sha256")), "groups")
     shares = f"greatest(1L, ceil(group_size / {SHARE_ROWS}), ceil(group_size * n_bytes / {SHARE_BYTES}))"
-    members = prints.join(many, key).select("id", F.col("keep_id").alias("rep"), F.expr(shares).alias("shares"))
-    differ = stored(differing(texts, members), "differing")
-    grouped = prints.join(many, key, "left")
+    stays = (F.col("id") == F.col("keep_id")) & (F.col("text_sha256") == F.col("keep_sha256"))
+    members = prints.join(many, KEY).select("id", "text_sha256", *KEY, stays.alias("stays"), F.expr(shares).alias("shares"))
+    differ = stored(differing(texts, members.dropDuplicates(["id", "text_sha256", *KEY])), "differing")
+    grouped = prints.join(many, KEY, "left").drop("keep_sha256")
     if not differ.isEmpty():  # fingerprints that agree by chance: their texts are told apart by SHA-256
-        apart = differ.select("id", F.lit(True).alias("apart"))
-        rows = grouped.join(apart, "id", "left").select("id", "text_sha256", "keep_id", "group_size", F.when(F.col("apart"), F.col("text_sha256")).otherwise("").alias("class"))
-        shared = rows.filter("keep_id is not null")
-        again = shared.groupBy(F.col("keep_id").alias("first"), F.col("class").alias("its")).agg(F.count("*").alias("again_size"), F.max("id").alias("again_id"))
-        again = shared.join(again, (F.col("keep_id") == F.col("first")) & (F.col("class") == F.col("its"))).select("id", "text_sha256", F.col("again_id").alias("keep_id"), F.col("again_size").alias("group_size"))
-        grouped = again.unionByName(rows.filter("keep_id is null").select("id", "text_sha256", "keep_id", "group_size"))
+        classes = grouped.filter("keep_id is not null").join(differ.withColumn("apart", F.lit(True)), ["id", "text_sha256"], "left")
+        classes = classes.select("id", "text_sha256", *KEY, F.when(F.col("apart"), F.col("text_sha256")).otherwise("").alias("class"))
+        again = classes.groupBy(*KEY, "class").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"))
+        names = ["id", "text_sha256", "keep_id", "group_size"]
+        grouped = classes.join(again, [*KEY, "class"]).select(*names).unionByName(grouped.filter("keep_id is null").select(*names))
     keep = F.coalesce(F.col("keep_id"), F.col("id"))
     size = F.when(F.col("keep_id").isNull(), 1).otherwise(F.col("group_size")).cast("long")
     return grouped.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), (keep == F.col("id")).alias("kept"), "text_sha256")

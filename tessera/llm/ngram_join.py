@@ -6,8 +6,10 @@ pairs are verified on the full sets, so banding decides only which documents mee
 a task verifies a pair of blocks; it returns a row for each document, with its links counted and the least document that it reaches, never
 the pairs. Bands and rows are the cheapest that meet the target recall at the threshold.
 
+An n-gram is compared by a 64-bit hash of its words, a set of n-grams by 128 bits.
+
 Defined results: a null text has no words; a document with fewer words than an n-gram has no n-gram, links to nothing and is a class of its
-own; rows without an id are left out; rows that repeat an id count as copies; other columns are ignored.
+own; rows without an id are left out; rows that repeat an id are documents of their own, linked like any others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,9 +64,14 @@ class Hashes:
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.binary())])
 BAND = pa.schema([("band", pa.int64()), ("rep", pa.int64())])
 SETS = pa.schema([("rep", pa.int64()), ("size", pa.int64()), ("component", pa.int64()), ("blocks", pa.int64()), ("ngrams", pa.binary())])
+SETS_DDL = "rep long, size long, component long, blocks long, ngrams binary"
 LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("label", pa.int64()), ("component", pa.int64())])
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in sets), "<i8").reshape(-1, 2)
+
+
 def shared(sets: list[np.ndarray]) -> np.ndarray:
     """How many n-grams each two of the sets share."""
     m = len(sets)
@@ -144,7 +151,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5),
     def sign(batches):
         for b in batches:
             sets = hashes.sets(Texts(b.column("text")))
-            fp = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in sets), "<i8").reshape(-1, 2)
+            fp = fingerprints(sets)
             yield batch(SIGNED, doc_id=b.column("doc_id"), n=[*map(len, sets)], fp1=fp[:, 0], fp2=fp[:, 1], bands=[hashes.of(x) if len(x) else b"" for x in sets])
 
     def spread_bands(batches):
@@ -155,23 +162,27 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5),
 
     def full_sets(batches):
         for b in batches:
-            yield batch(SETS, ngrams=[x.tobytes() for x in hashes.sets(Texts(b.column("text")))], **{c: b.column(c) for c in SETS.names if c != "ngrams"})
+            sets = hashes.sets(Texts(b.column("text")))
+            meant = (fingerprints(sets) == np.stack([b.column("fp1").to_numpy(), b.column("fp2").to_numpy()], 1)).all(1)  # an id may have other texts
+            b, sets = b.filter(pa.array(meant)), [x for x, m in zip(sets, meant) if m]
+            yield batch(SETS, ngrams=[x.tobytes() for x in sets], **{c: b.column(c) for c in SETS.names if c != "ngrams"})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     signed = stored(texts.mapInArrow(sign, "doc_id long, n long, fp1 long, fp2 long, bands binary"), "signed")
     key = ["n", "fp1", "fp2"]
     classes = signed.filter("n > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "bands")).alias("least"), F.count("*").alias("size"))
-    classes = stored(classes.select(*key, F.col("least.doc_id").alias("rep"), "size", F.col("least.bands").alias("bands")), "classes")
+    named = classes.select(*key, F.monotonically_increasing_id().alias("rep"), F.col("least.doc_id").alias("doc"), "size", F.col("least.bands").alias("bands"))
+    classes = stored(named, "classes")  # written once, so that a class keeps its number
 
     banded = classes.select("rep", "bands").mapInArrow(spread_bands, "band long, rep long")
     buckets = stored(banded.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("members")).filter("members > 1").select("band", "a"), "buckets")
     candidate = components(banded.join(buckets, "band").filter("rep <> a").select("a", F.col("rep").alias("b")))
-    met = stored(candidate.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "n", "size"), "rep"), "candidates")
+    met = stored(candidate.select(F.col("node").alias("rep"), "component").join(classes.select("rep", *key, "doc", "size"), "rep"), "candidates")
     blocks = f"greatest(ceil(sum(n) / {BLOCK_NGRAMS}), ceil(count(*) / {BLOCK_DOCS}))"
     sized = stored(met.groupBy("component").agg(F.expr(blocks).alias("blocks"), F.sum("n").alias("ngrams")), "component-sizes")
     bundles = max(16, -(-(sized.agg(F.sum("ngrams")).first()[0] or 0) // BLOCK_NGRAMS))
-    members = met.join(sized.select("component", "blocks"), "component").select(F.col("rep").alias("doc_id"), "rep", "size", "component", "blocks")
-    sets = texts.join(members, "doc_id").select("rep", "size", "component", "blocks", "text").mapInArrow(full_sets, "rep long, size long, component long, blocks long, ngrams binary")
+    members = met.join(sized.select("component", "blocks"), "component").select(F.col("doc").alias("doc_id"), "rep", "size", "component", "blocks", "fp1", "fp2")
+    sets = texts.join(members, "doc_id").select("rep", "size", "component", "blocks", "fp1", "fp2", "text").mapInArrow(full_sets, SETS_DDL)
     side = F.expr("pmod(xxhash64(rep), blocks)")
     pairs = sets.withColumn("side", side).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     own = F.col("blocks") > 1
@@ -186,8 +197,10 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5),
     split = found.join(sized.filter("blocks > 1").select("component"), "component", "left_semi")
     further = components(split.select(F.col("rep").alias("a"), F.col("label").alias("b")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
-    linked_to = counted.join(further.select(F.col("node").alias("rep"), F.col("component").alias("whole")), "rep", "left")
-    result = classes.select(*key, "rep", "size").join(linked_to, "rep", "left")
-    result = stored(result.select(*key, "rep", F.coalesce("whole", "label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "classes-linked")
+    grouped = counted.join(further.select(F.col("node").alias("rep"), F.col("component").alias("whole")), "rep", "left").select("rep", "links", F.coalesce("whole", "label").alias("group"))
+    grouped = grouped.join(classes.select("rep", "doc"), "rep")
+    linked_to = grouped.join(grouped.groupBy("group").agg(F.min("doc").alias("class_id")), "group").select("rep", "links", "class_id")
+    result = classes.select(*key, "rep", "doc", "size").join(linked_to, "rep", "left")
+    result = stored(result.select(*key, "doc", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "classes-linked")
     out = signed.select("doc_id", *key).join(result, key, "left")
-    return out.select(F.col("doc_id").alias(id_col), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(F.col("doc_id").alias(id_col), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("doc", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

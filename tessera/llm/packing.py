@@ -6,7 +6,8 @@ down, and what they leave over is packed greedily, longest first, on the histogr
 which does not grow with the corpus. The pieces then get their place by their rank in order of length, so none of them meets another before
 the last step, a window over the pieces of one sequence.
 
-Defined results: a null text counts as empty and holds only the end id; rows without an id are left out; rows that repeat an id are packed
+Defined results: a null text counts as empty and holds only the end id; a special token that a text spells has its own id, as the library
+gives it; rows without an id are left out; rows that repeat an id are packed
 each; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, batch, hash128, joined
+from .common import Texts, batch, hash128, joined, sums
 from .labelled import fold, sample, with_texts
 
 DIMENSION_BITS = 18
@@ -107,8 +107,7 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 def margins(texts: Texts, weights: np.ndarray) -> np.ndarray:
     places, ptr = features(texts)
-    total = np.concatenate([[0.0], np.cumsum(weights[places], dtype=np.float64)])
-    return (total[ptr[1:]] - total[ptr[:-1]]) / np.maximum(1, np.diff(ptr))
+    return sums(weights[places], ptr) / np.maximum(1, np.diff(ptr))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -125,6 +125,16 @@ def prune(rule: list[int], masks: np.ndarray, bad: np.ndarray, live: np.ndarray)
     return best
 
 
+def merged(rule: list[int], tests: list[Condition]) -> list[int]:
+    """Of conditions that bound one feature on one side only the narrowest."""
+    narrowest: dict[tuple[str, bool], int] = {}
+    for k in rule:
+        side = (tests[k].feature, tests[k].above)
+        if side not in narrowest or (tests[k].threshold > tests[narrowest[side]].threshold) == tests[k].above:
+            narrowest[side] = k
+    return [*narrowest.values()]
+
+
 def learn(rows: list[dict], precision: float = 0.98, most_rules: int = 12, depth: int = 3, seed: int = 5) -> list[list[Condition]]:
     """An ordered list of rules, each a conjunction that drops; rows: features and label (1 good, 0 bad)."""
     if not rows or len({r["label"] for r in rows}) < 2:
@@ -138,7 +148,7 @@ def learn(rows: list[dict], precision: float = 0.98, most_rules: int = 12, depth
     while (live & bad).any() and len(rules) < most_rules:
         rule = grow(masks, bad, live & growing, depth)
         if rule:
-            rule = prune(rule, masks, bad, live & ~growing)
+            rule = merged(prune(rule, masks, bad, live & ~growing), tests)
         covered = live & masks[rule].all(0) if rule else np.zeros(len(rows), bool)
         if not rule or covered.sum() < 3 or (covered & bad).sum() < precision * covered.sum():
             break
@@ -162,9 +172,9 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, label:
     """Rules from at most so many labelled rows that the base rule lets pass; nine numbers of each reach the driver."""
     chosen = sample(labels, label, 1, -1, most, id_col).select("doc_id", "label", "place")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    stats = statistics(texts.select(F.struct("doc_id", "label", "place").alias("doc_id"), "text"))
+    stats = statistics(texts.select(F.struct("doc_id", "label", "place").alias("doc_id"), "text")).filter(~base_failed())
     rows = stats.select("doc_id.*", *[F.expr(sql).alias(name) for name, sql in FEATURES.items()]).collect()
-    return learn([r.asDict() for r in sorted(rows, key=lambda r: (r["place"], r["doc_id"]))])
+    return learn(sorted((r.asDict() for r in rows), key=lambda r: (r["place"], *map(r.get, FEATURES))))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,8 @@ high bits in a bit vector with a one for each boundary, so a boundary costs abou
 ones make select a short scan. Blocks are rows of a table in the shared folder (shard, number, ids before it in the shard, bytes), so that
 they are written and read by Spark's own committers in any store, and any block can be read alone.
 
-Defined results: a null text counts as empty and holds only the end id; rows without an id are left out; rows that repeat an id are written
+Defined results: a null text counts as empty and holds only the end id; a special token that a text spells has its own id, as the library
+gives it; rows without an id are left out; rows that repeat an id are written
 each, in order of their text; other columns are ignored; an empty table gives no blocks and no rows.
 """
 

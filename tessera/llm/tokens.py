@@ -3,7 +3,7 @@
 A text is cut where white space follows something else, and between a letter and ASCII punctuation other than the apostrophe. The patterns
 of the vocabularies cut there too: no token spans such a place, and what they make of white space depends only on what comes after it. So the
 ids of a text are those of its chunks, in order. Texts with white space outside ASCII (or control characters on whose kind libraries differ)
-are left whole, as one chunk.
+are left whole, as one chunk; so are texts that spell a special token, which the library finds before anything else and gives its own id.
 """
 
 from __future__ import annotations
@@ -50,7 +50,16 @@ def unusual(texts: Texts) -> np.ndarray:
     return out
 
 
-def chunks(texts: Texts) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def spelling(texts: Texts, special: re.Pattern | None) -> np.ndarray:
+    """Which texts spell a special token; a match across a border of texts leaves one whole that need not be."""
+    out = np.zeros(texts.n, bool)
+    if special is not None and len(texts.bytes):
+        hit = np.array([m.start() for m in special.finditer(np.ascontiguousarray(texts.bytes))], np.int64)
+        out[np.searchsorted(texts.at, hit, side="right") - 1] = True
+    return out
+
+
+def chunks(texts: Texts, special: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """ptr (chunks of text i are ptr[i]:ptr[i + 1]), a number for each chunk, the different chunks."""
     if not len(texts.bytes):
         return np.zeros(texts.n + 1, np.int64), np.zeros(0, np.int64), pa.array([], pa.large_binary())
@@ -59,7 +68,7 @@ def chunks(texts: Texts) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     letter[1:] |= (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] != 0x97) & (b[1:] != 0xB7)
     cut = np.zeros(len(b), bool)
     cut[1:] = (white[1:] & ~white[:-1]) | (mark[1:] & letter[:-1]) | (LETTER[b[1:]] & mark[:-1])
-    for i in np.flatnonzero(unusual(texts)):
+    for i in np.flatnonzero(unusual(texts) | spelling(texts, special)):
         cut[texts.at[i] : texts.at[i + 1]] = False
     full = texts.at[1:] > texts.at[:-1]
     cut[texts.at[:-1][full]] = True
@@ -76,10 +85,11 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Remembering:
-    """Encodes batches of texts; encode gives the ids of each of a list of chunks, and is asked once for each."""
+    """Encodes batches of texts; encode gives the ids of each of a list of chunks, and is asked once for each. special matches what must not
+    be cut."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], list], special: re.Pattern | None = None):
+        self.encode, self.special = encode, special
         self.clear()
 
     def clear(self) -> None:
@@ -108,7 +118,7 @@ class Remembering:
 
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (n + 1 offsets)."""
-        ptr, code, different = chunks(texts)
+        ptr, code, different = chunks(texts, self.special)
         if len(self.slot) > REMEMBERED:
             self.clear()
         found = different.to_pylist()
@@ -130,7 +140,7 @@ PROBES = ["a", " a", "The", " the", " Zebra", "\u00c9t\u00e9", " \u00e9\u00e8\u0
 
 
 def library_encoder(path: str) -> Remembering:
-    """By the tokenizers library, with special tokens' strings as ordinary text.
+    """By the tokenizers library as it is called with add_special_tokens=False: it adds no special token, and reads one where a text spells it.
 
     Plain words go straight to the library's model, which spares its bookkeeping of offsets, if that gives what the whole tokenizer gives
     for the probes; everything else goes through the whole tokenizer.
@@ -139,7 +149,6 @@ def library_encoder(path: str) -> Remembering:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     t.no_truncation()
     t.no_padding()
     whole = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -153,7 +162,9 @@ def library_encoder(path: str) -> Remembering:
         tokenize = model.tokenize
         return [[x.id for x in tokenize(way(s).encode().decode("latin-1").translate(BYTE_CHARS))] if p else next(rest) for s, p in zip(texts, plain)]
 
-    return Remembering(encode)
+    added = [a.content.encode() for a in t.get_added_tokens_decoder().values()]
+    ignoring = re.IGNORECASE if any(a.normalized for a in t.get_added_tokens_decoder().values()) else 0
+    return Remembering(encode, re.compile(b"|".join(map(re.escape, added)), ignoring) if added else None)
 
 
 _encoders: dict[str, Remembering] = {}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, batch, joined
+from .common import Texts, batch, joined, sums
 from .exact_dedup import LOWER
 from .labelled import fold, sample, with_texts
 from .tokens import spread
@@ -153,8 +153,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
             if t.words.n:
                 code, different = t.words.coded
                 bucket, ptr = subwords(different)
-                total = np.concatenate([[0.0], np.cumsum(adds[bucket])])
-                word = (total[ptr[1:]] - total[ptr[:-1]]) / np.maximum(1, np.diff(ptr))
+                word = sums(adds[bucket], ptr) / np.maximum(1, np.diff(ptr))
                 for i, (s, e) in enumerate(zip(t.words.ptr[:-1], t.words.ptr[1:])):
                     own, count = np.unique(code[s:e], return_counts=True)
                     share = np.sqrt(count)

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bytes of a cascade that may be broadcast.
-MOST_BYTES = 32 << 20
+#: Bytes of a cascade that may go to every task, as one constant of the plan for each level.
+MOST_BYTES = 16 << 20
 
 
 @dataclass
@@ -48,20 +48,23 @@ class Level:
         return [F.pmod(F.xxhash64(F.lit(self.seed * 64 + k), key), F.lit(self.n_bits).cast("long")) for k in range(self.n_hashes)]
 
     def holds(self, key: Column) -> Column:
+        """The filter's bytes stand once in the expression, whatever the number of hashes."""
+
         def bit(at: Column) -> Column:
             byte = F.conv(F.hex(F.substring(F.lit(self.bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
             return byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
 
-        out = F.lit(True)
-        for at in self.places(key):
-            out = out & bit(at)
-        return out
+        return F.forall(F.array(*self.places(key)), bit)
 
 
 class Cascade:
     def __init__(self, levels: list[Level]):
         self.levels = levels
 
+    @property
+    def bytes(self) -> int:
+        return sum(len(x.bits) for x in self.levels)
+
     @classmethod
     def build(cls, listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES, first: float = 1 / 64, later: float = 1 / 2) -> Cascade | None:
         """Of the listed keys over the universe (both: key), or None if it would be larger than most_bytes."""
@@ -88,6 +91,29 @@ class Cascade:
         return out
 
 
+class Verdicts:
+    """Which verdict a key is listed with, or none: one cascade over the corpus's keys says whether it is listed, and for each verdict but the
+    last one over the listed keys alone whether it is that."""
+
+    def __init__(self, listed: Cascade, among: list[tuple[str, Cascade]], last: str):
+        self.listed, self.among, self.last = listed, among, last
+
+    @classmethod
+    def build(cls, rules: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES) -> Verdicts | None:
+        """Of rules (key, verdict), one row a key; None if the cascades would be larger than most_bytes."""
+        names = [r["verdict"] for r in rules.select("verdict").distinct().orderBy("verdict").collect()]
+        cascades = [Cascade.build(rules, universe, most_bytes)] + [Cascade.build(rules.filter(F.col("verdict") == v), rules, most_bytes) for v in names[:-1]]
+        if any(c is None for c in cascades) or sum(c.bytes for c in cascades) > most_bytes:
+            return None
+        return cls(cascades[0], [*zip(names[:-1], cascades[1:])], names[-1])
+
+    def of(self, key: Column) -> Column:
+        verdict = F.lit(self.last)
+        for name, cascade in reversed(self.among):
+            verdict = F.when(cascade.contains(key), F.lit(name)).otherwise(verdict)
+        return F.when(self.listed.contains(key), verdict)
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     url = F.coalesce(url.cast("string"), F.lit(""))
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -112,18 +138,14 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     urls = urls.withColumn("keys", candidate_keys(lengths))
     universe = stored(urls.select(F.explode("keys").alias("key")).distinct(), "keys")
     spark = pages.sparkSession
-    cascades = {}
-    for verdict in sorted({v for v, _ in rules}):
-        listed = spark.createDataFrame([(r,) for v, r in rules if v == verdict], "key string")
-        cascades[verdict] = Cascade.build(listed, universe, most_bytes)
-    if any(c is None for c in cascades.values()):
-        verdicts = {r: v for v, r in sorted(rules, reverse=True)}  # the first of a rule's verdicts, as in the cascades
+    verdicts = {r: v for v, r in sorted(rules, reverse=True)}  # of a rule's verdicts the first in their order
+    cascades = Verdicts.build(spark.createDataFrame([*verdicts.items()], "key string, verdict string"), universe, most_bytes)
+    if cascades is None:
         places = urls.select("host", "path", "keys").distinct().select("host", "path", F.explode("keys").alias("key"))
         hits = places.join(spark.createDataFrame([*verdicts.items()], "key string, v string"), "key")
         hits = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("key"), F.col("v").alias("verdict"))).alias("hit"))
         best = urls.join(hits, ["host", "path"], "left")
     else:
-        found = lambda k: F.coalesce(*[F.when(c.contains(k), F.lit(v)) for v, c in cascades.items()])
-        judged = urls.withColumn("judged", F.transform("keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), found(k).alias("verdict"))))
+        judged = urls.withColumn("judged", F.transform("keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), cascades.of(k).alias("verdict"))))
         best = judged.withColumn("hit", F.array_max(F.filter("judged", lambda x: x["verdict"].isNotNull())))
     return best.select(F.col("page_id").alias(id_col), "host", "path", F.col("hit.key").alias("rule"), F.coalesce(F.col("hit.verdict"), F.lit(default)).alias("verdict"))

@@ -16,7 +16,7 @@ BYTE, WORD, MULTI = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "w
 
 def encoded(path, texts):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    
     return {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for i, x in texts.items()}
 
 
