@@ -1,9 +1,14 @@
 """The corpus pipeline: learned quality, exact copies, near copies, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns of documents.
-Rows without a doc_id cannot be named, so no stage but the first, which judges rows where they lie, and the last, which leaves them out,
-acts on them. Rows that repeat an id are documents of their own: each is judged, dropped or cut by its own text, and among them the order of
-their texts (then of their other columns) stands for that of ids. SQL cannot express a learned classifier, so there is no ORACLE_SQL; the tests hold each stage against a brute-force version.
+
+Defined results, of every stage: rows without a doc_id cannot be named, so no stage but the first, which judges rows where they lie, and the
+last, which leaves them out, acts on them. Rows that repeat an id are documents of their own: each is judged, dropped or cut by its own text,
+and among them the order of their texts (then of their other columns) stands for that of ids. A null text counts as empty and stays null
+where the row stays. Other columns pass through unchanged, whatever their names; n_chars, where there is one, follows the text. An empty table
+gives an empty one.
+
+SQL cannot express a learned classifier, so there is no ORACLE_SQL; the tests hold each stage against a plain version of it.
 """
 
 from __future__ import annotations
@@ -22,12 +27,21 @@ from tessera.llm.substring_dedup import substring_dedup
 FOLDS, HELD = 4, 2
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of docs has; names differ by more than case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents and the column that tells their rows apart: doc_id or, where ids repeat, the rows' number in the order of id and text."""
     if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return docs, "doc_id"
     ordered = docs.orderBy("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return stored(ordered.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows"), "_row"
+    row = fresh(docs, "_row")
+    return stored(ordered.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows"), row
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +62,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     earlier one."""
     prepare(spark)
     rows, key = told_apart(docs)
-    return rows.join(ngram_join(rows, id_col=key).filter(f"class_id <> {key}").select(key), key, "left_anti").select(docs.columns)
+    return rows.join(ngram_join(rows, id_col=key).filter(F.col("class_id") != F.col(key)).select(key), key, "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +70,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     that repeat an id lose their own passages only, also those that an earlier row of the id holds."""
     prepare(spark)
     rows, key = told_apart(docs)
-    cut = stored(substring_dedup(rows, id_col=key, with_text=True).filter("n_removed > 0").select(key, "kept_text"), "cut")
-    out = rows.join(cut, key, "left").filter("kept_text is null or kept_text <> ''")
-    out = out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast("long"))
-    return out.withColumn("text", F.coalesce("kept_text", "text")).select(docs.columns)
+    left = fresh(rows, "_left")
+    cut = stored(substring_dedup(rows, id_col=key, with_text=True).filter("n_removed > 0").select(key, F.col("kept_text").alias(left)), "cut")
+    out = rows.join(cut, key, "left").filter(F.col(left).isNull() | (F.col(left) != ""))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("text", F.coalesce(left, "text")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
