@@ -151,8 +151,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     many = stored(many.select(*KEY, "group_size", F.col("first.id").alias("keep_id"), F.col("first.text_sha256").alias("keep_sha256")), "groups")
     shares = f"greatest(1L, ceil(group_size / {SHARE_ROWS}), ceil(group_size * n_bytes / {SHARE_BYTES}))"
     stays = (F.col("id") == F.col("keep_id")) & (F.col("text_sha256") == F.col("keep_sha256"))
-    members = prints.join(many, KEY).select("id", "text_sha256", *KEY, stays.alias("stays"), F.expr(shares).alias("shares"))
-    differ = stored(differing(texts, members.dropDuplicates(["id", "text_sha256", *KEY])), "differing")
+    # rows that repeat id and text go first: dealt by id, a large group is spread, dealt by fingerprint it would be one task's
+    members = prints.dropDuplicates(["id", "text_sha256"]).join(many, KEY).select("id", "text_sha256", *KEY, stays.alias("stays"), F.expr(shares).alias("shares"))
+    differ = stored(differing(texts, members), "differing")
     grouped = prints.join(many, KEY, "left").drop("keep_sha256")
     if not differ.isEmpty():  # fingerprints that agree by chance: their texts are told apart by SHA-256
         classes = grouped.filter("keep_id is not null").join(differ.withColumn("apart", F.lit(True)), ["id", "text_sha256"], "left")
