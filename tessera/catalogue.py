@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import geometry, graphs, summaries, trials, tracks  # noqa: F401  each registers its own
+    from .plans import geometry, graphs, layouts, measurements, saves, summaries, tracks, trials  # noqa: F401  each registers its own
 
     return dict(QUERIES)
 

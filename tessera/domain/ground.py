@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from ..operators.series import cross_lane
 from ..operators.spatial import cells
 
 
@@ -37,26 +38,106 @@ def end_to_end(compared: DataFrame) -> DataFrame:
 
 def held_out(models: DataFrame) -> DataFrame:
     """models: model, lane, index, measured, modelled (null: no root). For each lane the model and bias that the other lanes choose, and its
-    error beside a flat baseline, the other lanes' mean height, on the same rows of the lane."""
-    lanes = models.select(F.col("lane").alias("fold")).distinct()
-    train = models.join(lanes, F.col("lane") != F.col("fold")).filter("measured is not null")
+    error beside a flat baseline, the other lanes' mean height, on the same rows of the lane.
+
+    The other lanes' rows are gathered by explicit pairs of lanes, which are few; everything else is joined by lane.
+    """
+    lanes = models.select("lane").distinct()
+    others = lanes.agg(F.sort_array(F.collect_list("lane")).alias("all")).select(F.explode("all").alias("fold"), "all").select("fold", F.explode("all").alias("lane")).filter("lane <> fold")
+    train = models.join(others, "lane").filter("measured is not null")
     e = F.col("modelled") - F.col("measured")
     scored = train.groupBy("fold", "model").agg(F.count(e).alias("n"), F.median(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"))
     chosen = scored.groupBy("fold").agg(F.min_by(F.struct("model", "bias", "n"), F.struct(-F.col("n"), "rmse", "model")).alias("c"))
     flat = train.select("fold", "lane", "index", "measured").distinct().groupBy("fold").agg(F.avg("measured").alias("flat"))
-    test = models.join(chosen.join(flat, "fold"), (F.col("lane") == F.col("fold")) & (F.col("model") == F.col("c.model"))).filter("measured is not null")
+    test = models.withColumnRenamed("lane", "fold").join(chosen.join(flat, "fold"), "fold").filter("model = c.model and measured is not null")
     left = F.col("modelled") - F.col("c.bias") - F.col("measured")
     level = F.when(F.col("modelled").isNotNull(), F.col("flat") - F.col("measured"))
     return test.groupBy("fold", F.col("c.model").alias("model")).agg(F.count("modelled").alias("scored"), F.count_if(F.col("modelled").isNull()).alias("without_root"), F.sqrt(F.avg(left * left)).alias("rmse"), F.sqrt(F.avg(level * level)).alias("flat_rmse"))
 
 
+def angle(a: str, b: str) -> Column:
+    """Degrees between two normals; infinite where one has no length."""
+    n = lambda s: F.sqrt(sum((F.col(f"{c}{s}") ** 2 for c in ("nx", "ny", "nz")), F.lit(0.0)))
+    dot = sum((F.col(f"{c}{a}") * F.col(f"{c}{b}") for c in ("nx", "ny", "nz")), F.lit(0.0)) / (n(a) * n(b))
+    return F.when((n(a) < 1e-9) | (n(b) < 1e-9), float("inf")).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))))
+
+
+def near_pairs(a: DataFrame, b: DataFrame, reach: float, keys: list[str]) -> DataFrame:
+    """Rows of a (columns with _a) beside those of b (with _b) at most so far from them in x and y: they meet in cells of that size."""
+    left = a.select(*keys, *[F.col(c).alias(f"{c}_a") for c in a.columns if c not in keys])
+    right = b.select(*keys, *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in keys])
+    for c in "xy":
+        left = left.withColumn(f"_{c}", cells(F.col(f"{c}_a") - reach, F.col(f"{c}_a") + reach, reach))
+        right = right.withColumn(f"_{c}", F.floor(F.col(f"{c}_b") / reach).cast("long"))
+    d = F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b"))
+    return left.join(right, [*keys, "_x", "_y"]).withColumn("apart", d).filter(F.col("apart") <= reach)
+
+
 def facets(hits: DataFrame, reach: float = 0.51, degrees: float = 0.1) -> DataFrame:
-    """(index, facet): hits linked by closeness and by nearly equal normals. hits: index, x, y, z, nx, ny, nz."""
-    h = hits.select("index", "x", "y", "z", "nx", "ny", "nz")
-    a = h.select(*[F.col(c).alias(f"{c}_a") for c in h.columns], cells(F.col("x") - reach, F.col("x") + reach, reach).alias("cell"))
-    b = h.select(*[F.col(c).alias(f"{c}_b") for c in h.columns], F.floor(F.col("x") / reach).cast("long").alias("cell"))
-    d2 = sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in "xyz"), F.lit(0.0))
-    dot = sum((F.col(f"{c}_a") * F.col(f"{c}_b") for c in ("nx", "ny", "nz")), F.lit(0.0))
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
-    near = a.join(b, "cell").filter((F.col("index_a") < F.col("index_b")) & (d2 <= reach * reach) & (angle <= degrees))
+    """(index, facet): hits (index, x, y, z, nx, ny, nz) with upward normals, linked where they are near each other, not at one place, and their normals
+    nearly equal. A hit without links has none."""
+    if not (0 < reach <= 2 and 0 < degrees <= 5):
+        raise ValueError("the reach or the angle is out of range")
+    h = hits.filter("nz > 0.1").select("index", "x", "y", "z", "nx", "ny", "nz")
+    near = near_pairs(h, h, reach, []).filter((F.col("index_a") < F.col("index_b")) & (F.col("apart") > 1e-9) & (angle("_a", "_b") <= degrees))
     return components(near.select(F.col("index_a").alias("a"), F.col("index_b").alias("b"))).select(F.col("node").alias("index"), F.col("component").alias("facet"))
+
+
+def facet_evidence(hits: DataFrame, found: DataFrame, degrees: float = 0.1, residual: float = 0.001) -> DataFrame:
+    """Of each facet, seen from its first hit: hits, whether they span two directions of the plane, the greatest angle, the residuals of the first
+    hit's tangent plane, and whether all of that supports one plane.
+
+    Two directions are spanned if some two hits are not on one line with the first. It is enough to look at the hit farthest from the first: if all
+    others lie on its line within the limit, no two of them span more than twice the limit.
+    """
+    own = hits.join(found, "index")
+    first = own.groupBy("facet").agg(F.min_by(F.struct("x", "y", "z", "nx", "ny", "nz"), "index").alias("f"))
+    rows = own.join(first, "facet").withColumns({f"{c}_f": F.col(f"f.{c}") for c in ("x", "y", "z", "nx", "ny", "nz")}).withColumns({f"{c}_o": F.col(c) for c in ("nx", "ny", "nz")})
+    dx, dy = F.col("x") - F.col("x_f"), F.col("y") - F.col("y_f")
+    rows = rows.withColumns({"dx": dx, "dy": dy, "r": F.col("z") - F.col("z_f") + (F.col("nx_f") * dx + F.col("ny_f") * dy) / F.col("nz_f"), "angle": angle("_f", "_o")})
+    far = rows.groupBy("facet").agg(F.max_by(F.struct("dx", "dy"), F.struct(F.col("dx") ** 2 + F.col("dy") ** 2, -F.col("index"))).alias("far"))
+    g = rows.join(far, "facet").groupBy("facet").agg(
+        F.count("*").alias("hits"), F.bool_or(F.abs(F.col("dx") * F.col("far.dy") - F.col("dy") * F.col("far.dx")) > 1e-4).alias("spans"), F.max("angle").alias("max_angle"),
+        F.max(F.abs("r")).alias("max_residual"), F.sqrt(F.avg(F.col("r") ** 2)).alias("rmse_residual"),
+    )
+    return g.withColumn("consistent", F.col("spans") & (F.col("max_angle") <= degrees) & (F.col("max_residual") <= residual))
+
+
+def tangent_held_out(hits: DataFrame, reach: float = 1.0) -> DataFrame:
+    """For each lane its heights as the tangent plane of the nearest hit of another lane predicts them, beside that hit's own height and the other
+    lanes' median: (lane, hits, scored, unscored, tangent_rmse, nearest_rmse, flat_rmse). hits: lane, index, x, y, z, nx, ny, nz. A prediction
+    needs a hit with an upward normal within the reach, the nearest, then of the least index; all three errors are of the same rows."""
+    if not 0 < reach <= 4:
+        raise ValueError("the reach must be in (0, 4]")
+    h = hits.select("lane", "index", "x", "y", "z", "nx", "ny", "nz")
+    met = near_pairs(h, h.filter("nz > 0.1"), reach, []).filter("lane_a <> lane_b")
+    best = met.groupBy("lane_a", "index_a", "x_a", "y_a", "z_a").agg(F.min(F.struct("apart", "index_b", "x_b", "y_b", "z_b", "nx_b", "ny_b", "nz_b")).alias("n"))
+    tangent = F.col("n.z_b") - (F.col("n.nx_b") * (F.col("x_a") - F.col("n.x_b")) + F.col("n.ny_b") * (F.col("y_a") - F.col("n.y_b"))) / F.col("n.nz_b")
+    lanes = h.select("lane").distinct()
+    others = lanes.agg(F.collect_list("lane").alias("all")).select(F.explode("all").alias("fold"), "all").select("fold", F.explode("all").alias("lane")).filter("lane <> fold")
+    flat = h.join(others, "lane").groupBy(F.col("fold").alias("lane")).agg(F.median("z").alias("flat"))
+    rows = best.select(F.col("lane_a").alias("lane"), F.col("z_a").alias("z"), tangent.alias("t"), F.col("n.z_b").alias("near")).join(flat, "lane")
+    rmse = lambda c: F.sqrt(F.avg((F.col(c) - F.col("z")) ** 2))
+    scored = rows.groupBy("lane").agg(F.count("*").alias("scored"), rmse("t").alias("tangent_rmse"), rmse("near").alias("nearest_rmse"), rmse("flat").alias("flat_rmse"))
+    all_of = h.groupBy("lane").agg(F.count("*").alias("hits"))
+    return all_of.join(scored, "lane", "left").withColumn("scored", F.coalesce("scored", F.lit(0))).withColumn("unscored", F.col("hits") - F.col("scored"))
+
+
+def slope_scores(models: DataFrame, plan: DataFrame) -> DataFrame:
+    """Of each model the grades along the lanes beside the measured ones: segments, error, and what is left of it without its mean, which a plane's
+    tilt would explain. models: as in held_out; plan: index, x, y, fraction. A segment needs a measured and a modelled height at both ends, which
+    follow one another on the whole planned lane."""
+    w = Window.partitionBy("model", "lane").orderBy("fraction")
+    m = models.join(plan.select("index", "x", "y", "fraction"), "index")
+    run = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
+    rise = lambda c: (F.col(c) - F.lag(c).over(w)) / F.nullif(run, F.lit(0.0))
+    g = m.select("model", "lane", "fraction", rise("measured").alias("seen"), rise("modelled").alias("made")).filter("seen is not null and made is not null")
+    g = g.withColumn("e", F.col("made") - F.col("seen")).withColumn("mean_e", F.avg("e").over(Window.partitionBy("model")))
+    return g.groupBy("model").agg(F.count("*").alias("segments"), F.avg("seen").alias("observed_grade"), F.avg("made").alias("model_grade"), F.avg(F.abs("e")).alias("mae"), F.max("mean_e").alias("mean_error"), F.avg(F.abs(F.col("e") - F.col("mean_e"))).alias("mae_without_tilt")).orderBy(F.desc("segments"), "mae", "model")
+
+
+def cross_grades(compared: DataFrame) -> DataFrame:
+    """Grades between a lane and the next at equal fractions, where both were hit."""
+    hit = compared.filter("status <> 'foreign'").select("lane", "fraction", F.when(F.col("status") == "hit", F.col("z")).alias("z"))
+    out = cross_lane(hit, "lane", "fraction", "z")
+    return out.filter("difference is not null").select("lane_a", "lane_b", "fraction", (F.col("difference") / (F.col("lane_b") - F.col("lane_a"))).alias("grade"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..operators.evaluate import sweep
-from ..operators.relational import histogram_topk
 from ..sources import codecs
 
 
@@ -30,16 +31,67 @@ def signed(value: Column, size: int) -> Column:
     return F.when(value >= 1 << (8 * size - 1), value - (1 << (8 * size))).otherwise(value)
 
 
-def payload_frames(voxels: DataFrame) -> DataFrame:
-    """Of each first byte: how many payloads, least, greatest and mean size, how many frames (mode, length, body) fit exactly, single zeros."""
-    p = voxels.filter("reject_reason is null").select("payload", F.octet_length("payload").alias("n"), F.hex(F.substring("payload", 1, 1)).alias("mode"), unsigned(F.col("payload"), F.lit(1), 2).alias("body"))
-    return p.groupBy("mode").agg(F.count("*").alias("records"), F.min("n").alias("least"), F.max("n").alias("most"), F.bround(F.avg("n"), 2).alias("mean"), F.count_if(F.col("body") + 3 == F.col("n")).alias("exact_frames"), F.count_if((F.col("n") == 1) & (F.col("mode") == "00")).alias("single_zeros"))
+def frames(voxels: DataFrame) -> DataFrame:
+    """Decoded payloads with their frame: mode (the first byte), declared length, body; null where a payload is too short for one."""
+    p = voxels.filter("reject_reason is null").withColumn("n", F.octet_length("payload"))
+    long = F.col("n") >= 3
+    return p.withColumns({"mode": F.when(long, F.lower(F.hex(F.substring("payload", 1, 1)))), "declared": F.when(long, unsigned(F.col("payload"), F.lit(1), 2)), "body": F.when(long, F.expr("substring(payload, 4)"))})
 
 
-def payload_values(voxels: DataFrame, k: int = 30) -> DataFrame:
-    """The k most frequent of the payloads of four bytes, with their rank."""
-    four = voxels.filter("reject_reason is null and octet_length(payload) = 4").select(F.hex("payload").alias("value"), "id")
-    return histogram_topk(four, "value", k, "id")
+def payload_frames(voxels: DataFrame) -> DataFrame:
+    """Of each mode: how many frames, least, greatest and mean size of their bodies, how many are as long as they say, how many hold one zero."""
+    f = frames(voxels).withColumn("size", F.octet_length("body"))
+    return f.filter("mode is not null").groupBy("mode").agg(F.count("*").alias("records"), F.min("size").alias("least"), F.max("size").alias("most"), F.bround(F.avg("size"), 2).alias("mean"), F.count_if(F.col("declared") == F.col("size")).alias("exact_frames"), F.count_if(F.hex("body") == "00").alias("single_zeros"))
+
+
+def payload_profile(voxels: DataFrame, top: int = 40) -> DataFrame:
+    """(aspect, value, records, least, most, mean, rank): payloads by size, by first byte, first two (as a number and as a group), first eight, by
+    the whole of four, and by mode and first byte of the body; the most frequent of each, ties by the least id. One pass counts them all."""
+    f = frames(voxels)
+    h = lambda n: F.lower(F.hex(F.substring("payload", 1, n)))
+    entry = lambda aspect, value: F.struct(F.lit(aspect).alias("aspect"), value.cast("string").alias("value"))
+    n = F.col("n")
+    own = [
+        entry("size", n), entry("first_byte", F.when(n >= 1, h(1))), entry("first_u16", F.when(n >= 2, unsigned(F.col("payload"), F.lit(0), 2))), entry("group", F.when(n >= 2, h(2))), entry("prefix", F.when(n >= 1, h(8))),
+        entry("four_bytes", F.when(n == 4, h(4))), entry("body_first_byte", F.when(F.octet_length("body") >= 1, F.concat_ws(":", "mode", F.lower(F.hex(F.substring("body", 1, 1)))))),
+    ]
+    e = f.select("id", "n", F.explode(F.array(*own)).alias("e")).select("id", "n", "e.*").filter("value is not null")
+    g = e.groupBy("aspect", "value").agg(F.count("*").alias("records"), F.min("n").alias("least"), F.max("n").alias("most"), F.bround(F.avg("n"), 2).alias("mean"), F.min("id").alias("_first"))
+    w = Window.partitionBy("aspect").orderBy(F.desc("records"), "_first", "value")
+    return g.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= top) | (F.col("aspect") == "size")).drop("_first")
+
+
+def diverse_examples(voxels: DataFrame, most: int = 20) -> DataFrame:
+    """Ids of payloads to look at: the first of each different value of four bytes, then the smallest and the largest of each group of two first
+    bytes, larger groups first."""
+    f = frames(voxels).select("id", "n", F.hex("payload").alias("h"), F.hex(F.substring("payload", 1, 2)).alias("g"))
+    four = f.filter("n = 4").groupBy("h").agg(F.min("id").alias("id")).select("id", F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("b"), F.col("id").alias("c")).alias("order"))
+    group = f.filter("n >= 2").groupBy("g").agg(F.count("*").alias("k"), F.min(F.struct("n", "id")).alias("lo"), F.max(F.struct("n", "id")).alias("hi"))
+    ends = group.select(F.explode(F.array("lo.id", "hi.id")).alias("id"), F.struct(F.lit(1).alias("a"), (-F.col("k")).alias("b"), F.col("lo.id").alias("c")).alias("order"))
+    return four.unionByName(ends).groupBy("id").agg(F.min("order").alias("order")).orderBy("order", "id").limit(most).select("id")
+
+
+def find_bytes(data: Column, wanted: Column, size: int, end: int) -> Column:
+    """Where the bytes are first found before the given place, null where they are not."""
+    return F.get(F.filter(F.sequence(F.lit(0), F.lit(end - size)), lambda i: F.substring(data, i + 1, F.lit(size)) == wanted), F.lit(0))
+
+
+def structure(records: DataFrame, marker: bytes = codecs.VOXEL_MAGIC, z: tuple[int, int] = codecs.VOXEL_Z) -> DataFrame:
+    """records: id, x, y, data, packed as they are. Where the marker and the record's own id stand, whether minus one follows the id, and whether
+    three integers after it are a chunk of the record's cell (exactly, or at most one beside it)."""
+    ident = F.unhex(F.lpad(F.hex(F.col("id").cast("long")), 8, "0"))
+    d = F.col("data")
+    out = records.withColumns({"marker_at": find_bytes(d, F.lit(marker), len(marker), 16), "id_at": find_bytes(d, ident, 4, 32)})
+    number = lambda k: signed(unsigned(d, F.col("id_at") + 16 + 4 * k, 4), 4)
+    out = out.withColumns({"minus_one": F.coalesce(F.substring(d, F.col("id_at") + 5, F.lit(4)) == F.lit(b"\xff" * 4), F.lit(False)), "cx": number(0), "cy": number(1), "cz": number(2)})
+    near = lambda by: F.col("cx").between(F.col("x") * 4 - by, F.col("x") * 4 + 3 + by) & F.col("cy").between(F.col("y") * 4 - by, F.col("y") * 4 + 3 + by) & F.col("cz").between(*z)
+    return out.withColumns({"exact": F.coalesce(near(0), F.lit(False)), "boundary": F.coalesce(near(1), F.lit(False))})
+
+
+def structure_profile(found: DataFrame) -> DataFrame:
+    """One row of counts and the range of plausible heights."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    return found.agg(F.count("*").alias("records"), n(F.col("marker_at").isNotNull(), "markers"), n(F.col("id_at").isNotNull(), "ids"), n(F.col("minus_one"), "minus_ones"), n(F.col("boundary"), "candidates"), n(F.col("exact"), "exact"), F.min(F.when(F.col("boundary"), F.col("cz"))).alias("least_z"), F.max(F.when(F.col("boundary"), F.col("cz"))).alias("most_z"))
 
 
 def byte_affixes(df: DataFrame, group: str, data: str) -> DataFrame:
@@ -56,9 +108,12 @@ def key_profile(nodes: DataFrame, most_depth: int = 4) -> DataFrame:
     return nodes.filter(F.col("reject_reason").isNull() & (F.col("depth") <= most_depth)).groupBy("depth", key.alias("key"), "value_kind").agg(F.count("*").alias("records"), F.countDistinct("row_id").alias("rows"))
 
 
-def lz4_starts(blobs: DataFrame, most: int = 96, limit: int = codecs.VOXEL_LIMIT) -> DataFrame:
-    """(id, offset, size) for each offset at which the rest of a blob is a whole block."""
-    schema = pa.schema([("id", pa.int64()), ("offset", pa.int32()), ("size", pa.int32())])
+def lz4_starts(blobs: DataFrame, most: int = 96, want: int = 17**3) -> DataFrame:
+    """(id, offset, packed, sha256, dense, materials) for each offset of a blob (id, data) where a block begins that makes so many voxels, whatever
+    follows it: bytes it takes, digest, voxels whose low six bits are not zero, and how many have each value of the two high bits."""
+    if not 0 <= most <= 512:
+        raise ValueError("most must be between 0 and 512")
+    schema = pa.schema([("id", pa.int64()), ("offset", pa.int32()), ("packed", pa.int32()), ("sha256", pa.string()), ("dense", pa.int64()), ("materials", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,30 +121,60 @@ def lz4_starts(blobs: DataFrame, most: int = 96, limit: int = codecs.VOXEL_LIMIT
             for ident, data in zip(b.column("id").to_pylist(), b.column("data").to_pylist()):
                 for at in range(min(most + 1, len(data or b""))):
                     try:
-                        rows.append({"id": ident, "offset": at, "size": len(codecs.lz4_block(data[at:], limit))})
+                        out, used = codecs.lz4_prefix(data[at:], want)
                     except codecs.Reject:
                         continue
+                    v = np.frombuffer(out, np.uint8)
+                    rows.append({"id": ident, "offset": at, "packed": used, "sha256": hashlib.sha256(out).hexdigest(), "dense": int((v & 63 > 0).sum()), "materials": np.bincount(v >> 6, minlength=4).tolist()})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return blobs.select(F.col("id").cast("long").alias("id"), "data").mapInArrow(run, "id long, offset int, size int")
+    return blobs.select(F.col("id").cast("long").alias("id"), "data").mapInArrow(run, "id long, offset int, packed int, sha256 string, dense long, materials array<long>")
+
+
+def summed(df: DataFrame, keys: str, counts: str, each: Callable[[pa.RecordBatch], Iterable[dict]], extremes: str = "") -> DataFrame:
+    """Sums of what each says of a batch, by keys; a column named least_... or most_... is an extreme. What leaves a task is of the hypotheses' size."""
+    ddl = ", ".join(filter(None, (keys, counts, extremes)))
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    names = lambda d: [x.split()[0] for x in d.split(", ")] if d else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([*each(b)], schema)
+
+    worst = [(F.min if n.startswith("least") else F.max)(n).alias(n) for n in names(extremes)]
+    return df.mapInArrow(run, ddl).groupBy(*names(keys)).agg(*[F.sum(n).alias(n) for n in names(counts)], *worst)
 
 
 def layout_scan(records: DataFrame, offsets: range = range(8, 65), factors: tuple[int, ...] = (1, 2, 4, 8), z: tuple[int, int] = (-128, 128)) -> DataFrame:
     """Ranks every reading of three integers as coordinates: byte order, order of axes, chunks per cell, offset. records: x, y, data.
 
-    A reading is exact for a record if its x and y fall into the record's cell; ranked by plausible z, exact, then the smaller offset.
+    A reading is exact for a record if its x and y fall into the record's cell; ranked by plausible z, exact, then the smaller offset. A batch of
+    records is counted for all readings at once, so that only counts leave a task.
     """
-    spark = records.sparkSession
-    grid = spark.createDataFrame([(little, "".join(axes), f, o) for little in (False, True) for axes in itertools.permutations("xyz") for f in factors for o in offsets], "little boolean, axes string, factor int, offset int")
-    places = sorted({o + 4 * k for o in offsets for k in range(3)})
-    # each integer is read once a record and byte order, not once a hypothesis
-    read = records.select(F.col("x").alias("cell_x"), F.col("y").alias("cell_y"), *[F.map_from_arrays(F.array(*[F.lit(p) for p in places]), F.array(*[signed(unsigned(F.col("data"), F.lit(p), 4, F.lit(little)), 4) for p in places])).alias(n) for n, little in (("big_ints", False), ("little_ints", True))])
-    at = lambda axis: F.element_at(F.when(F.col("little"), F.col("little_ints")).otherwise(F.col("big_ints")), F.col("offset") + 4 * (F.instr("axes", axis) - 1))
-    inside = lambda axis: F.floor(at(axis) / F.col("factor")) == F.col(f"cell_{axis}")
-    exact = F.coalesce(inside("x") & inside("y"), F.lit(False))
-    found = sweep(read, grid, exact, ["little", "axes", "factor", "offset"]).withColumnRenamed("hits", "exact")
-    plausible = sweep(read, grid, exact & at("z").between(*z), ["little", "axes", "factor", "offset"]).select("little", "axes", "factor", "offset", F.col("hits").alias("plausible"))
-    return found.join(plausible, ["little", "axes", "factor", "offset"], "left").fillna(0, ["plausible"]).orderBy(F.desc("plausible"), F.desc("exact"), "offset", "little", "axes", "factor")
+    if not (0 <= offsets.start < offsets.stop <= 512 and z[0] <= z[1]):
+        raise ValueError("the offsets or the heights are out of range")
+    width = offsets.stop + 12
+
+    def each(b: pa.RecordBatch) -> Iterator[dict]:
+        own = [(x, y, d) for x, y, d in zip(*(b.column(c).to_pylist() for c in ("x", "y", "data"))) if d is not None]
+        if not own:
+            return
+        cell = {"x": np.array([r[0] for r in own]), "y": np.array([r[1] for r in own])}
+        size = np.array([len(r[2]) for r in own])
+        raw = np.frombuffer(b"".join(r[2][:width].ljust(width, b"\0") for r in own), np.uint8).reshape(len(own), width)
+        for little, dtype in ((False, ">i4"), (True, "<i4")):
+            at = {p: np.ascontiguousarray(raw[:, p : p + 4]).view(dtype)[:, 0].astype(np.int64) for p in range(offsets.start, offsets.stop + 8)}
+            for o in offsets:
+                long = size >= o + 12
+                for axes in itertools.permutations("xyz"):
+                    v = {a: at[o + 4 * k] for k, a in enumerate(axes)}
+                    for f in factors:
+                        exact = long & (v["x"] // f == cell["x"]) & (v["y"] // f == cell["y"])
+                        if exact.any():
+                            yield {"little": little, "axes": "".join(axes), "factor": f, "offset": o, "exact": int(exact.sum()), "plausible": int((exact & (v["z"] >= z[0]) & (v["z"] <= z[1])).sum()), "records": len(own)}
+
+    found = summed(records.select("x", "y", "data"), "little boolean, axes string, factor int, offset int", "exact long, plausible long, records long", each)
+    return found.drop("records").orderBy(F.desc("plausible"), F.desc("exact"), "offset", "little", "axes", "factor")
 
 
 def run_lengths(data: bytes, literal_first: bool, bias: int, want: int) -> bool:
@@ -183,14 +268,146 @@ def codec_scan(voxels: DataFrame, want: int = 17**3, offsets: range = range(5),
     return hits.groupBy(schema.names).agg(F.count("*").alias("records"))
 
 
+MODES = [None, "04", "05"]
+
+
+def bodies(voxels: DataFrame, exact: bool = True) -> DataFrame:
+    """(mode, body) of frames, with exact only of those as long as they say."""
+    f = frames(voxels).filter("mode is not null")
+    return (f.filter(F.col("declared") == F.octet_length("body")) if exact else f).select("mode", "body")
+
+
+def by_mode(b: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
+    own = [*zip(b.column("mode").to_pylist(), b.column("body").to_pylist())]
+    for m in MODES:
+        yield m or "all", [body for mode, body in own if m in (None, mode)]
+
+
 def mask_scan(voxels: DataFrame, want: int = 17**3, offsets: range = range(9)) -> DataFrame:
-    """(offset, ones, bits, records): payloads that are a mask of want bits followed by so many bits for each one (or zero) of the mask."""
+    """(mode, offset, ones, bits, candidates, records): bodies of frames that are a mask of want bits followed by so many bits for each one (or
+    zero) of the mask; candidates are long enough for the mask."""
     n = -(-want // 8)
-    grid = voxels.sparkSession.createDataFrame([(o, ones, w) for o in offsets for ones in (True, False) for w in range(1, 9)], "offset int, ones boolean, bits int")
-    mask = F.substring("payload", F.col("offset") + 1, F.lit(n))
-    set_bits = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda a, i: a + F.bit_count(F.conv(F.hex(F.substring(F.col("mask"), i, F.lit(1))), 16, 10).cast("int")))
-    cut = voxels.filter("reject_reason is null").select("payload").withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets]))).withColumn("mask", mask).filter(F.octet_length("mask") == n)
-    counted = cut.withColumns({"set": set_bits, "rest": F.octet_length("payload") - F.col("offset") - n})
-    met = counted.join(F.broadcast(grid), "offset")
-    values = F.when(F.col("ones"), F.col("set")).otherwise(want - F.col("set"))
-    return met.filter(F.ceil(values * F.col("bits") / 8) == F.col("rest")).groupBy("offset", "ones", "bits").agg(F.count("*").alias("records"))
+
+    def each(b: pa.RecordBatch) -> Iterator[dict]:
+        for mode, own in by_mode(b):
+            for o in offsets:
+                long = [x for x in own if len(x) >= o + n]
+                ones = np.array([int(np.unpackbits(np.frombuffer(x, np.uint8, n, o))[:want].sum()) for x in long], np.int64)
+                rest = np.array([len(x) - o - n for x in long], np.int64)
+                for is_one, bits in itertools.product((True, False), range(1, 9)):
+                    hits = -(-(ones if is_one else want - ones) * bits // 8) == rest
+                    yield {"mode": mode, "offset": o, "ones": is_one, "bits": bits, "candidates": len(long), "records": int(hits.sum())}
+
+    found = summed(bodies(voxels), "mode string, offset int, ones boolean, bits int", "candidates long, records long", each)
+    return found.orderBy(F.desc("records"), F.desc("candidates"), "mode", "offset", F.desc("ones"), "bits")
+
+
+def width_matches(voxels: DataFrame, want: int = 17**3, most: int = 8) -> DataFrame:
+    """(mode, bits, exact, within): bodies as long as want values of so many bits, and those no longer than so many planes of one bit."""
+    plane = -(-want // 8)
+    b = bodies(voxels).withColumns({"n": F.octet_length("body"), "bits": F.explode(F.sequence(F.lit(1), F.lit(most)))})
+    return b.groupBy("mode", "bits").agg(F.count_if(F.col("n") == F.ceil(F.col("bits") * want / 8)).alias("exact"), F.count_if(F.col("n") <= F.col("bits") * plane).alias("within"))
+
+
+def parse_octree(body: bytes, depth: int, ones: bool) -> tuple[bool, int, int]:
+    """Whether the bytes are exactly a tree of masks, one byte a node, each one (or zero) of which has a child, in pre-order; nodes and leaves."""
+    at, leaves, open_at = 0, 0, [0]  # depths of nodes still to come, the next one last
+    while open_at:
+        d = open_at.pop()
+        if at >= len(body):
+            return False, at, leaves
+        children = 0 if d >= depth else (body[at] if ones else ~body[at] & 255).bit_count()
+        at += 1
+        leaves += not children
+        open_at += [d + 1] * children
+    return at == len(body), at, leaves
+
+
+def tree_scan(voxels: DataFrame, most_depth: int = 6) -> DataFrame:
+    """(mode, depth, ones, records, nontrivial, exact, exact_nontrivial, extremes of nodes and leaves): bodies of frames that are octrees of masks;
+    those of more than one byte are not trivial. Best first."""
+    if not 1 <= most_depth <= 8:
+        raise ValueError("the depth must be between 1 and 8")
+
+    def each(b: pa.RecordBatch) -> Iterator[dict]:
+        for mode, own in by_mode(b):
+            for depth, ones in itertools.product(range(1, most_depth + 1), (True, False)):
+                got = [(len(x) > 1, *parse_octree(x, depth, ones)) for x in own]
+                hit = [g for g in got if g[1]]
+                yield {
+                    "mode": mode, "depth": depth, "ones": ones, "records": len(got), "nontrivial": sum(g[0] for g in got), "exact": len(hit), "exact_nontrivial": sum(g[0] for g in hit),
+                    "least_nodes": min((g[2] for g in hit), default=None), "most_nodes": max((g[2] for g in hit), default=None), "least_leaves": min((g[3] for g in hit), default=None), "most_leaves": max((g[3] for g in hit), default=None),
+                }
+
+    found = summed(bodies(voxels, exact=False), "mode string, depth int, ones boolean", "records long, nontrivial long, exact long, exact_nontrivial long", each, "least_nodes int, most_nodes int, least_leaves int, most_leaves int")
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(b, F.lit(0)), F.lit(0.0))
+    return found.orderBy(F.desc(share("exact_nontrivial", "nontrivial")), F.desc(share("exact", "records")), F.desc("exact_nontrivial"), "mode", "depth", F.desc("ones"))
+
+
+#: Where a face is looked at, along each of its axes, and bits of a density.
+FACE, SIDE, DENSITY_BITS = tuple(range(0, 17, 2)), 17, 6
+
+
+def neighbours(voxels: DataFrame) -> DataFrame:
+    """(mode, axis, id, body, other): frames of equal modes whose chunks touch; of several records at one chunk the last counts as a neighbour."""
+    f = frames(voxels).filter((F.col("mode").isin("04", "05")) & (F.col("declared") == F.octet_length("body"))).select("worldId", "id", "chunk_x", "chunk_y", "chunk_z", "mode", "body")
+    last = f.groupBy("worldId", "chunk_x", "chunk_y", "chunk_z").agg(F.max_by(F.struct("mode", "body"), "id").alias("o"))
+    step = lambda a: F.struct(F.lit(a).alias("axis"), *[(F.col(f"chunk_{c}") + int(c == a)).alias(f"chunk_{c}") for c in "xyz"])
+    asked = f.select("worldId", "id", "mode", "body", F.explode(F.array(*map(step, "xyz"))).alias("s")).select("worldId", "id", "mode", "body", "s.*")
+    met = asked.join(last, ["worldId", "chunk_x", "chunk_y", "chunk_z"]).filter(F.col("o.mode") == F.col("mode"))
+    return met.select("mode", "axis", "id", "body", F.col("o.body").alias("other"))
+
+
+def face_places() -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each axis the voxels on the far face of one chunk and on the near face of the next; z is fastest, then y, then x."""
+    at = lambda x, y, z: z + SIDE * y + SIDE * SIDE * x
+    out = {}
+    for k, axis in enumerate("xyz"):
+        two = [*itertools.product(FACE, FACE)]
+        full = lambda edge: np.array([at(*(p[:k] + (edge,) + p[k:])) for p in two])  # noqa: B023, E731
+        out[axis] = full(SIDE - 1), full(0)
+    return out
+
+
+def densities(body: bytes, places: np.ndarray, start: int, order: str) -> np.ndarray:
+    """Values of six bits at the places of a stream that begins at a bit; -1 where the stream ends before one does."""
+    bits = np.unpackbits(np.frombuffer(body, np.uint8), bitorder="big" if order == "msb" else "little").astype(np.int64)
+    first = start + places * DENSITY_BITS
+    ok = first + DENSITY_BITS <= len(bits)
+    out = np.full(len(places), -1)
+    if ok.any():
+        v = bits[first[ok][:, None] + np.arange(DENSITY_BITS)]
+        weight = 1 << np.arange(DENSITY_BITS)
+        out[ok] = v @ (weight[::-1] if order == "msb" else weight)
+    return out
+
+
+SCORES = "face_pairs long, samples long, exact long, active long, active_exact long, observed long, observed_exact long, observed_active long, observed_active_exact long, error long, active_error long, observed_error long, observed_active_error long"
+
+
+def density_scan(voxels: DataFrame, most_byte: int = 4) -> DataFrame:
+    """Ranks readings of bodies as streams of six bits: by mode, byte and bit where they begin, order of bits, and what a voxel beyond the end
+    counts as. Two touching faces of neighbours should be equal; active samples are not zero on both sides, observed ones lie in both streams."""
+    if not 0 <= most_byte <= 16:
+        raise ValueError("the byte offset must be between 0 and 16")
+    where = face_places()
+
+    def each(b: pa.RecordBatch) -> Iterator[dict]:
+        rows = [*zip(*(b.column(c).to_pylist() for c in ("mode", "axis", "body", "other")))]
+        for byte, bit, order in itertools.product(range(most_byte + 1), range(DENSITY_BITS), ("msb", "lsb")):
+            sums: dict = {}
+            for mode, axis, body, other in rows:
+                a, c = densities(body, where[axis][0], byte * 8 + bit, order), densities(other, where[axis][1], byte * 8 + bit, order)
+                seen = (a >= 0) & (c >= 0)
+                for fill in (0, (1 << DENSITY_BITS) - 1):
+                    l, r = np.where(a < 0, fill, a), np.where(c < 0, fill, c)
+                    e, same, active = np.abs(l - r), l == r, (l != 0) | (r != 0)
+                    both = seen & active
+                    got = [1, len(e), same.sum(), active.sum(), (active & same).sum(), seen.sum(), (seen & same).sum(), both.sum(), (both & same).sum(), e.sum(), e[active].sum(), e[seen].sum(), e[both].sum()]
+                    sums[mode, fill] = np.array(got) + sums.get((mode, fill), 0)
+            for (mode, fill), v in sums.items():
+                yield {"mode": mode, "byte_offset": byte, "bit_offset": bit, "bit_order": order, "fill": fill} | dict(zip((x.split()[0] for x in SCORES.split(", ")), v.tolist()))
+
+    found = summed(neighbours(voxels).drop("id"), "mode string, byte_offset int, bit_offset int, bit_order string, fill int", SCORES, each)
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(b, F.lit(0)), F.lit(0.0))
+    return found.orderBy(F.desc(F.col("observed_active") >= 100), F.desc(share("observed_active_exact", "observed_active")), F.desc("observed_active"), F.desc(share("observed_exact", "observed")), "mode", "byte_offset", "bit_offset", "bit_order", "fill")

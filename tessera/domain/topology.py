@@ -13,21 +13,33 @@ from ..operators.spatial import face_contacts
 BOX = ["id", "x0", "x1", "y0", "y1", "z0", "z1"]
 
 
+# What names of tiles say. Families in order of priority (in the name, or a folder of the path), tags in the order of their checks.
+ELEVATOR = "elevator"
+FOLDERS = [("/tunnelpocket/", "tunnel_pocket"), ("/cave/", "cave"), ("/pocket/", "pocket"), ("/poi/", "poi")]
+TAGS = [
+    ("passage", "passage"), ("deposit", "deposit"), ("dungeon", "dungeon"), ("minerbot", "minerbot"), ("elevator", "elevator"), ("corralium", "corralium"), ("gold", "gold"),
+    ("sapphire", "sapphire"), ("spark", "sparkstone"), ("potato", "potato"), ("crystal", "crystal"), ("cyrstal", "crystal"), ("formation", "formations"),
+]
+#: Roles that a route may pass through.
+TRANSIT = ["elevator", "cave", "passage", "tunnel_pocket"]
+
+
 def tile_facts(tiles: DataFrame) -> DataFrame:
-    """Adds name, dimensions and tags of tiles (path), tags in the order of their checks."""
-    name = F.regexp_extract(F.translate("path", "\\", "/"), r"([^/]+)$", 1)
-    low = F.lower(name)
-    checks = ["elevator", "passage", "pocket", "cave", "tunnel", "ramp", "shaft", "entrance"]
+    """Adds name, family, tags (each once, in the order of their checks) and dimensions in chunks of tiles (path)."""
+    path = F.lower(F.translate("path", "\\", "/"))
+    low = F.regexp_extract(path, r"([^/]*)$", 1)
+    family = F.lit("other")
+    for folder, name in reversed(FOLDERS):
+        family = F.when(path.contains(folder), name).otherwise(family)
+    tags = F.array_distinct(F.array_compact(F.array(*[F.when(low.contains(needle), F.lit(tag)) for needle, tag in TAGS])))
     dims = [F.expr(f"try_cast(regexp_extract(path, '(?i)_([0-9]+)x([0-9]+)x([0-9]+)[.]tile$', {k}) as int)") for k in (1, 2, 3)]
-    return tiles.withColumns({"name": name, "tags": F.array_compact(F.array(*[F.when(low.contains(c), F.lit(c)) for c in checks])), "tile_w": dims[0], "tile_d": dims[1], "tile_h": dims[2]})
+    return tiles.withColumns({"name": F.regexp_extract("path", r"([^/]*)$", 1), "family": F.when(low.contains(ELEVATOR), ELEVATOR).otherwise(family), "tags": tags, "tile_w": dims[0], "tile_d": dims[1], "tile_h": dims[2]})
 
 
-def role(tags: Column) -> Column:
-    """The first role in order of priority that the tags name."""
-    out = F.lit("unknown")
-    for t in ("cave", "pocket", "tunnel", "ramp", "passage", "elevator"):
-        out = F.when(F.array_contains(tags, t), t).otherwise(out)
-    return out
+def role(family: Column, tags: Column) -> Column:
+    """What a node is for: elevators and caves by family, passages by tag, then the two kinds of pockets."""
+    passage = F.coalesce(F.array_contains(tags, "passage"), F.lit(False))
+    return F.when(family.isin(ELEVATOR, "cave"), family).when(passage, "passage").when(family.isin("tunnel_pocket", "pocket"), family).otherwise("other")
 
 
 def endpoints(tunnels: DataFrame) -> DataFrame:

@@ -30,23 +30,67 @@ def overlaps(boxes: DataFrame, size: float = 64.0, tolerance: float = 1e-6) -> D
     return met.filter(first[0] & first[1]).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def nearest_box(points: DataFrame, boxes: DataFrame, tolerance: float, size: float = 64.0) -> DataFrame:
-    """(point, box, distance) for each point (point, x, y, z) with a box within the tolerance, inclusive; the nearest, then the smallest, then
-    the lowest id."""
+def near_boxes(points: DataFrame, boxes: DataFrame, tolerance: float, size: float = 64.0) -> DataFrame:
+    """Points (point, x, y, z) beside all boxes within the tolerance, inclusive, with their distance and volume."""
     b = boxes.withColumn("_cx", cells(F.col("x0") - tolerance, F.col("x1") + tolerance, size)).withColumn("_cy", cells(F.col("y0") - tolerance, F.col("y1") + tolerance, size))
     p = points.select("point", *AXES, F.floor(F.col("x") / size).cast("long").alias("_cx"), F.floor(F.col("y") / size).cast("long").alias("_cy"))
     distance = F.sqrt(sum((gap(x, f"{x}0", f"{x}1") ** 2 for x in AXES), F.lit(0.0)))
     volume = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * (F.col("z1") - F.col("z0"))
-    met = p.join(b, ["_cx", "_cy"]).withColumn("distance", distance).filter(F.col("distance") <= tolerance)
-    return met.groupBy("point").agg(F.min(F.struct("distance", volume.alias("volume"), "id")).alias("n")).select("point", F.col("n.id").alias("box"), F.col("n.distance").alias("distance"))
+    return p.join(b, ["_cx", "_cy"]).withColumns({"distance": distance, "volume": volume}).filter(F.col("distance") <= tolerance).drop("_cx", "_cy")
+
+
+def nearest_box(points: DataFrame, boxes: DataFrame, tolerance: float, size: float = 64.0) -> DataFrame:
+    """(point, box, distance) for each point (point, x, y, z) with a box within the tolerance, inclusive; the nearest, then the smallest, then
+    the lowest id."""
+    met = near_boxes(points, boxes, tolerance, size)
+    return met.groupBy("point").agg(F.min(F.struct("distance", "volume", "id")).alias("n")).select("point", F.col("n.id").alias("box"), F.col("n.distance").alias("distance"))
+
+
+def nearest_group(points: DataFrame, boxes: DataFrame, group: str, tolerance: float, size: float = 64.0) -> DataFrame:
+    """(point, group, distance): the nearest group of boxes within the tolerance; equal distances go to the lowest group."""
+    met = near_boxes(points, boxes, tolerance, size)
+    return met.groupBy("point").agg(F.min(F.struct("distance", group)).alias("n")).select("point", F.col(f"n.{group}").alias(group), F.col("n.distance").alias("distance"))
 
 
-def canonical_face(x: Column, y: Column, w: Column, d: Column, rotation: Column) -> tuple[Column, Column]:
-    """A point of a turned footprint of w by d as it lies in the unturned tile; the inverse of turning by quarters."""
-    return (
-        F.when(rotation == 0, x).when(rotation == 1, y).when(rotation == 2, w - x).otherwise(d - y),
-        F.when(rotation == 0, y).when(rotation == 1, w - x).when(rotation == 2, d - y).otherwise(x),
-    )
+def turned_point(x: Column, y: Column, w: Column, d: Column, rotation: Column) -> tuple[Column, Column]:
+    """A point of a tile of w by d as it lies in its footprint after so many quarter turns; canonical_point turns it back."""
+    r = rotation.bitwiseAND(3)
+    return F.when(r == 1, d - y).when(r == 2, w - x).when(r == 3, y).otherwise(x), F.when(r == 1, x).when(r == 2, d - y).when(r == 3, w - x).otherwise(y)
+
+
+def canonical_point(x: Column, y: Column, w: Column, d: Column, rotation: Column) -> tuple[Column, Column]:
+    """A point of a footprint as it lies in the unturned tile of w by d."""
+    r = rotation.bitwiseAND(3)
+    return F.when(r == 1, y).when(r == 2, w - x).when(r == 3, w - y).otherwise(x), F.when(r == 1, d - x).when(r == 2, d - y).when(r == 3, x).otherwise(y)
+
+
+def inside(tolerance: float = 1e-6) -> Column:
+    """Whether x, y, z lie in x0 to x1 and so on, faces included."""
+    out = F.lit(True)
+    for x in AXES:
+        out = out & F.col(x).between(F.col(f"{x}0") - tolerance, F.col(f"{x}1") + tolerance)
+    return out
+
+
+def ray_exit(rows: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Adds exit: where a line from x, y, z along dx, dy, dz meets the box's faces first: (distance, face, x, y, z, method). From inside it only
+    goes forward ("ray"), from outside both ways ("line"); a line that meets no face has the nearest one ("nearest-fallback") and the point itself."""
+    start_inside = inside(tolerance)
+    options = []
+    for x in AXES:
+        for side, bound in (("-", f"{x}0"), ("+", f"{x}1")):
+            d = F.col(f"d{x}")
+            t = F.when(F.abs(d) > tolerance, (F.col(bound) - F.col(x)) / d)
+            at = {y: F.col(y) + t * F.col(f"d{y}") for y in AXES}
+            on = F.lit(True)
+            for y in AXES:
+                on = on & at[y].between(F.col(f"{y}0") - tolerance, F.col(f"{y}1") + tolerance)
+            options.append(F.when(on & (~start_inside | (t >= -tolerance)), F.struct(F.abs(t).alias("distance"), F.lit(x + side).alias("face"), *[at[y].alias(y) for y in AXES])))
+    hit = F.array_min(F.array_compact(F.array(*options)))
+    near = F.array_min(F.array(*[F.struct(F.abs(F.col(x) - F.col(b)).alias("distance"), F.lit(x + s).alias("face")) for x in AXES for s, b in (("-", f"{x}0"), ("+", f"{x}1"))]))
+    fallback = F.struct(near["distance"].alias("distance"), near["face"].alias("face"), *AXES, F.lit("nearest-fallback").alias("method"))
+    found = F.struct(hit["distance"].alias("distance"), hit["face"].alias("face"), *[hit[y].alias(y) for y in AXES], F.when(start_inside, "ray").otherwise("line").alias("method"))
+    return rows.withColumns({"nearest": near, "exit": F.when(hit.isNotNull(), found).otherwise(fallback)})
 
 
 def faces(point: DataFrame) -> DataFrame:
@@ -55,5 +99,5 @@ def faces(point: DataFrame) -> DataFrame:
     for x in AXES:
         u, v = [o for o in AXES if o != x]
         for side, bound in (("-", f"{x}0"), ("+", f"{x}1")):
-            options.append(F.struct(F.abs(F.col(x) - F.col(bound)).alias("distance"), F.lit(side + x).alias("face"), (F.col(u) - F.col(f"{u}0")).alias("u"), (F.col(v) - F.col(f"{v}0")).alias("v")))
+            options.append(F.struct(F.abs(F.col(x) - F.col(bound)).alias("distance"), F.lit(x + side).alias("face"), (F.col(u) - F.col(f"{u}0")).alias("u"), (F.col(v) - F.col(f"{v}0")).alias("v")))
     return point.withColumn("_f", F.array_min(F.array(*options))).select("*", "_f.face", "_f.u", "_f.v").drop("_f")

@@ -15,10 +15,17 @@ def sweep(records: DataFrame, parameters: DataFrame, hit: Column, keys: list[str
 def leave_one_group_out(df: DataFrame, fold: str, value: str) -> DataFrame:
     """For each fold the errors, on its rows, of the mean and of the midrange of all other folds; both are scored on the same rows.
 
-    Sums and extremes of the folds are enough, so the rows are read once and only aggregates meet each other.
+    Of the others the sums are the totals less the fold's own, and the extremes the best that are not its own: of all folds the two least and the
+    two greatest are enough. One aggregate of the rows, one of the folds, one row of totals.
     """
     f = df.groupBy(fold).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    other = f.select(F.col(fold).alias("_f"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    t = f.join(other, F.col(fold) != F.col("_f")).groupBy(fold, "n", "s", "ss").agg(F.sum("_n").alias("tn"), F.sum("_s").alias("ts"), F.min("_lo").alias("tlo"), F.max("_hi").alias("thi"))
+    low, high = F.struct("lo", F.col(fold).alias("f")), F.struct("hi", F.col(fold).alias("f"))
+    best = f.agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.min(low).alias("l1"), F.max(high).alias("h1"), F.count("*").alias("_folds"))
+    second = f.withColumn("_one", F.lit(1)).join(best.select("l1", "h1", F.lit(1).alias("_one")), "_one")
+    second = second.agg(F.min(F.when(F.col(fold) != F.col("l1.f"), F.col("lo"))).alias("l2"), F.max(F.when(F.col(fold) != F.col("h1.f"), F.col("hi"))).alias("h2"))
+    totals = best.withColumn("_one", F.lit(1)).join(second.withColumn("_one", F.lit(1)), "_one")
+    t = f.withColumn("_one", F.lit(1)).join(totals, "_one").filter("_folds > 1")
+    tlo = F.when(F.col(fold) == F.col("l1.f"), F.col("l2")).otherwise(F.col("l1.lo"))
+    thi = F.when(F.col(fold) == F.col("h1.f"), F.col("h2")).otherwise(F.col("h1.hi"))
     error = lambda m: F.sqrt((F.col("ss") - 2 * m * F.col("s") + m * m * F.col("n")) / F.col("n"))
-    return t.select(fold, "n", error(F.col("ts") / F.col("tn")).alias("rmse_mean"), error((F.col("tlo") + F.col("thi")) / 2).alias("rmse_midrange"))
+    return t.select(fold, "n", error((F.col("_s") - F.col("s")) / (F.col("_n") - F.col("n"))).alias("rmse_mean"), error((tlo + thi) / 2).alias("rmse_midrange"))

@@ -1,6 +1,7 @@
 """Graphs as edges (a, b): degrees, components, reach, and cheapest paths under several ideas of cost.
 
-Everything iterates over DataFrames, a bounded number of rounds, with checkpoints of the frontier; nothing but counters reaches the driver.
+Everything iterates over DataFrames until nothing changes, which each round brings nearer, with checkpoints of the frontier; nothing but
+counters reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; a temporary one is set only where none is, as in tests."""
+    """A checkpoint in the cluster's shared folder; a temporary one is set only where none is and Spark is local, as in tests."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
@@ -30,11 +33,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(swapped)
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component: its least node). Labels fall to the least neighbour's, then to the label's own label, which halves chains."""
     links = cut(both_ways(edges.select("a", "b")).distinct())
     labels = cut(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(rounds):
+    while True:  # a label only falls, and one round takes each to its label's label
         near = links.join(labels, links["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node").select("node", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
@@ -43,20 +46,20 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         labels = new
         if same:
             return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError("the components did not settle")
 
 
-def cheapest(edges: DataFrame, start: DataFrame, step: Column, zero: Column, rounds: int = 1000) -> DataFrame:
+def cheapest(edges: DataFrame, start: DataFrame, step: Column, zero: Column) -> DataFrame:
     """(node, cost, previous): the least cost from the start nodes (node) over edges (a, b, ...), which lead both ways.
 
     step combines the cost so far (column cost) with an edge's columns; costs are compared as Spark compares them, so a struct is compared
     field by field: (contacts, distance) prefers fewer contacts, and a step of greatest(cost, grade) finds the least steep path. Equal costs
-    keep the smaller previous node. Each round moves the frontier by one edge; only nodes that became cheaper are in the next.
+    keep the smaller previous node. Each round moves the frontier by one edge; only nodes that became cheaper are in the next. A step must
+    never lower a cost, as Dijkstra's too; then the frontier empties after as many rounds as the longest cheapest path has edges.
     """
     links = cut(both_ways(edges))
     best = cut(start.select("node", zero.alias("cost"), F.lit(None).cast(links.schema["a"].dataType).alias("previous")))
     frontier = best
-    for _ in range(rounds):
+    while True:
         reached = frontier.join(links, frontier["node"] == links["a"]).select(F.col("b").alias("node"), step.alias("cost"), F.col("a").alias("previous"))
         reached = reached.groupBy("node").agg(F.min(F.struct("cost", "previous")).alias("n")).select("node", "n.cost", "n.previous")
         old = best.select("node", F.col("cost").alias("old"))
@@ -64,7 +67,6 @@ def cheapest(edges: DataFrame, start: DataFrame, step: Column, zero: Column, rou
         if frontier.isEmpty():
             return best
         best = cut(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
-    raise RuntimeError("the paths did not settle")
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -73,25 +75,31 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def path_to(tree: DataFrame, target) -> list:
-    """The nodes of one cheapest path, from start to target; a lookup for each node of the path."""
-    out, seen = [], set()
-    while target is not None:
-        row = tree.filter(F.col("node") == target).first()
-        if row is None or target in seen:
-            raise ValueError(f"no path to {target!r}")
-        out.append(target)
-        seen.add(target)
-        target = row["previous"]
-    return out[::-1]
-
-
-def mutual_nearest(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+    """The nodes of one cheapest path, from start to target. The tree's rows know the ancestor 1, 2, 4, ... steps up, so a path of n edges takes
+    about log n joins; only the path reaches the driver."""
+    up = tree.select("node", F.col("previous").alias("to"))
+    path = cut(up.filter(F.col("node") == target).select(F.lit(0).alias("steps"), "node"))
+    if path.isEmpty():
+        raise ValueError(f"no path to {target!r}")
+    step = 1
+    while True:
+        far = path.join(up, "node").filter("to is not null").select((F.col("steps") + step).alias("steps"), F.col("to").alias("node"))
+        if far.isEmpty():
+            return [r["node"] for r in path.orderBy(F.desc("steps")).collect()]
+        path = cut(path.unionByName(far))
+        next_up = up.select(F.col("node").alias("to"), F.col("to").alias("_f"))
+        up = cut(up.join(next_up, "to").select("node", F.col("_f").alias("to")))
+        step *= 2
+
+
+def mutual_nearest(pairs: DataFrame) -> DataFrame:
     """Greedy one-to-one matching of pairs (l, r, d): (l, r, d) in the order of (d, l, r), each side used once.
 
-    A pair that is the least at both of its ends is what the greedy order takes sooner or later, so all of them are taken at once.
+    A pair that is the least at both of its ends is what the greedy order takes sooner or later, so all of them are taken at once. The least of all
+    pairs is such a pair, so every round takes one at least.
     """
     left, out = cut(pairs.select("l", "r", "d")), None
-    for _ in range(rounds):
+    while True:
         key = F.struct("d", "l", "r")
         by_l, by_r = left.groupBy("l").agg(F.min(key).alias("k")).select("k.*"), left.groupBy("r").agg(F.min(key).alias("k")).select("k.*")
         taken = cut(by_l.intersect(by_r))
@@ -99,4 +107,3 @@ def mutual_nearest(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
             return left.filter(F.lit(False)) if out is None else out
         out = taken if out is None else cut(out.unionByName(taken))
         left = cut(left.join(taken.select("l"), "l", "left_anti").join(taken.select("r"), "r", "left_anti"))
-    raise RuntimeError("the matching did not settle")

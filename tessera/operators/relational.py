@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def histogram_topk(df: DataFrame, key: str, k: int, tie: str | None = None) -> DataFrame:
     """The k most frequent keys with their rank; of equal counts the smaller tie value first."""
@@ -73,3 +75,20 @@ def error_stats(df: DataFrame, group: str, error: str) -> DataFrame:
     """Median, mean, root mean square, greatest error, and greatest distance from the group's median."""
     centre = df.groupBy(group).agg(F.median(error).alias("median"), F.count("*").alias("records"), F.avg(error).alias("mean"), F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rmse"), F.max(F.abs(error)).alias("max_abs"), F.min(error).alias("lo"), F.max(error).alias("hi"))
     return centre.select(group, "records", "median", "mean", "rmse", "max_abs", F.greatest(F.col("hi") - F.col("median"), F.col("median") - F.col("lo")).alias("max_from_median"))
+
+
+def before(counts: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, before): for each of a few keys the sum of the value over all smaller keys, from one row that holds them all."""
+    all_of = counts.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).cast("long").alias("v")))).alias("c"))
+    sums = F.aggregate("c", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["v"])))
+    each = all_of.select("c", sums.alias("s")).select(F.explode(F.transform("c", lambda x, i: F.struct(x["k"].alias("k"), F.get("s", i).alias("b")))).alias("z"))
+    return each.select(F.col("z.k").alias(key), F.col("z.b").alias("before"))
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds a number from 1 in the given order, which must be total. Rows are dealt out by ranges of the order and numbered within their range; no
+    task sees more than one range."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    offsets = before(ranged.groupBy("_range").agg(F.count("*").alias("n")), "_range", "n")
+    inner = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long"))
+    return inner.join(offsets, "_range").withColumn(name, F.col(name) + F.col("before")).drop("_range", "before")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+import re
 import struct
 from collections.abc import Iterator
 
@@ -71,15 +73,51 @@ def lz4_block(data: bytes, limit: int) -> bytes:
     raise Reject("lz4:no end")
 
 
+def lz4_prefix(data: bytes, size: int) -> tuple[bytes, int]:
+    """A raw block of a known size that other bytes may follow: what it holds, and how many bytes it takes."""
+    end = lz4_length(data, size)
+    return lz4_block(data[:end], size), end
+
+
+def lz4_length(data: bytes, size: int) -> int:
+    """How many bytes of a raw block make so many; only lengths are read, nothing is copied."""
+    at, made, end = 0, 0, len(data)
+    while at < end:
+        token, at = data[at], at + 1
+        n = token >> 4
+        if n == 15:
+            while at < end and data[at] == 255:
+                n, at = n + 255, at + 1
+            if at >= end:
+                raise Reject("lz4:truncated length")
+            n, at = n + data[at], at + 1
+        at, made = at + n, made + n
+        if at > end or made > size:
+            raise Reject("lz4:truncated literals" if at > end else "lz4:size")
+        if made == size:
+            return at
+        if at + 2 > end:
+            raise Reject("lz4:truncated offset")
+        at += 2
+        n = token & 15
+        if n == 15:
+            while at < end and data[at] == 255:
+                n, at = n + 255, at + 1
+            if at >= end:
+                raise Reject("lz4:truncated length")
+            n, at = n + data[at], at + 1
+        made += n + 4
+    raise Reject("lz4:size")
+
+
 def lz4_exact(data: bytes, size: int) -> bytes:
-    """A raw block whose size is known."""
+    """A raw block whose size is known. The library writes beyond nothing but does not say how much it wrote, so the lengths are added up."""
+    if lz4_length(data, size) != len(data):
+        raise Reject("lz4:trailing")
     try:
-        out = pa.decompress(data, decompressed_size=size, codec="lz4_raw", asbytes=True)
+        return pa.decompress(data, decompressed_size=size, codec="lz4_raw", asbytes=True)
     except (OSError, pa.ArrowException) as e:
         raise Reject(f"lz4:{e}") from e
-    if lz4_block(data, size) != out:
-        raise Reject("lz4:size")
-    return out
 
 
 class Bits:
@@ -248,12 +286,20 @@ def voxel(ident: int, x: int, y: int, blob: bytes) -> dict:
     return {"chunk_x": cx, "chunk_y": cy, "chunk_z": cz, "size": len(data), "payload": data[VOXEL_PAYLOAD_AT:]}
 
 
+def portal_header(blob: bytes) -> dict | None:
+    """The columns of a portal's row as its blob repeats them, in 29 bytes; null where it is shorter."""
+    if len(blob) < 29:
+        return None
+    prefix, marker, ident, flag_a, y_a, x_a, world_a, flag_b, y_b, x_b, world_b = struct.unpack_from(">BHIBiiHBiiH", blob)
+    return {"prefix": prefix, "marker": marker, "id": ident, "flag_a": flag_a, "x_a": x_a, "y_a": y_a, "world_a": world_a, "flag_b": flag_b, "x_b": x_b, "y_b": y_b, "world_b": world_b}
+
+
 def portal(blob: bytes) -> dict:
-    """Side B is there from 812 bits on."""
+    """The transforms; side B is there from 812 bits on. Also the header, and the bits after what was read."""
     if len(blob) * 8 < 570:
         raise Reject("portal:short")
     bits = Bits(blob, 29 * 8)
-    out, numbers = {"dimensions": [*bits.floats(3)]}, []
+    out, numbers = {"header": portal_header(blob), "dimensions": [*bits.floats(3)]}, []
     for side in "ab" if len(blob) * 8 >= 812 else "a":
         bits.take(2)
         out[f"world_{side}"] = bits.take(16)
@@ -261,7 +307,15 @@ def portal(blob: bytes) -> dict:
         numbers += out[f"position_{side}"] + out[f"rotation_{side}"]
     if not all(map(math.isfinite, numbers + out["dimensions"])):
         raise Reject("portal:not finite")
-    return out
+    left = len(blob) * 8 - bits.at
+    return out | {"tail_at": bits.at, "tail_bits": f"{bits.take(left):0{left}b}" if left else ""}
+
+
+def aligned_floats(blob: bytes, start: int = 29) -> Iterator[dict]:
+    """Every four bytes from start on as a big-endian float; one that is not finite has no value but its name."""
+    for at in range(start, len(blob) - 3, 4):
+        x = struct.unpack_from(">f", blob, at)[0]
+        yield {"offset": at, "hex": blob[at : at + 4].hex(), "value": x if math.isfinite(x) else None, "text": str(x)}
 
 
 #: Where the directory of a cell keeps each kind: count, index, compressed and full size (None: no count), each over so many levels.
@@ -303,6 +357,70 @@ def tile_objects(data: bytes) -> Iterator[dict]:
                 yield {"kind": c["kind"], "cell": c["cell"], "number": k, "x": f[0] + 64.0 * c["cell_x"], "y": f[1] + 64.0 * c["cell_y"], "z": f[2], "rotation": [*f[3:7]], "scale": [*f[7:10]], "uuid_hex": r[40:56].hex(), "tail_hex": r[56:].hex()}
 
 
+#: Fixed value: what stands between a tunnel node's transform and the length of its parameters.
+TUNNEL_NODE = bytes.fromhex("0100470000004c554100000001050000000102000000030074756e6e656c0c866c52e429a84bbf3341b2bf7b626186")
+BLOCK_BYTES = 16**3
+
+
+def bodies(data: bytes, kind: str) -> Iterator[tuple[dict, bytes]]:
+    """The present chunks of a kind, decompressed."""
+    for c in tile_chunks(data):
+        if c["kind"] == kind and c["present"]:
+            yield c, lz4_exact(data[c["index"] : c["index"] + c["packed"]], c["full"])
+
+
+def tile_nodes(data: bytes) -> Iterator[dict]:
+    """Tunnel nodes: a transform of ten floats, the fixed bytes, the size of a JSON text, the text."""
+    for c, body in bodies(data, "node"):
+        if len(body) < 8 or not body[0]:
+            raise Reject("node:short" if len(body) < 8 else "node:no groups")
+        found, at = 0, 1
+        while (at := body.find(TUNNEL_NODE, at)) >= 0:
+            start, size_at = at - 40, at + len(TUNNEL_NODE)
+            if start < 0:
+                raise Reject("node:no transform")
+            end = size_at + 4 + int.from_bytes(body[size_at : size_at + 4], "big")
+            if size_at + 4 > len(body) or end > len(body):
+                raise Reject("node:truncated")
+            try:
+                text = body[size_at + 4 : end].decode()
+                parameters = json.loads(text)
+            except ValueError:
+                raise Reject("node:json") from None
+            if not isinstance(parameters, dict) or not isinstance(parameters.get("tunnel"), dict):
+                at += 1
+                continue
+            f = struct.unpack_from("<10f", body, start)
+            yield {"cell": c["cell"], "number": found, "x": f[0] + 64.0 * c["cell_x"], "y": f[1] + 64.0 * c["cell_y"], "z": f[2], "rotation": [*f[3:7]], "scale": [*f[7:10]], "parameters": text}
+            found, at = found + 1, end
+        if body[0] == 1 and c["count"] is not None and found != c["count"]:
+            raise Reject("node:count")
+
+
+def tile_voxels(data: bytes) -> Iterator[dict]:
+    """Voxel blocks of a tile: where each lies, in blocks, and its bytes, z fastest, then y, then x."""
+    for c, body in bodies(data, "voxel_terrain"):
+        if len(body) % (12 + BLOCK_BYTES):
+            raise Reject("voxel:alignment")
+        if c["count"] and c["count"] * (12 + BLOCK_BYTES) != len(body):
+            raise Reject("voxel:count")
+        for k in range(len(body) // (12 + BLOCK_BYTES)):
+            r = body[k * (12 + BLOCK_BYTES) : (k + 1) * (12 + BLOCK_BYTES)]
+            x, y, z = struct.unpack_from("<3i", r)
+            yield {"cell": c["cell"], "number": k, "bx": x, "by": y, "bz": z, "data": r[12:]}
+
+
+def tile_dump(data: bytes, kind: str, least: int = 4, most_floats: int = 64) -> Iterator[dict]:
+    """What can be said of a chunk whose format is not known: its digest, its ends, its texts, and floats of a plausible size."""
+    for c, body in bodies(data, kind):
+        floats = []
+        for at in range(0, len(body) - 3, 4):
+            x = struct.unpack_from("<f", body, at)[0]
+            if abs(x) <= 1e5 and (x == 0 or abs(x) >= 1e-12) and len(floats) < most_floats:
+                floats.append(x)
+        yield {"cell": c["cell"], "level": c["level"], "size": len(body), "sha256": hashlib.sha256(body).hexdigest(), "head": body[:128].hex(), "tail": body[-64:].hex(), "texts": [m.decode() for m in re.findall(rb"[ -~]{%d,}" % least, body)], "floats": floats}
+
+
 def json_number(text: str, name: str) -> float | None:
     try:
         x = json.loads(text).get(name)

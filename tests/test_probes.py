@@ -1,3 +1,4 @@
+import random
 import struct
 import sys
 from pathlib import Path
@@ -16,15 +17,18 @@ def voxels(spark, payloads):
 def test_payload_profiles(spark):
     df = voxels(spark, [b"\x04\x00\x02ab", b"\x04\x00\x09a", b"\x00", b"\x01\x02\x03\x04", b"\x01\x02\x03\x04", b"\x09\x02\x03\x04"])
     got = {r["mode"]: r for r in P.payload_frames(df).collect()}
-    assert (got["04"]["records"], got["04"]["exact_frames"], got["04"]["mean"], got["00"]["single_zeros"]) == (2, 1, 4.5, 1)
-    assert [(r["value"], r["records"]) for r in P.payload_values(df, 2).orderBy("rank").collect()] == [("01020304", 2), ("04000961", 1)]
+    assert (got["04"]["records"], got["04"]["exact_frames"], got["04"]["mean"], "00" in got) == (2, 1, 1.5, False)
+    four = P.payload_profile(df, 2).filter("aspect = 'four_bytes'").orderBy("rank").collect()
+    assert [(r["value"], r["records"]) for r in four] == [("01020304", 2), ("04000961", 1)]
+    assert [r["id"] for r in P.diverse_examples(df, 4).collect()] == [1, 3, 5, 0]
     df = spark.createDataFrame([(1, bytearray(b"abXcd")), (1, bytearray(b"abYYcd")), (2, bytearray(b"q"))], "g int, d binary")
     assert {r["g"]: (r["prefix"], r["suffix"]) for r in P.byte_affixes(df, "g", "d").collect()} == {1: (2, 2), 2: (1, 1)}
 
 
 def test_lz4_starts(spark):
-    df = spark.createDataFrame([(1, bytearray(b"\xff\xff\xff" + X.lz4(b"hello"))), (2, None)], "id int, data binary")
-    assert (1, 3, 5) in {tuple(r) for r in P.lz4_starts(df).collect()}
+    df = spark.createDataFrame([(1, bytearray(b"\xff\xff\xff" + X.lz4(b"\x41\x80zzz") + b"more")), (2, None)], "id int, data binary")
+    got = {(r["id"], r["offset"]): r for r in P.lz4_starts(df, want=5).collect()}
+    assert (got[1, 3]["packed"], got[1, 3]["dense"], got[1, 3]["materials"]) == (6, 4, [0, 4, 1, 0])
 
 
 def test_the_planted_layout_ranks_first(spark):
@@ -37,9 +41,62 @@ def test_codec_and_mask_scans(spark):
     runs = bytes([0x80 | 9, 7, 0x80 | 4, 1]) + bytes([5]) + b"abcdef"  # 10 + 5 values in runs, 6 literals
     got = {(r["literal_first"], r["bias"], r["offset"]): r["records"] for r in P.codec_scan(voxels(spark, [b"\x04" + runs, runs]), want=21).collect()}
     assert got[False, 1, 0] == 1 and got[False, 1, 1] == 1
-    payload = b"\x00" + bytes([0b10110000, 0b00000001, 0]) + b"xy"  # four ones of four bits after a byte
-    got = {(r["offset"], r["ones"], r["bits"]) for r in P.mask_scan(voxels(spark, [payload]), want=24).collect()}
-    assert (1, True, 4) in got and (1, True, 5) not in got
+    body = b"\x00" + bytes([0b10110000, 0b00000001, 0]) + b"xy"  # four ones of four bits after a byte
+    got = {(r["mode"], r["offset"], r["ones"], r["bits"]): r["records"] for r in P.mask_scan(voxels(spark, [b"\x04\x00\x06" + body]), want=24).collect()}
+    assert got["04", 1, True, 4] == got["all", 1, True, 4] == 1 and got["all", 1, True, 5] == 0
+    assert P.mask_scan(voxels(spark, [b"\x04\x00\x06" + body]), want=24).first()["records"] == 1
+    got = {r["bits"]: (r["exact"], r["within"]) for r in P.width_matches(voxels(spark, [b"\x04\x00\x06" + body]), want=24, most=3).collect()}
+    assert got == {1: (0, 0), 2: (1, 1), 3: (0, 1)}
+
+
+def plain_tree(body, depth, ones):
+    """By recursion, as the format reads."""
+    at = 0
+
+    def node(d):
+        nonlocal at
+        if at >= len(body):
+            return False
+        mask = body[at] if ones else ~body[at] & 255
+        at += 1
+        return d >= depth or all([node(d + 1) for _ in range(bin(mask).count("1"))])
+
+    return node(0) and at == len(body)
+
+
+def test_octrees(spark):
+    rng = random.Random(4)
+    for _ in range(300):
+        body = bytes(rng.choice([0, 1, 3, 255, 254, 128]) for _ in range(rng.randrange(0, 8)))
+        for depth in (1, 2, 3):
+            for ones in (True, False):
+                assert P.parse_octree(body, depth, ones)[0] == plain_tree(body, depth, ones)
+    best = P.tree_scan(voxels(spark, [b"\x04\x00\x03\x03\x00\x00", b"\x05\x00\x02\x01\x00"]), 3).first()
+    assert (best["ones"], best["exact"], best["exact_nontrivial"]) == (True, best["records"], best["records"])
+
+
+def test_density_streams(spark):
+    """Neighbours written by one field in six bits, the highest first, after one byte: that reading is exact on all faces."""
+    value = lambda x, y, z: (x * 5 + y * 3 + z * 7) % 64
+
+    def body(cx):
+        bits = "".join(f"{value(x + 16 * cx, y, z):06b}" for x in range(17) for y in range(17) for z in range(17))
+        bits += "0" * (-len(bits) % 8)
+        return b"\x00" + int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+    rows = [(k, 1, None, k, 0, 0, bytearray(b"\x04" + len(body(k)).to_bytes(2, "big") + body(k))) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "id int, worldId int, reject_reason string, chunk_x int, chunk_y int, chunk_z int, payload binary")
+    got = {(r["byte_offset"], r["bit_offset"], r["bit_order"], r["fill"]): r for r in P.density_scan(df, 1).collect()}
+    own = got[1, 0, "msb", 0]
+    assert (own["face_pairs"], own["samples"], own["observed_active_exact"], own["error"]) == (1, 81, own["observed_active"], 0) and own["observed_active"] > 70
+    assert len(got) == 2 * 6 * 2 * 2
+
+
+def test_structure(spark):
+    blob = b"zz\x0c\x00\x01" + struct.pack(">I", 7) + b"\xff" * 4 + bytes(8) + struct.pack(">iii", 9, -3, 5)
+    df = spark.createDataFrame([(7, 2, -1, bytearray(blob)), (8, 2, -1, bytearray(blob)), (7, 3, -1, bytearray(blob))], "id int, x int, y int, data binary")
+    got = [(r["marker_at"], r["id_at"], r["minus_one"], r["exact"], r["boundary"]) for r in P.structure(df).collect()]
+    assert got == [(2, 5, True, True, True), (2, None, False, False, False), (2, 5, True, False, False)]
 
 
 def test_codec_scan_holds_every_codec(spark):

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -122,15 +123,48 @@ def test_tiles(spark, tmp_path):
     assert [(r["x"], r["y"], r["z"], r["tail_hex"]) for r in got] == [(1.0, 2.0, 3.0, b"123456789".hex()), (4.0, 5.0, 6.0, b"123456789".hex())]
 
 
+MARKER, RECORD = "X_GROUND_META,", "X_GROUND,"
+
+
 def log(world, count, rows, extra=""):
-    return [f"12:00 GROUND_META,world={world},count={count}", *[f"x GROUND,{k},1,1.0,2.0,3.0,{world},4.0,0,0,1,terrain{extra}" for k in rows], "noise"]
+    return [f"12:00 {MARKER}world={world},count={count}", *[f"x {RECORD}{k},1,1.0,2.0,3.0,{world},4.0,0,0,1,terrain{extra}" for k in rows], "noise", "[ui] BACKGROUND,loaded"]
 
 
-def test_latest_run(spark):
+def test_latest_run(spark, tmp_path):
     frame = lambda lines: spark.createDataFrame([("f", k, v) for k, v in enumerate(lines)], "file string, line long, value string")
-    rows = logs.parsed(frame(log(3, 2, [0, 1]) + log(4, 1, [0]) + log(3, 2, [0, 1], ",new")))
+    parsed = lambda lines: logs.parsed(frame(lines), MARKER, RECORD)
+    rows = parsed(log(3, 2, [0, 1]) + log(4, 1, [0]) + log(3, 2, [0, 1], ",new"))
     assert [r["kind"] for r in logs.latest_run(rows, 3, 2).orderBy("index").collect()] == ["terrain,new"] * 2
     with pytest.raises(ValueError):  # a broken newest run does not give way to an older one
-        logs.latest_run(logs.parsed(frame(log(3, 2, [0, 1]) + log(3, 2, [0]))), 3, 2)
-    bad = logs.parsed(frame(["GROUND,1,2", "GROUND,-1,1,1,2,3,4,5,6,7,8,k"]))
+        logs.latest_run(parsed(log(3, 2, [0, 1]) + log(3, 2, [0])), 3, 2)
+    with pytest.raises(logs.NoRun):
+        logs.latest_run(rows, 5, 2)
+    with pytest.raises(ValueError):
+        logs.latest_run(parsed([f"{MARKER}world=x"] + log(3, 2, [0, 1])), 3, 2)
+    bad = parsed([f"{RECORD}1,2", f"{RECORD}-1,1,1,2,3,4,5,6,7,8,k"])
     assert [r["reject_reason"] for r in bad.orderBy("line").collect()] == ["fields", "values"]
+
+
+def test_newest_log(spark, tmp_path):
+    for k, (name, lines) in enumerate({"game1.log": log(3, 2, [0, 1]), "game2.log": log(3, 2, [0, 1], ",new"), "game3.log": log(9, 1, [0]), "other.log": ["x"]}.items()):
+        (tmp_path / name).write_text("\n".join(lines))
+        os.utime(tmp_path / name, (1000 + k, 1000 + k))
+    folder = f"file://{tmp_path}"
+    got = logs.newest_run(spark, folder, 3, 2, MARKER, RECORD)
+    assert {r["kind"] for r in got.collect()} == {"terrain,new"}
+    logs.write_run(got, f"{folder}/run", RECORD)
+    assert [r["value"][:11] for r in spark.read.text(f"{folder}/run").collect()] == [f"{RECORD}0,", f"{RECORD}1,"]
+    (tmp_path / "game4.log").write_text("\n".join(log(3, 2, [0])))
+    with pytest.raises(ValueError):  # the newest run is broken
+        logs.newest_run(spark, folder, 3, 2, MARKER, RECORD)
+    with pytest.raises(logs.NoRun):
+        logs.newest_run(spark, folder, 8, 2, MARKER, RECORD)
+
+
+def test_plans():
+    sample = lambda x: {"world_xy": [x, 1.0], "estimated_surface_world_z": 2}
+    plan = {"world_id": 3, "alignment": {"status": "two_or_more_independent_tunnel_anchors"}, "critical_edge": {"world_samples": [sample(1), sample(2)]}}
+    assert logs.checked_plan(plan) == (3, plan["critical_edge"]["world_samples"])
+    for broken in ({}, [], plan | {"world_id": True}, plan | {"alignment": {}}, plan | {"critical_edge": {"world_samples": []}}, plan | {"critical_edge": {"world_samples": [sample(1), sample(1.0)]}}, plan | {"critical_edge": {"world_samples": [sample(float("nan"))]}}):
+        with pytest.raises(ValueError):
+            logs.checked_plan(broken)

@@ -64,15 +64,13 @@ def test_nearest_box_ties(spark):
 
 
 def test_tiles_templates_and_turns(spark):
-    t = T.tile_facts(spark.createDataFrame([("a\\b/Cave_Passage_2x3x4.TILE",), ("x",)], "path string")).collect()
-    assert (t[0]["name"], t[0]["tile_w"], t[0]["tile_d"], t[0]["tile_h"], t[0]["tags"]) == ("Cave_Passage_2x3x4.TILE", 2, 3, 4, ["passage", "cave"])
-    assert t[1]["tile_w"] is None and t[1]["tags"] == []
+    paths = ["$A\\TunnelPocket\\Passage_Gold_2x3x4.TILE", "x", "a/Cave/Cyrstal_Crystal_spark.tile", "a/cave/Elevator_1x1x1.tile", "a/pocket/b.tile", "a/POI/formation.tile"]
+    t = [tuple(r) for r in T.tile_facts(spark.createDataFrame([(p,) for p in paths], "path string")).withColumn("role", T.role(F.col("family"), F.col("tags"))).select("family", "tags", "tile_w", "tile_d", "tile_h", "role").collect()]
+    assert t == [
+        ("tunnel_pocket", ["passage", "gold"], 2, 3, 4, "passage"), ("other", [], None, None, None, "other"), ("cave", ["sparkstone", "crystal"], None, None, None, "cave"),
+        ("elevator", ["elevator"], 1, 1, 1, "elevator"), ("pocket", [], None, None, None, "pocket"), ("poi", ["formations"], None, None, None, "other"),
+    ]
     box = (0.0, 32.0, 0.0, 32.0, 0.0, 32.0)
     seen = [("n", 1, 0.5, 15.0, 9.0, *box), ("n", 2, 0.2, 17.0, 7.0, *box), ("n", 2, 31.9, 16.0, 8.0, *box), ("n", 2, 31.8, 16.0, 8.0, *box)]
     df = spark.createDataFrame(seen, "name string, placement int, x double, y double, z double, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
-    assert [(r["face"], r["u"], r["v"], r["seen"], r["placements"]) for r in T.templates(df).collect()] == [("-x", 16.0, 8.0, 2, 2)]
-    placed = spark.createDataFrame([(1, "+x", 32.0, 16.0, 8.0), (2, "-x", 32.0, 18.0, 8.0), (2, "-x", 32.0, 30.0, 8.0), (2, "+x", 32.0, 16.0, 8.0)], "id int, face string, x double, y double, z double")
-    met = T.matched_contacts(spark.createDataFrame([(1, 2, "x")], "a int, b int, axis string"), placed).collect()
-    assert [(r["a"], r["b"], r["distance"]) for r in met] == [(1, 2, 2.0)]
-    q = spark.range(4).select(F.col("id").alias("r")).select("r", *[c.alias(n) for c, n in zip(B.canonical_face(F.lit(1.0), F.lit(0.0), F.lit(4.0), F.lit(2.0), F.col("r")), "xy")])
-    assert {r["r"]: (r["x"], r["y"]) for r in q.collect()}[0] == (1.0, 0.0)
+    assert [(r["face"], r["u"], r["v"], r["seen"], r["placements"]) for r in T.templates(df).collect()] == [("x-", 16.0, 8.0, 2, 2)]
