@@ -5,6 +5,9 @@ the square root of their number). A
 misspelling that training never met shares most n-grams with the word it bends. As the softmax is linear, a word's share of the margin is one
 number, computed once for each different word of a batch.
 
+How good it is depends on the labels: with some 3,000 labelled rows about three in four toxic documents are found, with 12,000 nearly all (figures in
+the README). Fewer than some hundred toxic examples teach little.
+
 Defined results: a null or empty text is scored by the intercept alone; ASCII capitals count as small letters; rows without an id are left
 out; labels outside 0 and 1, or null, teach nothing; without labels every score is 0.5; rows that repeat an id are scored each; other
 columns are ignored.
@@ -28,6 +31,10 @@ BUCKET_BITS, DIMENSION = 16, 4
 LENGTHS = (3, 4, 5)
 #: Labelled rows that training reads at most.
 SAMPLE_ROWS = 12_000
+#: Steps of training, and documents that a bucket must stand in to count.
+STEPS, LEAST_DOCS = 768, 3
+#: Added to the margin: toxic documents are rare in training, and a missed one is worse than a flagged clean one.
+LEANING = 1.0
 #: A document's mean times this goes to the softmax, so that a word in a hundred can decide at moderate norms.
 SCALE = 100.0
 
@@ -110,16 +117,24 @@ class Model:
         return SCALE * self.embedding.astype(float) @ (self.output[:, 1] - self.output[:, 0]), float(self.bias[1] - self.bias[0])
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 16, size: int = 256, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """The rate falls to nothing in a straight line."""
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = STEPS, size: int = 256, rate: float = 0.5) -> tuple[np.ndarray, float]:
+    """What each bucket adds, and the intercept. The steps are as many for few rows as for many; the rate falls to nothing in a straight line.
+    Buckets of fewer than LEAST_DOCS rows are left out: what one document alone holds says nothing of others."""
+    if not rows:
+        return np.zeros(1 << BUCKET_BITS), 0.0
+    docs = np.bincount(np.concatenate([r[1] for r in rows]), minlength=1 << BUCKET_BITS)
+    known = docs >= LEAST_DOCS
+    rows = [(label, at[known[at]], x[known[at]]) for label, at, x in rows]
     model, rng = Model(), np.random.default_rng(11)
-    steps, done = rounds * -(-len(rows) // size), 0
+    rounds = -(-steps // -(-len(rows) // size))
+    total, done = rounds * -(-len(rows) // size), 0
     for _ in range(rounds):
         order = rng.permutation(len(rows))
         for s in range(0, len(rows), size):
-            model.step([rows[i] for i in order[s : s + size]], rate * (1 - done / steps))
+            model.step([rows[i] for i in order[s : s + size]], rate * (1 - done / total))
             done += 1
-    return model.margins() if rows else (np.zeros(1 << BUCKET_BITS), 0.0)
+    adds, intercept = model.margins()
+    return np.where(known, adds, 0.0), intercept + LEANING
 
 
 TAUGHT = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("place", pa.int64()), ("at", pa.binary()), ("x", pa.binary())])
