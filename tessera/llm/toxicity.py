@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, batch, joined, sums
+from .common import Texts, batch, joined, stored, sums
 from .exact_dedup import LOWER
 from .labelled import fold, sample, with_texts
 from .tokens import spread
@@ -122,9 +122,13 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = STEPS, si
     Buckets of fewer than LEAST_DOCS rows are left out: what one document alone holds says nothing of others."""
     if not rows:
         return np.zeros(1 << BUCKET_BITS), 0.0
-    docs = np.bincount(np.concatenate([r[1] for r in rows]), minlength=1 << BUCKET_BITS)
+    docs = np.zeros(1 << BUCKET_BITS, np.int32)
+    for _, at, _ in rows:  # a row holds a bucket once
+        docs[at] += 1
     known = docs >= LEAST_DOCS
-    rows = [(label, at[known[at]], x[known[at]]) for label, at, x in rows]
+    for i, (label, at, x) in enumerate(rows):  # in place: a row's bytes go before the next row's are copied
+        keep = known[at]
+        rows[i] = (label, at[keep], x[keep])
     model, rng = Model(), np.random.default_rng(11)
     rounds = -(-steps // -(-len(rows) // size))
     total, done = rounds * -(-len(rows) // size), 0
@@ -147,7 +151,8 @@ def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, most: int = SAMPLE_ROWS, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """What each bucket adds, and the intercept; at most so many rows, as sparse bags, reach the driver."""
+    """What each bucket adds, and the intercept; at most so many rows, as sparse bags, reach the driver, a part
+    of the stored table at a time."""
     taught = with_texts(docs, sample(labels, label, folds, held, most, id_col), id_col, text_col).mapInArrow(_teach, "doc_id long, label int, place long, at binary, x binary")
     rows = sorted(taught.collect(), key=lambda r: (r["place"], r["doc_id"]))
     return train([(r["label"], np.frombuffer(r["at"], "<u2"), np.frombuffer(r["x"], "<f2")) for r in rows])
