@@ -154,8 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, most: int = S
     """What each bucket adds, and the intercept; at most so many rows, as sparse bags, reach the driver, a part
     of the stored table at a time."""
     taught = with_texts(docs, sample(labels, label, folds, held, most, id_col), id_col, text_col).mapInArrow(_teach, "doc_id long, label int, place long, at binary, x binary")
-    rows = sorted(taught.collect(), key=lambda r: (r["place"], r["doc_id"]))
-    return train([(r["label"], np.frombuffer(r["at"], "<u2"), np.frombuffer(r["x"], "<f2")) for r in rows])
+    own = [(r["place"], r["doc_id"], r["label"], np.frombuffer(r["at"], "<u2"), np.frombuffer(r["x"], "<f2")) for r in stored(taught, "taught").toLocalIterator()]
+    own.sort(key=lambda r: r[:2])
+    rows = [r[2:] for r in own]
+    own.clear()  # rows alone holds the bytes
+    return train(rows)
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
