@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..operators.boxes import faces, nearest_box, overlaps
+from ..operators.boxes import faces, nearest_box
 from ..operators.relational import snap, unordered_pair
 from ..operators.spatial import face_contacts
+from .regions import region_boxes
 
 BOX = ["id", "x0", "x1", "y0", "y1", "z0", "z1"]
 
@@ -66,12 +67,7 @@ def topology(nodes: DataFrame, tunnels: DataFrame, lengths: DataFrame, tolerance
 
 def regions(nodes: DataFrame) -> DataFrame:
     """(id, region): boxes that overlap, directly or through others; regions numbered by their lowest corner (z, y, x), then size."""
-    links = overlaps(nodes.select(*BOX))
-    found = graph.components(links)
-    own = nodes.join(found, nodes["id"] == found["node"], "left").select(*BOX, F.coalesce("component", "id").alias("c"))
-    order = own.groupBy("c").agg(F.min("z0").alias("z"), F.min("y0").alias("y"), F.min("x0").alias("x"), F.count("*").alias("n"))
-    ranked = order.withColumn("region", F.row_number().over(Window.orderBy("z", "y", "x", "n", "c")))
-    return own.join(ranked.select("c", "region"), "c").select("id", "region")
+    return region_boxes(nodes.select(*BOX)).select("id", "region")
 
 
 def summary(nodes: DataFrame, links: DataFrame, horizontal_only: bool = False) -> DataFrame:
@@ -115,11 +111,3 @@ def templates(observed: DataFrame, step: float = 4.0, least: int = 2) -> DataFra
     f = faces(observed)
     g = f.groupBy("name", "face", snap(F.col("u"), step).alias("u"), snap(F.col("v"), step).alias("v")).agg(F.count("*").alias("seen"), F.countDistinct("placement").alias("placements"))
     return g.filter(F.col("placements") >= least)
-
-
-def matched_contacts(contacts: DataFrame, placed: DataFrame, tolerance: float = 4.1) -> DataFrame:
-    """Contacts (a, b, axis) where templates of both sides meet. placed: id, face, x, y, z in the world; all meeting pairs are kept."""
-    side = lambda c, sign: placed.select(F.col("id").alias(c), F.substring("face", 2, 1).alias("axis"), *[F.col(x).alias(f"{x}_{c}") for x in "xyz"], F.substring("face", 1, 1).alias(f"sign_{c}"))
-    met = contacts.join(side("a", "+"), ["a", "axis"]).join(side("b", "-"), ["b", "axis"]).filter("sign_a <> sign_b")
-    apart = F.sqrt(sum(((F.col(f"{x}_a") - F.col(f"{x}_b")) ** 2 for x in "xyz"), F.lit(0.0)))
-    return met.withColumn("distance", apart).filter(F.col("distance") <= tolerance).select("a", "b", "axis", "distance")

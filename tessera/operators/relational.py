@@ -67,13 +67,23 @@ def common_prefix(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def digest(df: DataFrame, group: str, row: Column) -> DataFrame:
-    """SHA-256 of a group's rows in sorted order."""
+    """SHA-256 of a group's rows in sorted order; a digest is made in one piece, so a group must fit a task."""
     return df.groupBy(group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256).alias("digest"), F.count("*").alias("records"))
 
 
+def medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median), exactly. Values are numbered by ranges and the middle ones picked by number, so no task holds a group, however large."""
+    v = df.select(group, value).filter(F.col(value).isNotNull()).withColumn("_tie", F.monotonically_increasing_id())
+    n = numbered(v, [group, value, "_tie"], "_n")
+    span = n.groupBy(group).agg(F.min("_n").alias("_lo"), F.count("*").alias("_k"))
+    middle = n.join(span, group).filter((F.col("_n") - F.col("_lo")).isin(F.floor((F.col("_k") - 1) / 2), F.floor(F.col("_k") / 2)))
+    return middle.groupBy(group).agg(F.avg(value).alias("median"))
+
+
 def error_stats(df: DataFrame, group: str, error: str) -> DataFrame:
     """Median, mean, root mean square, greatest error, and greatest distance from the group's median."""
-    centre = df.groupBy(group).agg(F.median(error).alias("median"), F.count("*").alias("records"), F.avg(error).alias("mean"), F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rmse"), F.max(F.abs(error)).alias("max_abs"), F.min(error).alias("lo"), F.max(error).alias("hi"))
+    g = df.groupBy(group).agg(F.count("*").alias("records"), F.avg(error).alias("mean"), F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rmse"), F.max(F.abs(error)).alias("max_abs"), F.min(error).alias("lo"), F.max(error).alias("hi"))
+    centre = g.join(medians(df, group, error), group, "left")
     return centre.select(group, "records", "median", "mean", "rmse", "max_abs", F.greatest(F.col("hi") - F.col("median"), F.col("median") - F.col("lo")).alias("max_from_median"))
 
 

@@ -155,7 +155,8 @@ def preview(df: DataFrame, limit: int = 5, order: str | None = None) -> DataFram
 
 
 def discover(spark: SparkSession, root: str, pattern: str = "*/Save/Survival/*.db") -> DataFrame:
-    """(path, name, size_bytes, modified) of the save files below a folder, newest first, equal times by name; only metadata is read."""
+    """(path, name, size_bytes, modified) of the save files below a folder, newest first, equal times by name; only metadata is read. Empty files are not
+    listed."""
     try:
         files = spark.read.format("binaryFile").load(f"{root}/{pattern}").select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
     except AnalysisException as e:

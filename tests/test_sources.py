@@ -39,7 +39,13 @@ def read(spark, path, table, **o):
 def test_source_splits_and_filters(spark, path, tmp_path):
     df = read(spark, path, "VoxelTerrain", rows=2)
     assert df.rdd.getNumPartitions() == 4 and df.count() == 7
-    assert read(spark, path, "VoxelTerrain", where="worldId = 2").count() == 1
+    spark.conf.set(savedb.PUSHDOWN, True)
+    try:
+        pushed = read(spark, path, "VoxelTerrain").filter("worldId = 2 and y >= 1 and data is not null")
+        assert [r["id"] for r in pushed.collect()] == [7]
+        assert read(spark, path, "VoxelTerrain").filter("worldId = 2 or x < 0").count() == 2  # what cannot be pushed stays
+    finally:
+        spark.conf.set(savedb.PUSHDOWN, False)
     assert savedb.tables(path) == ["GenericData", "Portal", "ScriptData", "VoxelTerrain"]
     other = tmp_path / "x.db"
     other.write_bytes(b"not a database")
@@ -47,6 +53,50 @@ def test_source_splits_and_filters(spark, path, tmp_path):
         savedb.tables(str(other))
 
 
+def test_pushed_filters_run_in_the_database(path):
+    from pyspark.sql.datasource import EqualTo, In, IsNotNull, LessThan
+
+    r = savedb.PushingReader({"path": path, "table": "VoxelTerrain", "rows": "100"})
+    kept = [EqualTo(("data",), b"x"), In(("x",), (1, 2)), IsNotNull(("data",))]
+    assert [*r.pushFilters([EqualTo(("worldId",), 13), LessThan(("row_id",), 4), *kept])] == kept
+    assert [row[0] for part in r.partitions() for row in r.read(part)] == [1, 2, 3]
+
+
+def test_short_files_and_inspection(spark, path, tmp_path):
+    short = tmp_path / "short.db"
+    short.write_bytes(savedb.MAGIC)
+    with pytest.raises(ValueError):
+        savedb.tables(str(short))
+    counts, facts = savedb.inspect(spark, path)
+    assert {r["table_name"]: r["records"] for r in counts.collect()} == {"GenericData": 5, "Portal": 4, "ScriptData": 4, "VoxelTerrain": 7} and facts["signal"] == "4/6"
+    rows = savedb.preview(read(spark, path, "VoxelTerrain"), 2, "id").collect()
+    assert len(rows) == 2 and rows[0]["data"]["size"] > 32 and len(rows[0]["data"]["hex_prefix"]) == 64
+    with pytest.raises(ValueError):
+        savedb.preview(read(spark, path, "VoxelTerrain"), 101)
+    for k, name in enumerate(("b", "A", "c")):
+        at = tmp_path / f"user{k}" / "Save" / "Survival"
+        at.mkdir(parents=True)
+        (at / f"{name}.db").write_bytes(b"x" * (k + 1))
+        os.utime(at / f"{name}.db", (1000 + k // 2, 1000 + k // 2))
+    assert [(r["name"], r["size_bytes"]) for r in savedb.discover(spark, f"file://{tmp_path}").collect()] == [("c", 3), ("b", 1), ("A", 2)]
+    assert savedb.discover(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_gaps_in_rowids_make_no_empty_ranges(spark, tmp_path):
+    far = X.save(tmp_path / "far.db", voxels=[(k, 1, 0, 0, b"x") for k in (1, 2, 10**12, -(10**12), 3)])
+    df = read(spark, far, "VoxelTerrain", rows=2)
+    assert df.rdd.getNumPartitions() == 3 and df.count() == 5
+
+
+def test_prefixes_of_blocks():
+    block = bytes([0x1F]) + b"a" + b"\x01\x00" + bytes([5]) + bytes([0x10]) + b"b"
+    assert codecs.lz4_prefix(block + b"more", 26) == (b"a" * 25 + b"b", len(block))
+    assert codecs.lz4_exact(block, 26) == b"a" * 25 + b"b"
+    for data, size in ((block + b"x", 26), (block, 25), (block, 27), (b"", 1)):
+        with pytest.raises(codecs.Reject):
+            codecs.lz4_exact(data, size)
+
+
 def test_worlds(spark, path):
     got = {r["worldId"]: r for r in decode.worlds(read(spark, path, "GenericData"), X.MARKER).collect()}
     assert (got[13]["kind"], got[13]["label"], got[13]["seed"]) == ("underground", "D1 Deep", 77)
