@@ -109,6 +109,6 @@ def test_held_out_lanes_choose_nothing(spark):
 
 
 def test_facets(spark):
-    hits = [(0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 0.5, 0.0, 0.0, 0.0, 0.0, 1.0), (2, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0), (3, 1.2, 0.0, 0.0, 0.0, 1.0, 0.0), (4, 9.0, 0.0, 0.0, 0.0, 0.0, 1.0)]
+    hits = [(0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 0.5, 0.0, 0.0, 0.0, 0.0, 1.0), (2, 1.0, 0.0, 0.0, 0.0, 0.6, 0.8), (3, 1.2, 0.0, 0.0, 0.0, 0.6, 0.8), (5, 1.1, 0.0, 0.0, 0.0, 1.0, 0.0), (4, 9.0, 0.0, 0.0, 0.0, 0.0, 1.0)]
     got = {r["index"]: r["facet"] for r in ground.facets(spark.createDataFrame(hits, "index int, x double, y double, z double, nx double, ny double, nz double")).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2}
