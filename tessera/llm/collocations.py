@@ -3,7 +3,7 @@
 A pass emits a phrase only where both phrases of one word less that overlap in it are frequent. It asks that of a bitmap of the frequent
 ones, which is broadcast: its size follows their number up to a fixed most, beyond which it only lets more phrases through. Counting is by
 the phrases themselves and the least count is applied after it, so neither the bitmap nor a hash decides a result. Counts are summed for each
-part of a batch, then for each task, then shuffled.
+few megabytes of text, then for each task, then shuffled.
 
 Every part of a frequent phrase is frequent, so all that a cut needs is in the level tables: candidates are joined to them by their first and
 last words. A candidate's cover by a longer one is a maximum over the parts of the longer ones. The first of a language are taken within
@@ -23,12 +23,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, hash128, joined, runs, stored, window_hashes
+from .common import Texts, batch, joined, mixed, runs, stored, window_hashes
 
 #: A to Z lower-cased, tab as space, and each byte that separates pieces as a line feed.
 FOLD = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of text that are counted at once; they end between pieces.
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 20
 #: The bitmap has at least so many bits a phrase, and at most 2^MOST_BITS in all (32 MB).
 BITS_EACH, MOST_BITS = 64, 28
 #: Shares of a language whose first phrases are found apart.
@@ -65,8 +65,25 @@ def parts(texts: Iterable[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]
         yield held
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return hash128(words)[:, 0] if words else np.zeros(0, np.uint64)
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Polynomial hashes of words modulo 2^64, scrambled. They only choose bits of the bitmap."""
+    words = Texts(words)
+    length = np.diff(words.at)
+    power = np.full(int(length.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    at = np.arange(len(words.bytes)) - np.repeat(words.at[:-1], length)
+    value = (words.bytes.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[at]
+    out = np.zeros(words.n, np.uint64)
+    full = length > 0
+    if full.any():
+        out[full] = np.add.reduceat(value, words.at[:-1][full])
+    return mixed(out)
+
+
+def coded(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers from 0 for equal values, and how many there are."""
+    found = pa.array(values).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(found.dictionary)
 
 
 class Part:
@@ -78,19 +95,19 @@ class Part:
         flat = np.frombuffer(b"\n".join([t for _, t in texts]) + b"\n", np.uint8)
         first = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in texts])])
         space = flat == 32
-        keep = np.ones(len(flat), bool)
-        keep[1:] = ~(space[1:] & space[:-1])  # one space at most between words
-        first = np.concatenate([[0], np.cumsum(keep)])[first]
-        flat = flat[keep]
+        again = np.flatnonzero(space[1:] & space[:-1]) + 1
+        if len(again):  # one space at most between words
+            first = first - np.searchsorted(again, first)
+            flat = np.delete(flat, again)
         inside = (flat != 32) & (flat != 10)
         self.start, self.end = runs(inside, np.array([0, len(flat)]))
-        self.raw, self.names = flat.tobytes(), names
+        self.flat, self.names = flat, names
         offsets = np.concatenate([[0], np.cumsum(self.end - self.start)])
         words = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(offsets), pa.py_buffer(flat[inside])]).dictionary_encode()
         self.code, self.different = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary)
-        self.hash = word_hashes(words.dictionary.to_pylist())[self.code]
+        self.hash = word_hashes(words.dictionary)[self.code]
         self.lang = np.array([number[x] for x, _ in texts])[np.searchsorted(first, self.start, "right") - 1]
-        self.lang_hash = word_hashes([x.encode() for x in names])[self.lang]
+        self.lang_hash = word_hashes(pa.array(names))[self.lang]
         self.follows = (self.start[1:] == self.end[:-1] + 1) & (flat[self.end[:-1]] == 32)  # whether the next word is of the same piece
 
     def windows(self, k: int) -> np.ndarray:
@@ -109,12 +126,16 @@ class Part:
         """The different phrases of k words at these places, with their numbers."""
         name = self.lang[first] * self.different + self.code[first]
         for i in range(1, k):
-            name = np.unique(name, return_inverse=True)[1] * self.different + self.code[first + i]
-        _, at, f = np.unique(name, return_index=True, return_counts=True)
-        at = first[at]
-        phrases = [self.raw[s:e] for s, e in zip(self.start[at].tolist(), self.end[at + k - 1].tolist())]
+            name = coded(name)[0] * self.different + self.code[first + i]
+        name, n = coded(name)
+        at = np.zeros(n, np.int64)
+        at[name] = first
+        start, length = self.start[at], self.end[at + k - 1] - self.start[at]
+        offsets = np.concatenate([[0], np.cumsum(length)])
+        text = self.flat[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], length)]
+        phrases = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(text)])
         lang = pa.array(self.names, pa.string()).take(pa.array(self.lang[at]))
-        return batch(COUNTED, lang=lang, phrase=pa.array(phrases, pa.binary()).cast(pa.string()), f=f.astype(np.int64))
+        return batch(COUNTED, lang=lang, phrase=phrases, f=np.bincount(name, minlength=n))
 
 
 def frequent(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -128,9 +149,9 @@ def bitmap_of(level: DataFrame, k: int) -> np.ndarray:
 
     def hashed(batches):
         for b in batches:
-            words = [w for x in b.column("phrase").cast(pa.binary()).to_pylist() for w in x.split(b" ")]
+            words = pa.array([w for x in b.column("phrase").to_pylist() for w in x.split(" ")], pa.string())
             h = window_hashes(word_hashes(words), k)[::k]
-            yield batch(HASHED, h=joined(word_hashes([x.encode() for x in b.column("lang").to_pylist()]), h).view(np.int64))
+            yield batch(HASHED, h=joined(word_hashes(b.column("lang")), h).view(np.int64))
 
     bits = min(MOST_BITS, max(16, (BITS_EACH * level.count() - 1).bit_length()))
     at = level.select("lang", "phrase").mapInArrow(hashed, "h long").select(F.shiftrightunsigned("h", 64 - bits).alias("at"))
@@ -144,19 +165,18 @@ def phrase_counts(texts: DataFrame, k: int, below: Broadcast | None) -> DataFram
     """(lang, phrase, f) of the phrases of k words that the level below lets through. At level 1 also the number of all words, as the phrase ''."""
 
     def count(batches):
-        for b in batches:
-            rows = zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist())
-            for some in parts(slices(rows)):
-                part = Part(some)
-                first = part.windows(k)
-                if below is not None and len(first):
-                    known = frequent(below.value, part.hashes(k - 1))
-                    first = first[known[first] & known[first + 1]]
-                if len(first):
-                    yield part.counted(first, k)
-                if k == 1:
-                    all_words = np.bincount(part.lang, minlength=len(part.names))
-                    yield batch(COUNTED, lang=part.names, phrase=[""] * len(part.names), f=all_words.astype(np.int64))
+        rows = (row for b in batches for row in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()))
+        for some in parts(slices(rows)):
+            part = Part(some)
+            first = part.windows(k)
+            if below is not None and len(first):
+                known = frequent(below.value, part.hashes(k - 1))
+                first = first[known[first] & known[first + 1]]
+            if len(first):
+                yield part.counted(first, k)
+            if k == 1:
+                all_words = np.bincount(part.lang, minlength=len(part.names))
+                yield batch(COUNTED, lang=part.names, phrase=[""] * len(part.names), f=all_words.astype(np.int64))
 
     return texts.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
