@@ -51,7 +51,7 @@ class Save:
     def nodes(self, world: int) -> DataFrame:
         """The values of the world's terrain row alone."""
         script = self.table("ScriptData").filter(F.col("worldId") == world)
-        every = cut(decode.lua_nodes(script).filter("reject_reason is null"))
+        every = cut(decode.lua_nodes(script))
         return cut(every.join(underground.terrain_rows(every, script).select("row_id"), "row_id", "left_semi"))
 
     def layout(self, world: int) -> dict[str, DataFrame]:
@@ -170,8 +170,8 @@ def terrain_map(spark, save: str, world: int, out: str, limit: int = 5000, **o):
 def terrain_data(spark, save: str, world: int, **o):
     script = Save(spark, save).table("ScriptData").filter(F.col("worldId") == world)
     reasons, magic = terrain.script_tally(cut(decode.scripts(script)))
-    nodes = cut(decode.lua_nodes(script).filter("reject_reason is null"))
-    return {"reasons": reasons, "magic": magic, "rows": underground.terrain_rows(nodes, script), "keys": probes.key_profile(nodes)}
+    nodes = cut(decode.lua_nodes(script))
+    return {"reasons": reasons, "magic": magic, "rows": underground.terrain_rows(nodes, script), "keys": probes.key_profile(nodes.filter("reject_reason is null"))}
 
 
 @command

@@ -6,17 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import argmax, bits
+from ..sources.decode import scripts
 
 CELL, CHUNK = 64.0, 16.0
-#: Keys at the top of a value that mark it as terrain.
-SIGNALS = ["tunnels", "caves", "pockets", "spawners", "tileList", "data", "seed", "bounds", "rotation", "xOffset", "yOffset", "uid"]
+#: Fixed values of the format: the keys at the top of a value that mark it as terrain.
+SIGNALS = ["bounds", "caves", "pockets", "rotation", "spawners", "tileList", "tunnels", "uid", "xOffset", "yOffset"]
 
 
 def terrain_rows(nodes: DataFrame, script: DataFrame) -> DataFrame:
-    """For each world the row whose value has most of the signal keys, then most bytes, then the smallest row id."""
-    score = nodes.filter(F.col("depth") == 1).filter(F.col("key_str").isin(SIGNALS)).groupBy("worldId", "row_id").agg(F.countDistinct("key_str").alias("signals"))
-    sized = score.join(script.select("row_id", F.octet_length("data").alias("size")), "row_id")
-    return argmax(sized, "worldId", [F.col("signals"), F.col("size"), -F.col("row_id")], ["row_id", "signals"])
+    """For each world the row whose value has most of the signal keys, then most bytes unpacked; of equal ones the first in scan order, which is
+    by packed bytes, most first, then by row id. A row with no signal key or a value that cannot be read whole is none. nodes: of all rows of
+    script (row_id, worldId, data), rejections included."""
+    own = F.when((F.col("depth") == 1) & F.col("key_str").isin(SIGNALS), F.col("key_str"))
+    whole = nodes.groupBy("worldId", "row_id").agg(F.countDistinct(own).alias("signals"), F.count("reject_reason").alias("rejects")).filter("signals > 0 and rejects = 0")
+    rows = script.join(whole.select("row_id", "signals"), "row_id").select("row_id", "worldId", "signals", "data")
+    packed = rows.select("row_id", "signals", F.octet_length("data").alias("packed_size"))
+    sized = scripts(rows).filter("reject_reason is null").select("row_id", "worldId", "size").join(packed, "row_id")
+    order = [F.col("signals"), F.col("size"), F.col("packed_size"), -F.col("row_id")]
+    return argmax(sized, "worldId", order, ["row_id", "signals", "size", "packed_size"])
 
 
 def children(nodes: DataFrame, parents: DataFrame, prefix: str) -> DataFrame:

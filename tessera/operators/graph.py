@@ -52,23 +52,45 @@ def cheapest(edges: DataFrame, start: DataFrame, step: Column, zero: Column) ->
     """(node, cost, previous): the least cost from the start nodes (node) over edges (a, b, ...), which lead both ways.
 
     step combines the cost so far (column cost) with an edge's columns; costs are compared as Spark compares them, so a struct is compared
-    field by field: (contacts, distance) prefers fewer contacts, and a step of greatest(cost, grade) finds the least steep path. Equal costs
-    keep the smaller previous node. Each round moves the frontier by one edge; only nodes that became cheaper are in the next. A step must
-    never lower a cost, as Dijkstra's too; then the frontier empties after as many rounds as the longest cheapest path has edges.
+    field by field: (contacts, distance) prefers fewer contacts, and a step of greatest(cost, grade) finds the least steep path. Each round
+    moves the frontier by one edge; only nodes that became cheaper are in the next. A step must never lower a cost, as Dijkstra's too; then the
+    frontier empties after as many rounds as the longest cheapest path has edges. previous is chosen after that, see predecessors.
     """
     links = cut(both_ways(edges))
-    best = cut(start.select("node", zero.alias("cost"), F.lit(None).cast(links.schema["a"].dataType).alias("previous")))
+    best = cut(start.select("node", zero.alias("cost")))
     frontier = best
     while True:
-        reached = frontier.join(links, frontier["node"] == links["a"]).select(F.col("b").alias("node"), step.alias("cost"), F.col("a").alias("previous"))
-        reached = reached.groupBy("node").agg(F.min(F.struct("cost", "previous")).alias("n")).select("node", "n.cost", "n.previous")
+        reached = frontier.join(links, frontier["node"] == links["a"]).select(F.col("b").alias("node"), step.alias("cost"))
+        reached = reached.groupBy("node").agg(F.min("cost").alias("cost"))
         old = best.select("node", F.col("cost").alias("old"))
         frontier = cut(reached.join(old, "node", "left").filter("old is null or cost < old").drop("old"))
         if frontier.isEmpty():
-            return best
+            return predecessors(links, best, start, step)
         best = cut(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
 
 
+def predecessors(links: DataFrame, best: DataFrame, start: DataFrame, step: Column) -> DataFrame:
+    """best (node, cost) with previous: of the neighbours from which a node's cost is met exactly the one that is settled first, which is the
+    cheapest, then the smallest node; null at the start.
+
+    A node that is met only from neighbours of its own cost, over edges that cost nothing, takes the smallest of those with a predecessor, in
+    rounds outwards from the nodes that were met from a lower cost; so no two nodes ever name each other.
+    """
+    known = best.join(start.select("node").distinct(), "node", "left_anti")
+    ends = known.select(F.col("node").alias("b"), F.col("cost").alias("_least"))
+    met = best.join(links, best["node"] == links["a"]).select("a", "b", "cost", step.alias("_new")).join(ends, "b").filter("_new = _least")
+    met = cut(met.select("b", "a", "cost", (F.col("cost") < F.col("_least")).alias("lower")))
+    done = met.filter("lower").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("cost", "a")).alias("n")).select("node", F.col("n.a").alias("previous"))
+    done = cut(done)
+    open_ = cut(met.join(done, met["b"] == done["node"], "left_anti"))
+    begun = cut(done.select("node").unionByName(start.select("node")).distinct())
+    while not open_.isEmpty():
+        next_ = cut(open_.join(begun, open_["a"] == begun["node"]).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("previous")))
+        done, begun = cut(done.unionByName(next_)), next_.select("node")
+        open_ = cut(open_.join(next_, open_["b"] == next_["node"], "left_anti"))
+    return best.join(done, "node", "left").select("node", "cost", "previous")
+
+
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node, steps): nodes that the start nodes reach, and in how few edges."""
     return cheapest(edges.select("a", "b"), start, F.col("cost") + 1, F.lit(0)).select("node", F.col("cost").alias("steps"))

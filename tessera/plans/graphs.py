@@ -70,6 +70,17 @@ def shortest_path_lexicographic(table, spark):
     return G.cheapest(edges(table), start, step, zero).select("node", "cost.contacts", "cost.distance")
 
 
+@query(WAYS.format(zero="{'c': 0::BIGINT, 'd': 0::BIGINT}", step="{'c': cost.c + contact::BIGINT, 'd': cost.d + length}") + """, k AS (SELECT node, min(cost) AS cost FROM r GROUP BY node),
+    p AS (SELECT k.node, x.a AS previous, u.cost AS before FROM k JOIN x ON x.b = k.node JOIN k u ON u.node = x.a WHERE k.node <> 0 AND k.cost = {'c': u.cost.c + contact::BIGINT, 'd': u.cost.d + length})
+    SELECT k.node, p.previous FROM k LEFT JOIN (FROM p QUALIFY row_number() OVER (PARTITION BY node ORDER BY before, previous) = 1) p USING (node)""")
+def shortest_path_tree(table, spark):
+    """The node before each on its cheapest path; of equally cheap ones the one that is settled first."""
+    start = table("nation").filter("n_nationkey = 0").select(F.col("n_nationkey").alias("node"))
+    zero = F.struct(F.lit(0).cast("long").alias("contacts"), F.lit(0).cast("long").alias("distance"))
+    step = F.struct((F.col("cost.contacts") + F.col("contact").cast("long")).alias("contacts"), (F.col("cost.distance") + F.col("length")).alias("distance"))
+    return G.cheapest(edges(table), start, step, zero).select("node", "previous")
+
+
 @query(WAYS.format(zero="0::BIGINT", step="greatest(cost, length)") + " SELECT node, min(cost) AS grade FROM r GROUP BY node")
 def minimax_path(table, spark):
     """The path whose longest edge is shortest."""

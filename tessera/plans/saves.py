@@ -196,11 +196,22 @@ PIECES = """SELECT p_partkey AS k, (p_partkey % 5)::INT AS "worldId", CASE WHEN
     (p_partkey * 2654435761 % 1073741824)::BIGINT AS v FROM part"""
 
 
+#: Parts whose pieces share a record: bounds what a record holds, whatever the size of the table.
+PARTS_EACH = 1000
+
+
+def sound(df: DataFrame) -> DataFrame:
+    """df, which has no rejection; one stops the query."""
+    bad = F.raise_error(F.concat(F.lit("a record was rejected: "), F.col("reject_reason")))
+    return df.filter(F.when(F.col("reject_reason").isNotNull(), bad.cast("boolean")).otherwise(F.lit(True)))
+
+
 def piece_tables(table) -> DataFrame:
-    """One script record a world, with its caves, pockets, tile list and spawners."""
+    """Script records of a world's caves, pockets, tile list and spawners, a thousand parts at a time."""
     k = F.col("p_partkey")
     rows = table("part").select((k % 5).cast("int").alias("worldId"), (F.col("p_size") % 2).cast("int").alias("pocket"), (F.floor(k / 5) % 9 - 4).cast("int").alias("x"), (F.floor(k / 45) % 9).cast("int").alias("y"), k.alias("k"), (k * 2654435761 % 1073741824).alias("v"))
-    g = rows.groupBy("worldId").agg(F.sort_array(F.collect_list(F.struct("k", "pocket", "x", "y", "v"))).alias("p"))
+    rows = rows.withColumn("block", F.floor(F.col("k") / PARTS_EACH))
+    g = rows.groupBy("worldId", "block").agg(F.sort_array(F.collect_list(F.struct("k", "pocket", "x", "y", "v"))).alias("p"))
 
     def script(world: int, pieces: list[dict]) -> bytes:
         value = {"tileList": {i: W.Uuid(bytes([i]) * 16) for i in range(0, 256, 3)}, "caves": {}, "pockets": {}, "spawners": {}, "seed": world}
@@ -212,13 +223,13 @@ def piece_tables(table) -> DataFrame:
                 cell[len(cell) + 1] = {"pos": (float(p["k"] % 64), 2.0, float(p["k"] % 7)), "scale": (1.0, 1.0, 1.0), "tags": {1: f"t{p['k'] % 3}", 2: "all"}, "params": {"triggerName": f"n{p['k'] % 5}"}}
         return W.script(world, value)
 
-    return records(g, script, ["worldId", "p"]).select("worldId", F.col("worldId").cast("long").alias("row_id"), "data")
+    return records(g, script, ["worldId", "p"]).select("worldId", (F.col("block") * 5 + F.col("worldId")).alias("row_id"), "data")
 
 
 def piece_nodes(table) -> DataFrame:
     from ..operators.graph import cut
 
-    return cut(decode.lua_nodes(piece_tables(table), same_world=True).filter("reject_reason is null"))
+    return cut(sound(decode.lua_nodes(piece_tables(table), same_world=True)))
 
 
 UNPACKED = f"""SELECT *, (v & 255) AS tile_index, CASE WHEN kind = 'cave' THEN cell_x * 64.0 ELSE cell_x * 64.0 + (v >> 8 & 3) * 16 END AS x, CASE WHEN kind = 'cave' THEN cell_y * 64.0 ELSE cell_y * 64.0 + (v >> 10 & 3) * 16 END AS y,
@@ -265,16 +276,17 @@ LINES = "SELECT user_id AS tunnel_id, (row_number() OVER (PARTITION BY user_id O
 
 
 def tunnel_nodes(table) -> DataFrame:
-    """One script record for some users each, whose events are the points of a tunnel."""
+    """One script record for each user, whose events are the points of a tunnel."""
     e = table("events").select("user_id", "ts", "event_id", F.col("value").cast("float").alias("v"))
-    g = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "v"))).alias("p")).groupBy((F.col("user_id") % 16).cast("int").alias("worldId"))
-    g = g.agg(F.sort_array(F.collect_list(F.struct("user_id", F.transform("p", lambda x: F.struct(x["event_id"].alias("e"), x["v"].alias("v"))).alias("p")))).alias("t"))
+    g = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "v"))).alias("p"))
+    g = g.select("user_id", (F.col("user_id") % 16).cast("int").alias("worldId"), F.transform("p", lambda x: F.struct(x["event_id"].alias("e"), x["v"].alias("v"))).alias("p"))
 
-    def script(world: int, lines: list[dict]) -> bytes:
-        tunnels = {r["user_id"]: {"tunnelType": ("TtDefault", "MainVein", "Odd")[r["user_id"] % 3], "positions": {k + 1: (x["v"], float(x["e"] % 100), float(x["e"] % 7)) for k, x in enumerate(r["p"])}} for r in lines}
-        return W.script(world, {"tunnels": tunnels})
+    def script(world: int, user: int, points: list[dict]) -> bytes:
+        line = {"tunnelType": ("TtDefault", "MainVein", "Odd")[user % 3], "positions": {k + 1: (x["v"], float(x["e"] % 100), float(x["e"] % 7)) for k, x in enumerate(points)}}
+        return W.script(world, {"tunnels": {user: line}})
 
-    return decode.lua_nodes(records(g, script, ["worldId", "t"]).select("worldId", F.col("worldId").cast("long").alias("row_id"), "data")).filter("reject_reason is null")
+    made = records(g, script, ["worldId", "user_id", "p"]).select("worldId", F.col("user_id").cast("long").alias("row_id"), "data")
+    return sound(decode.lua_nodes(made))
 
 
 @query(f"""WITH p AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2) AS s FROM ({LINES}) WINDOW w AS (PARTITION BY tunnel_id ORDER BY ord))
@@ -390,3 +402,24 @@ def log_runs(table, spark):
     rows = logs.parsed(table("events").select(F.col("user_id").cast("string").alias("file"), e.alias("line"), line.alias("value")), "X_RUN_META,", "X_RUN,")
     good = ~F.col("is_marker") & F.col("reject_reason").isNull()
     return rows.groupBy("file", "run").agg(F.count_if(good).alias("good"), F.count_if(F.col("reject_reason").isNotNull()).alias("bad"))
+
+
+TERRAIN_ROWS = """SELECT *, 13 + list_sum([10 + length(k) FOR k IN ['caves', 'tunnels', 'uid'][1:n]]) + 15 * extra + 114 + pad AS size FROM (
+    SELECT c_custkey::BIGINT AS row_id, (c_custkey // 8 % 60000)::INT AS w, c_custkey % 4 AS n, c_custkey * 7919 % 5 AS extra, c_custkey * 104729 % 3 = 0 AS squeezed, c_custkey * 31 % 13 * 100 AS pad FROM customer) WHERE row_id % 23 <> 0 AND n > 0"""
+
+
+def terrain_script(row: int, world: int) -> bytes:
+    """Up to three signal keys, others that do not count, and a text that is packed or only wrapped; some values are cut short."""
+    value = dict.fromkeys(("caves", "tunnels", "uid")[: row % 4], 1) | {f"seed{k}": k for k in range(row * 7919 % 5)} | {"text": "a" * (100 + row * 31 % 13 * 100)}
+    if row % 23 == 0:
+        value = value | dict.fromkeys(("bounds", "rotation", "xOffset", "yOffset"), 0)
+        return W.script(world, value, cut=9)
+    return W.script(world, value, squeezed=row * 104729 % 3 == 0)
+
+
+@query(f"""SELECT w AS "worldId", row_id, n AS signals, size::BIGINT AS size FROM ({TERRAIN_ROWS}) QUALIFY row_number() OVER (PARTITION BY w ORDER BY n DESC, size DESC, squeezed, row_id) = 1""")
+def best_terrain_row(table, spark):
+    """The script record that holds a world's terrain: most signal keys, most bytes unpacked, most bytes packed, least row id."""
+    row = F.col("c_custkey").cast("long")
+    made = records(table("customer").select(row.alias("row_id"), (F.floor(row / 8) % 60000).cast("int").alias("worldId")), terrain_script, ["row_id", "worldId"])
+    return underground.terrain_rows(decode.lua_nodes(made), made).select("worldId", "row_id", "signals", "size")

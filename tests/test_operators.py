@@ -1,3 +1,5 @@
+import collections
+import heapq
 import random
 
 import pytest
@@ -101,6 +103,47 @@ def test_evidence_first_path_prefers_fewer_contacts(spark):
         graph.path_to(tree, 9)
 
 
+def heap_tree(edges, start):
+    """Costs (contacts, distance) and the node before each, in the order in which a heap settles nodes."""
+    near = collections.defaultdict(list)
+    for a, b, length, contact in edges:
+        near[a].append((b, length, contact))
+        near[b].append((a, length, contact))
+    cost, before, heap = {start: (0, 0)}, {start: None}, [((0, 0), start)]
+    while heap:
+        c, n = heapq.heappop(heap)
+        if c != cost[n]:
+            continue
+        for m, length, contact in near[n]:
+            new = (c[0] + contact, c[1] + length)
+            if m not in cost or new < cost[m]:
+                cost[m], before[m] = new, n
+                heapq.heappush(heap, (new, m))
+    return {n: (cost[n], before[n]) for n in cost}
+
+
+def tree_of(spark, edges, start):
+    e = spark.createDataFrame(edges, "a int, b int, length int, contact int")
+    zero = F.struct(F.lit(0).alias("contacts"), F.lit(0).alias("distance"))
+    step = F.struct((F.col("cost.contacts") + F.col("contact")).alias("contacts"), (F.col("cost.distance") + F.col("length")).alias("distance"))
+    return graph.cheapest(e, spark.createDataFrame([(start,)], "node int"), step, zero)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_predecessors_on_ties_are_those_of_a_heap(spark, seed):
+    rng = random.Random(seed)
+    edges = [(0, 5, 2, 0), (5, 9, 2, 0), (0, 1, 1, 0), (1, 2, 1, 0), (2, 9, 2, 0)]
+    edges += [(rng.randrange(10, 30), rng.randrange(10, 30), rng.randrange(1, 4), rng.randrange(3) // 2) for _ in range(60)] + [(9, 10, 1, 0), (9, 10, 1, 0)]
+    got = {r["node"]: ((r["contacts"], r["distance"]), r["previous"]) for r in tree_of(spark, edges, 0).select("node", "cost.*", "previous").collect()}
+    assert got == heap_tree(edges, 0) and got[9] == ((0, 4), 2)
+
+
+def test_edges_that_cost_nothing_never_make_a_cycle(spark):
+    edges = [(0, 9, 1, 0), (9, 4, 0, 0), (4, 3, 0, 0), (3, 9, 0, 0), (3, 2, 0, 0), (2, 1, 0, 0), (2, 2, 0, 0), (0, 7, 0, 0)]
+    got = {r["node"]: r["previous"] for r in tree_of(spark, edges, 0).collect()}
+    assert got == {0: None, 9: 0, 4: 9, 3: 9, 2: 3, 1: 2, 7: 0}
+
+
 def test_greedy_matching(spark):
     rng = random.Random(2)
     pairs = [(a, b, rng.random()) for a in range(8) for b in range(8) if rng.random() < 0.5]

@@ -1,4 +1,5 @@
 import os
+import random
 import sys
 from pathlib import Path
 
@@ -134,8 +135,8 @@ def test_layout(spark, path):
     script = read(spark, path, "ScriptData")
     nodes = decode.lua_nodes(script)
     assert {r["reason"]: r["records"] for r in decode.reject_tally(nodes).collect()}.keys() == {"decoded", "envelope:short", "not_blob"}
-    nodes = nodes.filter("reject_reason is null")
     assert [(r["worldId"], r["row_id"], r["signals"]) for r in underground.terrain_rows(nodes, script).collect()] == [(13, 1, 4)]
+    nodes = nodes.filter("reject_reason is null")
     p = {(r["kind"], r["cell_x"]): r for r in underground.pieces(nodes).collect()}
     cave = p["cave", 3]
     assert (cave["x"], cave["y"], cave["z"], cave["height"], cave["rotation"], cave["source_x"]) == (192.0, 128.0, 32.0, 32.0, 3, 4)
@@ -218,3 +219,28 @@ def test_plans():
     for broken in ({}, [], plan | {"world_id": True}, plan | {"alignment": {}}, plan | {"critical_edge": {"world_samples": []}}, plan | {"critical_edge": {"world_samples": [sample(1), sample(1.0)]}}, plan | {"critical_edge": {"world_samples": [sample(float("nan"))]}}):
         with pytest.raises(ValueError):
             logs.checked_plan(broken)
+
+
+def test_the_terrain_row_of_a_world(spark):
+    """Signal keys first, then bytes unpacked, then bytes packed, then the row id; keys that are none and values cut short do not count."""
+    rng = random.Random(4)
+    noise = bytes(rng.randrange(33, 126) for _ in range(400)).decode()
+    rows = [
+        (10, 1, {"tunnels": {}, "data": 1, "seed": 2}, False),
+        (11, 1, {"tunnels": {}, "caves": {}}, False),
+        (20, 2, {"caves": {}, "x": noise}, True),  # more bytes packed
+        (21, 2, {"caves": {}, "x": "a" * 401}, True),  # more bytes unpacked
+        (30, 3, {"uid": 1, "x": "ab" * 200}, True),
+        (31, 3, {"uid": 1, "x": noise}, True),  # as many unpacked, more packed
+        (32, 3, {"uid": 1, "x": noise}, True),
+        (40, 4, {"data": 1}, False),
+        (50, 5, {"bounds": 1}, False),
+        (51, 5, {"bounds": 1, "caves": 2, "uid": "a" * 300}, False),
+        (60, 6, ["caves", "uid"], False),
+    ]
+    made = [(r, w, X.script(w, v, squeezed)) for r, w, v, squeezed in rows]
+    made = [(r, w, b[:-20] if r == 51 else b) for r, w, b in made] + [(70, 7, None)]
+    made += [(52, 5, X.script(5, {"bounds": 1, "caves": 2, "uid": "a" * 90}, cut=30))]
+    script = spark.createDataFrame(made, "row_id long, worldId int, data binary").repartition(3)
+    got = underground.terrain_rows(decode.lua_nodes(script), script).collect()
+    assert sorted((r["worldId"], r["row_id"], r["signals"]) for r in got) == [(1, 11, 2), (2, 21, 1), (3, 31, 1), (5, 50, 1)]
