@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.boxes import nearest_group, overlaps
+from ..operators.grid import close_components
 from ..operators.relational import numbered
-from ..operators.spatial import cells
 
 # Kinds of tunnels that can be walked, and those that are veins.
 CORRIDORS = ["TtDefault"]
@@ -40,16 +40,8 @@ def region_boxes(boxes: DataFrame) -> DataFrame:
 
 def linked_points(points: DataFrame, tolerance: float) -> DataFrame:
     """Adds group: points (point, x, y, z) that lie within the tolerance of each other, directly or through others; the least point names it."""
-    size = tolerance or 1.0
-    p = points.select("point", "x", "y", "z")
-    a, b = p, p.select(*[F.col(c).alias(f"{c}_b") for c in p.columns])
-    for c in "xyz":
-        a = a.withColumn(f"_{c}", cells(F.col(c) - tolerance, F.col(c) + tolerance, size))
-        b = b.withColumn(f"_{c}", F.floor(F.col(f"{c}_b") / size).cast("long"))
-    d2 = sum(((F.col(c) - F.col(f"{c}_b")) ** 2 for c in "xyz"), F.lit(0.0))
-    near = a.join(b, ["_x", "_y", "_z"]).filter((F.col("point") < F.col("point_b")) & (F.sqrt(d2) <= tolerance))
-    found = graph.components(near.select(F.col("point").alias("a"), F.col("point_b").alias("b"))).select(F.col("node").alias("point"), F.col("component").alias("group"))
-    return points.join(found, "point", "left").withColumn("group", F.coalesce("group", "point"))
+    found = close_components(points.select("point", "x", "y", "z"), ["x", "y", "z"], tolerance, "point").select("point", F.col("component").alias("group"))
+    return points.join(found, "point")
 
 
 def free_nodes(points: DataFrame, tolerance: float) -> DataFrame:

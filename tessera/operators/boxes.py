@@ -1,11 +1,11 @@
-"""Axis-aligned boxes: id, x0, x1, y0, y1, z0, z1. Joins meet in square cells of the ground plane."""
+"""Axis-aligned boxes: id, x0, x1, y0, y1, z0, z1. Joins meet in cells of the ground plane."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import cells
+from .grid import meet, wider
 
 AXES = ("x", "y", "z")
 
@@ -21,22 +21,23 @@ def gap(p: str, lo: str, hi: str) -> Column:
 
 def overlaps(boxes: DataFrame, size: float = 64.0, tolerance: float = 1e-6) -> DataFrame:
     """Pairs a < b whose insides overlap on all axes by more than the tolerance; touching is no overlap."""
-    base = boxes.withColumn("_cx", cells(F.col("x0"), F.col("x1"), size)).withColumn("_cy", cells(F.col("y0"), F.col("y1"), size))
-    a, b = _named(base, "_a"), _named(base, "_b")
-    met = a.join(b, (F.col("_cx_a") == F.col("_cx_b")) & (F.col("_cy_a") == F.col("_cy_b"))).filter("id_a < id_b")
+    own = boxes.select("id", *[f"{x}{k}" for x in AXES for k in (0, 1)])
+    plane = lambda s: [(f"{x}0{s}", f"{x}1{s}") for x in "xy"]
+    met = meet(_named(own, "_a"), _named(own, "_b"), plane("_a"), plane("_b"), size).filter("id_a < id_b")
     for x in AXES:
         met = met.filter(F.least(f"{x}1_a", f"{x}1_b") - F.greatest(f"{x}0_a", f"{x}0_b") > tolerance)
-    first = [F.floor(F.greatest(f"{x}0_a", f"{x}0_b") / size).cast("long") == F.col(f"_c{x}_a") for x in "xy"]
-    return met.filter(first[0] & first[1]).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def near_boxes(points: DataFrame, boxes: DataFrame, tolerance: float, size: float = 64.0) -> DataFrame:
     """Points (point, x, y, z) beside all boxes within the tolerance, inclusive, with their distance and volume."""
-    b = boxes.withColumn("_cx", cells(F.col("x0") - tolerance, F.col("x1") + tolerance, size)).withColumn("_cy", cells(F.col("y0") - tolerance, F.col("y1") + tolerance, size))
-    p = points.select("point", *AXES, F.floor(F.col("x") / size).cast("long").alias("_cx"), F.floor(F.col("y") / size).cast("long").alias("_cy"))
+    w = wider(tolerance)
+    b = boxes.withColumns({f"_{n}{x}": F.col(f"{x}{k}") + d for x in "xy" for n, k, d in (("lo", 0, -w), ("hi", 1, w))})
+    p = points.select("point", *AXES)
+    met = meet(p, b, [(x, x) for x in "xy"], [(f"_lo{x}", f"_hi{x}") for x in "xy"], size).drop(*[f"_{n}{x}" for n in ("lo", "hi") for x in "xy"])
     distance = F.sqrt(sum((gap(x, f"{x}0", f"{x}1") ** 2 for x in AXES), F.lit(0.0)))
     volume = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * (F.col("z1") - F.col("z0"))
-    return p.join(b, ["_cx", "_cy"]).withColumns({"distance": distance, "volume": volume}).filter(F.col("distance") <= tolerance).drop("_cx", "_cy")
+    return met.withColumns({"distance": distance, "volume": volume}).filter(F.col("distance") <= tolerance)
 
 
 def nearest_box(points: DataFrame, boxes: DataFrame, tolerance: float, size: float = 64.0) -> DataFrame:

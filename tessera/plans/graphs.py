@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..operators import graph as G
+from ..operators.grid import close_components
 from .summaries import nation_pairs
 
 #: Nations are nodes; a supplier's and a customer's nation that trade more than most pairs do are joined, at a length of whole numbers.
@@ -38,13 +39,9 @@ NEAR = """SELECT e.user_id AS a, f.user_id AS b FROM (SELECT user_id, max(value)
     SELECT node, min(to_) AS component FROM r GROUP BY node""")
 def components(table, spark):
     """Users whose greatest values lie close together."""
-    from ..operators.spatial import cells
-
-    v = table("events").groupBy("user_id").agg(F.max("value").alias("v"))
-    a = v.select(F.col("user_id").alias("a"), F.col("v").alias("va"), cells(F.col("v") - 0.2, F.col("v") + 0.2, 0.2).alias("cell"))
-    b = v.select(F.col("user_id").alias("b"), F.col("v").alias("vb"), F.floor(F.col("v") / 0.2).cast("long").alias("cell"))
-    near = a.join(b, "cell").filter((F.col("a") < F.col("b")) & (F.abs(F.col("va") - F.col("vb")) <= 0.2)).select("a", "b")
-    return G.components(near)
+    v = table("events").groupBy(F.col("user_id").alias("id")).agg(F.max("value").alias("v"))
+    found = close_components(v, ["v"], 0.2)
+    return found.filter("members > 1").select(F.col("id").alias("node"), "component")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT a, b FROM ({EDGES})), x AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node) AS (SELECT 1 UNION SELECT x.b FROM r JOIN x ON r.node = x.a)
