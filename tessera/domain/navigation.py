@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.boxes import AXES, canonical_point, inside, near_boxes, nearest_box, ray_exit, turned_point
+from ..operators.grid import nearest_matching
 from ..operators.relational import ladder, set_relations, snap, unordered_pair
 from .topology import BOX, TRANSIT
 from .underground import CHUNK
@@ -163,9 +164,8 @@ def start_portals(at: DataFrame) -> DataFrame:
 
 def socket_matches(sockets: DataFrame, ends: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """(l, r, d, quality): sockets (point, x, y, z) to saved ends (point, x, y, z), closest pair first, each used once."""
-    s = sockets.select("point", *[F.col(c).alias(f"{c}{k}") for c in AXES for k in (0, 1)]).withColumnRenamed("point", "id")
-    met = near_boxes(ends, s, tolerance).select(F.col("id").alias("l"), F.col("point").alias("r"), F.col("distance").alias("d"))
-    return graph.mutual_nearest(met).withColumn("quality", F.when(F.col("d") <= EXACT, "exact").otherwise("near"))
+    met = nearest_matching(sockets, ends, [*AXES], tolerance, "point")
+    return met.withColumn("quality", F.when(F.col("d") <= EXACT, "exact").otherwise("near"))
 
 
 def aligned(sockets: DataFrame, ends: DataFrame, tolerance: float = 1.0) -> tuple[DataFrame, DataFrame]:

@@ -1,25 +1,49 @@
 """Graphs as edges (a, b): degrees, components, reach, and cheapest paths under several ideas of cost.
 
-Everything iterates over DataFrames until nothing changes, which each round brings nearer, with checkpoints of the frontier; nothing but
+Everything iterates over DataFrames until nothing changes, which each round brings nearer, with the frontier stored in between; nothing but
 counters reaches the driver.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; a temporary one is set only where none is and Spark is local, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; a temporary one only where none is set and Spark is local, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session is gone; the folder belongs to it
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as a table in the cluster's shared folder and read again: cuts the lineage, survives lost executors. It goes with the driver.
+
+    Unlike a checkpoint it is computed once, and its size is that of its files: a checkpoint hands on the estimate of its plan, which in a loop of
+    joins is multiplied in each round, until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, cut
+from .relational import numbered
 
 #: Pairs that one cell or block compares at most, and how often a cell is halved at most.
 MOST_PAIRS, DEEPEST = 1 << 22, 8
@@ -62,6 +63,7 @@ class Plan:
 
     def __init__(self, left: DataFrame, right: DataFrame, keys: list[str], left_axes: list[Axis], right_axes: list[Axis], size: float, most: int):
         self.at, self.size, self.splits = [*keys, *_names(left_axes)], size, []
+        self.keys, self.left_axes, self.right_axes = keys, left_axes, right_axes
         self.blocks: DataFrame | None = None
         l, r = (_spread(df.select(*keys, *{c for a in axes for c in a}), axes, size) for df, axes in ((left, left_axes), (right, right_axes)))
         level = 0
@@ -86,6 +88,7 @@ class Plan:
             inside = [(F.shiftright(c, 1) if c.startswith("_c") else F.col(c)) == F.col(f"{c}_up") for c in self.at]
             l, r = (df.join(up, inside, "left_semi") for df in (l, r))
             hot = cut(below.join(up, inside, "left_semi").filter(F.col("pairs") > most))
+        self.blocks = None if self.blocks is None else cut(self.blocks)
 
     def place(self, df: DataFrame, axes: list[Axis]) -> DataFrame:
         """df in the cells of the plan: at, _level."""
@@ -104,21 +107,24 @@ class Plan:
         return df.withColumn(f"_of{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))).drop("_left", "_right")
 
 
+    def pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """What meet returns; the sides may be those that the plan was made of, or rows of them."""
+        l, r, on = self.place(left, self.left_axes), self.place(right, self.right_axes), [*self.at, "_level"]
+        if self.blocks is not None:
+            l, r = self.dealt(l, "_left", "_right", left.columns), self.dealt(r, "_right", "_left", right.columns)
+            on += ["_of_left", "_of_right"]
+        met = l.join(r, on)
+        width = F.lit(self.size) / F.expr("shiftleft(1L, _level)")
+        for c, (lo, _), (lo_r, _) in zip(_names(self.left_axes), self.left_axes, self.right_axes):
+            met = met.filter(F.floor(F.greatest(lo, lo_r) / width).cast("long") == F.col(c))
+        return met.select(*self.keys, *[c for df in (left, right) for c in df.columns if c not in self.keys])
+
+
 def meet(left: DataFrame, right: DataFrame, left_axes: list[Axis], right_axes: list[Axis], size: float, keys: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """All columns of both sides for each pair of rows with equal keys whose boxes meet, and maybe of some whose boxes do not: a predicate of the
     caller decides. Axes are (least, greatest) columns of a side; apart from keys the sides have no name in common. A pair is made in the cell of its
     boxes' common lower corner alone."""
-    plan = Plan(left, right, [*keys], left_axes, right_axes, size, most or MOST_PAIRS)
-    l, r, on = plan.place(left, left_axes), plan.place(right, right_axes), [*plan.at, "_level"]
-    if plan.blocks is not None and not plan.blocks.isEmpty():
-        plan.blocks = cut(plan.blocks)
-        l, r = plan.dealt(l, "_left", "_right", left.columns), plan.dealt(r, "_right", "_left", right.columns)
-        on += ["_of_left", "_of_right"]
-    met = l.join(r, on)
-    width = F.lit(size) / F.expr("shiftleft(1L, _level)")
-    for c, (lo, _), (lo_r, _) in zip(_names(left_axes), left_axes, right_axes):
-        met = met.filter(F.floor(F.greatest(lo, lo_r) / width).cast("long") == F.col(c))
-    return met.select(*keys, *[c for df in (left, right) for c in df.columns if c not in keys])
+    return Plan(left, right, [*keys], left_axes, right_axes, size, most or MOST_PAIRS).pairs(left, right)
 
 
 def _bounds(axes: list[str]) -> list[Column]:
@@ -190,3 +196,54 @@ def _linked_cells(placed: DataFrame, nodes: DataFrame, axes: list[str], cells: l
         for s in "ab":
             under = ["_rep" + s, *[f"_u{i}{s}" for i in range(len(axes))]]
             pairs = pairs.join(fine.select(*[F.col(c).alias(c + s) for c in fine.columns]), under)
+
+
+def _places(points: DataFrame, axes: list[str], ident: str, side: str) -> tuple[DataFrame, DataFrame]:
+    """(place, rank, id): points by place, ranked by id from 1; and (place, axes, n): the different places."""
+    rows = numbered(points.select(F.col(ident).alias("_id"), *[F.col(a).cast("double").alias(a) for a in axes]), [*axes, "_id"], "_g")
+    places = cut(rows.groupBy(*axes).agg(F.min("_g").alias(f"place_{side}"), F.count("*").alias(f"n_{side}")))
+    ranked = rows.join(places, axes).select(f"place_{side}", (F.col("_g") - F.col(f"place_{side}") + 1).alias(f"rank_{side}"), F.col("_id").alias(side))
+    return cut(ranked), places.select(f"place_{side}", f"n_{side}", *[F.col(a).alias(f"{a}_{side}") for a in axes])
+
+
+def nearest_matching(left: DataFrame, right: DataFrame, axes: list[str], tolerance: float, ident: str = "id") -> DataFrame:
+    """Greedy one-to-one matching of two sets of points: (l, r, d) in the order of (d, l, r) over all pairs within the tolerance, each side used once.
+
+    No list of pairs is made. In each round every place with unused points asks for the nearest place of the other side that has some, and two that
+    ask for each other are matched: the least of all pairs is such a pair, so every round brings one. Points of one place leave it by their
+    id, so a place is its number of used points and its first unused one. Where neither of two places has another as near, all that both
+    have are matched at once; of equally near ones the first points decide, one pair a round.
+    """
+    (rows_l, l), (rows_r, r) = _places(left, axes, ident, "l"), _places(right, axes, ident, "r")
+    w = wider(tolerance)
+    l = l.withColumns({f"_lo{a}": F.col(f"{a}_l") - w for a in axes} | {f"_hi{a}": F.col(f"{a}_l") + w for a in axes})
+    l, r = cut(l.withColumn("used_l", F.lit(0).cast("long"))), cut(r.withColumn("used_r", F.lit(0).cast("long")))
+    plan = Plan(l, r, [], [(f"_lo{a}", f"_hi{a}") for a in axes], [(f"{a}_r", f"{a}_r") for a in axes], max(tolerance, 1e-3), MOST_PAIRS)
+    distance = F.sqrt(sum(((F.col(f"{a}_l") - F.col(f"{a}_r")) ** 2 for a in axes), F.lit(0.0)))
+    head = lambda df, rows, s: df.join(rows.select(f"place_{s}", (F.col(f"rank_{s}") - 1).alias(f"used_{s}"), F.col(s).alias(f"head_{s}")), [f"place_{s}", f"used_{s}"])
+    out = None
+    while True:
+        met = plan.pairs(head(l, rows_l, "l"), head(r, rows_r, "r")).withColumn("d", distance).filter(F.col("d") <= tolerance)
+        near = []
+        for s, o in ("lr", "rl"):
+            first, last = F.min(F.struct("d", f"head_{o}", f"place_{o}")), F.max(F.struct(-F.col("d"), f"head_{o}"))
+            best = met.groupBy(f"place_{s}").agg(first.alias("_b"), last.alias("_e"))
+            near.append(cut(best.select(f"place_{s}", F.col(f"_b.place_{o}").alias(f"place_{o}"), F.col("_b.d").alias("d"), (F.col(f"_b.head_{o}") == F.col(f"_e.head_{o}")).alias(f"alone_{s}"))))
+        both = near[0].join(near[1].drop("d"), ["place_l", "place_r"])
+        both = both.join(l.select("place_l", "n_l", "used_l"), "place_l").join(r.select("place_r", "n_r", "used_r"), "place_r")
+        all_ = F.least(F.col("n_l") - F.col("used_l"), F.col("n_r") - F.col("used_r"))
+        taken = cut(both.select("place_l", "place_r", "d", "used_l", "used_r", F.when(F.col("alone_l") & F.col("alone_r"), all_).otherwise(1).alias("n")))
+        if taken.isEmpty():
+            break
+        out = taken if out is None else cut(out.unionByName(taken))
+        sides = []
+        for side, asked, s in ((l, near[0], "l"), (r, near[1], "r")):  # a place without a partner in reach never has one again
+            now = side.join(asked.select(f"place_{s}"), f"place_{s}", "left_semi").join(taken.select(f"place_{s}", "n"), f"place_{s}", "left")
+            now = now.withColumn(f"used_{s}", F.col(f"used_{s}") + F.coalesce("n", F.lit(0))).drop("n").filter(F.col(f"used_{s}") < F.col(f"n_{s}"))
+            sides.append(cut(now))
+        l, r = sides
+    if out is None:
+        return rows_l.select("l").join(rows_r.select("r"), F.lit(False)).select("l", "r", F.lit(0.0).alias("d"))
+    each = out.select("place_l", "place_r", "d", "used_l", "used_r", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    each = each.select("place_l", "place_r", "d", (F.col("used_l") + F.col("k")).alias("rank_l"), (F.col("used_r") + F.col("k")).alias("rank_r"))
+    return each.join(rows_l, ["place_l", "rank_l"]).join(rows_r, ["place_r", "rank_r"]).select("l", "r", "d")

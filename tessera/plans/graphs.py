@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..operators import graph as G
-from ..operators.grid import close_components
+from ..operators.grid import close_components, nearest_matching
 from .summaries import nation_pairs
 
 #: Nations are nodes; a supplier's and a customer's nation that trade more than most pairs do are joined, at a length of whole numbers.
@@ -104,12 +104,14 @@ def grid_components(table, spark):
 TOLERANCE = 0.5
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT a.event_id AS l, b.event_id AS r, abs(a.value - b.value) AS d FROM events a JOIN events b ON a.event_type = 'click' AND b.event_type = 'purchase' AND abs(a.value - b.value) <= {TOLERANCE}),
+    r(l, r, d, taken) AS (
+      SELECT l, r, d, false FROM p
+      UNION ALL
+      SELECT l, r, d, row_number() OVER (PARTITION BY l ORDER BY d, l, r) = 1 AND row_number() OVER (PARTITION BY r ORDER BY d, l, r) = 1
+      FROM (SELECT *, bool_or(taken) OVER (PARTITION BY l) OR bool_or(taken) OVER (PARTITION BY r) AS gone FROM r) WHERE NOT gone)
+    SELECT l, r, round(d, 6) AS d FROM r WHERE taken""")
 def greedy_assignment(table, spark):
-    """Purchases to clicks whose values differ by the tolerance at most, cheapest pair first, each used once."""
-    cell = F.floor(F.col("value") / TOLERANCE).cast("long")
-    e = table("events").select("event_id", "event_type", "value", cell.alias("cell"))
-    l = e.filter("event_type = 'click'").select(F.col("event_id").alias("l"), F.col("value").alias("vl"), F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])).alias("cell"))
-    r = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("r"), F.col("value").alias("vr"), "cell")
-    d = F.abs(F.col("vl") - F.col("vr"))
-    return G.mutual_nearest(l.join(r, "cell").filter(d <= TOLERANCE).select("l", "r", d.alias("d")))
+    """Purchases to clicks whose values differ by the tolerance at most, closest pair first, each used once."""
+    side = lambda t: table("events").filter(F.col("event_type") == t).select(F.col("event_id").alias("id"), "value")
+    return nearest_matching(side("click"), side("purchase"), ["value"], TOLERANCE).withColumn("d", F.round("d", 6))

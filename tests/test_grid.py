@@ -117,3 +117,28 @@ def test_close_points_of_no_tolerance_and_none(spark):
     df = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 0.6)], "id long, x double")
     assert sorted(map(tuple, grid.close_components(df, ["x"], 0.0).collect())) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
     assert grid.close_components(df.limit(0), ["x"], 1.0).collect() == []
+
+
+def plain_matching(left, right, tolerance):
+    pairs = sorted((sum((x - y) ** 2 for x, y in zip(a[1:], b[1:])) ** 0.5, a[0], b[0]) for a in left for b in right)
+    used, out = set(), []
+    for d, l, r in pairs:
+        if d <= tolerance and ("l", l) not in used and ("r", r) not in used:
+            used |= {("l", l), ("r", r)}
+            out.append((l, r))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("d", "most"), [(1, 1 << 22), (2, 20)])
+def test_nearest_matching_is_the_greedy_one(spark, monkeypatch, d, most):
+    """Points in one place, equal distances to both sides, chains of ever nearer pairs; also on a crowded grid."""
+    monkeypatch.setattr(grid, "MOST_PAIRS", most)
+    rng = random.Random(d)
+    some = lambda n, at: [(at + i, *[rng.choice([float(rng.randrange(6)), 2.0, rng.random() * 6]) for _ in range(d)]) for i in range(n)]
+    left, right = some(40, 100), some(50, 500)
+    left += [(1, 7.0, *[0.0] * (d - 1)), (2, 7.0, *[0.0] * (d - 1)), (9, 9.0, *[0.0] * (d - 1))]
+    right += [(3, 8.0, *[0.0] * (d - 1)), (4, 6.0, *[0.0] * (d - 1)), (5, 8.0, *[0.0] * (d - 1))]
+    schema = "id long, " + ", ".join(f"{a} double" for a in AXES[:d])
+    got = grid.nearest_matching(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), list(AXES[:d]), 1.5)
+    assert sorted((x["l"], x["r"]) for x in got.collect()) == plain_matching(left, right, 1.5)
+    assert grid.nearest_matching(spark.createDataFrame(left, schema), spark.createDataFrame([], schema), list(AXES[:d]), 1.5).collect() == []
