@@ -108,6 +108,23 @@ def key_profile(nodes: DataFrame, most_depth: int = 4) -> DataFrame:
     return nodes.filter(F.col("reject_reason").isNull() & (F.col("depth") <= most_depth)).groupBy("depth", key.alias("key"), "value_kind").agg(F.count("*").alias("records"), F.countDistinct("row_id").alias("rows"))
 
 
+def nested_signatures(nodes: DataFrame, most: int = 20) -> DataFrame:
+    """(key, rank, signature, tables): of each key at the top of a value, the commonest signatures of the tables that its table holds. A signature is
+    the table's string keys in order, or where it has none the kinds of its keys; of equally common ones the one that is met first in scan
+    order, which the numbers of rows and nodes carry."""
+    sound = nodes.filter("reject_reason is null")
+    key = F.coalesce(F.when(F.col("key_kind").isin("string", "json"), F.col("key_str")), F.concat(F.lit("#"), "key_kind")).alias("key")
+    tops = sound.filter("depth = 1 and value_kind = 'table'").select("row_id", F.col("node").alias("top"), key)
+    tables = sound.filter("depth = 2 and value_kind = 'table'").select("row_id", F.col("parent").alias("top"), F.col("node").alias("table"))
+    text = F.when(F.col("key_kind").isin("string", "json"), F.col("key_str"))
+    held = sound.filter("depth = 3").groupBy("row_id", F.col("parent").alias("table")).agg(F.sort_array(F.collect_set(text)).alias("names"), F.sort_array(F.collect_set("key_kind")).alias("kinds"))
+    kinds = F.concat(F.lit("<no string keys; "), F.coalesce(F.array_join("kinds", "/"), F.lit("")), F.lit(">"))
+    found = tables.join(tops, ["row_id", "top"]).join(held, ["row_id", "table"], "left").withColumn("signature", F.when(F.size("names") > 0, F.array_join("names", ", ")).otherwise(kinds))
+    counted = found.groupBy("key", "signature").agg(F.count("*").alias("tables"), F.min(F.struct("row_id", "table")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("tables"), "first")).cast("long")
+    return counted.withColumn("rank", rank).filter(F.col("rank") <= most).select("key", "rank", "signature", "tables")
+
+
 def lz4_starts(blobs: DataFrame, most: int = 96, want: int = 17**3) -> DataFrame:
     """(id, offset, packed, sha256, dense, materials) for each offset of a blob (id, data) where a block begins that makes so many voxels, whatever
     follows it: bytes it takes, digest, voxels whose low six bits are not zero, and how many have each value of the two high bits."""

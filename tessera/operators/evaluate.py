@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+from .relational import numbered
+
+
+#: Rows of parameters that are broadcast at once.
+SLICE = 10_000
+
 
 def sweep(records: DataFrame, parameters: DataFrame, hit: Column, keys: list[str]) -> DataFrame:
-    """How many records each row of parameters explains, best first. The parameters, a short list by nature, are broadcast."""
-    scored = records.join(F.broadcast(parameters)).groupBy(*keys).agg(F.count_if(hit).alias("hits"), F.count("*").alias("records"))
-    return scored.filter("hits > 0")
+    """How many records each row of parameters explains. Parameters are broadcast in slices of a bounded number of rows, counts are summed by them."""
+    if parameters.limit(SLICE + 1).count() <= SLICE:
+        slices = [parameters]
+    else:
+        listed = cut(numbered(parameters, keys, "_n"))
+        last = listed.agg(F.max("_n")).first()[0]
+        slices = [listed.filter(F.col("_n").between(n, n + SLICE - 1)).drop("_n") for n in range(1, last + 1, SLICE)]
+    out = None
+    for part in slices:
+        scored = records.join(F.broadcast(part)).groupBy(*keys).agg(F.count_if(hit).alias("hits"), F.count("*").alias("records")).filter("hits > 0")
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 def leave_one_group_out(df: DataFrame, fold: str, value: str) -> DataFrame:

@@ -423,3 +423,33 @@ def best_terrain_row(table, spark):
     row = F.col("c_custkey").cast("long")
     made = records(table("customer").select(row.alias("row_id"), (F.floor(row / 8) % 60000).cast("int").alias("worldId")), terrain_script, ["row_id", "worldId"])
     return underground.terrain_rows(decode.lua_nodes(made), made).select("worldId", "row_id", "signals", "size")
+
+
+#: Turns of a conversation that share a record.
+TURNS_EACH = 64
+
+
+def turn_table(n: int) -> dict:
+    if n % 7 == 0:
+        return {}
+    return {1: n, 2: 0} if n % 5 == 0 else {"role": n} | ({"size": n} if n % 2 else {}) | ({"kind": "x"} if n % 3 == 0 else {})
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, role = 'user' AS u FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    s AS (SELECT *, CASE WHEN n % 7 = 0 THEN '<no string keys; >' WHEN n % 5 = 0 THEN '<no string keys; int>' ELSE CASE WHEN n % 3 = 0 THEN 'kind, ' ELSE '' END || 'role' || CASE WHEN n % 2 = 1 THEN ', size' ELSE '' END END AS signature FROM t),
+    k AS (SELECT CASE WHEN u THEN 'asked' ELSE 'said' END AS key, signature, count(*) AS tables, min((conv_id * 1000000 + turn // {TURNS_EACH}, turn)) AS first FROM s GROUP BY ALL)
+    SELECT key, row_number() OVER (PARTITION BY key ORDER BY tables DESC, first)::BIGINT AS rank, signature, tables FROM k QUALIFY rank <= 20""")
+def nested_signatures(table, spark):
+    """Conversations as values, whose turns are tables of several shapes: the shapes below each key, commonest first, then first met."""
+    t = table("conversations").filter("conv_id is not null and turn is not null")
+    t = t.select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.coalesce(F.col("role") == "user", F.lit(False)).alias("u"), F.floor(F.col("turn") / TURNS_EACH).alias("block"))
+    g = t.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "n", "u"))).alias("t"))
+
+    def script(turns: list[dict]) -> bytes:
+        value: dict = {"seed": 1, "asked": {}, "said": {}}
+        for x in turns:
+            value["asked" if x["u"] else "said"][x["turn"]] = turn_table(x["n"])
+        return W.script(1, value)
+
+    made = records(g.withColumn("row_id", F.col("conv_id") * 1000000 + F.col("block")), script, ["t"])
+    return probes.nested_signatures(sound(decode.lua_nodes(made.select("row_id", F.lit(1).alias("worldId"), "data"))))

@@ -61,7 +61,7 @@ def worlds(generic: DataFrame, marker: bytes) -> DataFrame:
     w = decoded(rows, ["worldId"], "decoded_world int, seed long, filename string, classname string, terrain string", one(codecs.world), ["data"])
     kind = F.when(F.col("classname") == "Overworld", "overworld").when(F.col("classname") == "DungeonWorld", "dungeon").when(F.col("classname") == "WarehouseWorld", "warehouse").when(F.col("classname").startswith("UndergroundWorld"), "underground").otherwise("other")
     depth = F.expr("cast(try_cast(get_json_object(terrain, '$.depth') as double) as int)")
-    path = F.coalesce(F.get_json_object("terrain", "$.path"), F.get_json_object("terrain", "$.worldFilePath"))
+    path = F.coalesce(F.nullif(F.get_json_object("terrain", "$.path"), F.lit("")), F.get_json_object("terrain", "$.worldFilePath"))
     stem = F.nullif(F.regexp_extract(F.translate(path, "\\", "/"), r"([^/]+?)(\.[^./]*)?$", 1), F.lit(""))
     name = F.when((kind == "underground") & depth.isNotNull() & stem.isNotNull(), F.concat(F.lit("D"), depth, F.lit(" "), stem)).otherwise(stem)
     index, level, most = (F.expr(f"cast(try_cast(get_json_object(terrain, '$.{k}') as double) as int)") for k in ("warehouseIndex", "level", "maxLevels"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import sqlite3
+from collections.abc import Iterator
+from contextlib import closing, contextmanager
 from typing import ClassVar
 
 from pyspark.errors import AnalysisException
@@ -17,15 +19,17 @@ TYPES = {"INTEGER": "bigint", "INT": "bigint", "BLOB": "binary", "TEXT": "string
 KNOWN = ["GenericData", "ScriptData", "VoxelTerrain", "Portal", "RigidBody", "ChildShape"]
 
 
-def connect(path: str) -> sqlite3.Connection:
-    """Read-only; raises unless the file begins as a database does and is long enough for its header."""
+@contextmanager
+def connect(path: str) -> Iterator[sqlite3.Connection]:
+    """Read-only, closed at the end; raises unless the file begins as a database does and is long enough for its header."""
     with open(path, "rb") as f:
         head = f.read(LEAST_BYTES)
     if not head.startswith(MAGIC) or len(head) < LEAST_BYTES:
         raise ValueError(f"{path} is not a SQLite database")
     c = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-    c.execute("PRAGMA query_only = ON")
-    return c
+    with closing(c):
+        c.execute("PRAGMA query_only = ON")
+        yield c
 
 
 def quoted(name: str) -> str:

@@ -130,3 +130,14 @@ def test_codec_scan_holds_every_codec(spark):
 def test_key_profile(spark):
     df = spark.createDataFrame([(1, 0, None, None, "table", None), (1, 1, "string", "a", "int", None), (2, 1, "string", "a", "float", None), (2, 1, "int", None, "int", None), (3, None, None, None, None, "bad")], "row_id int, depth int, key_kind string, key_str string, value_kind string, reject_reason string")
     assert {(r["key"], r["value_kind"]): r["records"] for r in P.key_profile(df).filter(F.col("depth") == 1).collect()} == {("a", "int"): 1, ("a", "float"): 1, ("#int", "int"): 1}
+
+
+def test_nested_signatures_rank_by_count_then_by_first_met(spark):
+    from tessera.sinks import formats
+    from tessera.sources import decode
+
+    rows = [(5, {"a": {1: {"z": 1, "b": 2}, 2: {}, 3: {"b": 3}, 4: 7}, "n": 3}), (6, {"a": {1: {1: 1, 2.5: 2}, 2: {"b": 1}, 3: {"b": 2, "z": {"q": 1}}, 4: {1: 0}}}), (7, [{"k": {"x": 1}}])]
+    script = spark.createDataFrame([(r, 1, formats.script(1, v)) for r, v in rows], "row_id long, worldId int, data binary")
+    got = {(x["key"], x["rank"]): (x["signature"], x["tables"]) for x in P.nested_signatures(decode.lua_nodes(script)).collect()}
+    assert got == {("a", 1): ("b, z", 2), ("a", 2): ("b", 2), ("a", 3): ("<no string keys; >", 1), ("a", 4): ("<no string keys; float/int>", 1), ("a", 5): ("<no string keys; int>", 1), ("#int", 1): ("x", 1)}
+    assert P.nested_signatures(decode.lua_nodes(script), 1).count() == 2
