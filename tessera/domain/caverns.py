@@ -6,6 +6,7 @@ lets a player pass.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import deque
 from collections.abc import Callable
@@ -21,6 +22,13 @@ from ..operators.voxel import components, feet, steps, volume, walk
 
 MOST_EXPLORED = 250_000
 SIDES = ((1, 0), (-1, 0), (0, 1), (0, -1))
+# Why two floors are apart.
+GAPS = ("step_exceeds_limit", "low_side_headroom_blocked", "unexplained_graph_disconnect")
+
+
+def shifted(d: int, n: int) -> tuple[slice, slice]:
+    """Of an axis of n cells, those that have a cell d further on, and these."""
+    return slice(max(0, -d), max(0, n - max(0, d))), slice(max(0, d), max(0, n - max(0, -d)))
 
 
 class Cavern:
@@ -116,23 +124,23 @@ class Cavern:
 
     def gap(self, label: np.ndarray, a: int, b: int) -> dict[str, int]:
         """Why floors a and b are not one: for each pair of neighbouring standing cells, the step or what is overhead."""
-        out: dict[str, int] = {}
         reach, height = max(2, self.step), self.dims[2]
-        for x, y, z in np.argwhere(label == a).tolist():
-            for dx, dy in SIDES:
-                xx, yy = x + dx, y + dy
-                if not self.inside((xx, yy, 0)):
-                    continue
-                for zz in range(max(0, z - reach), min(height, z + reach + 1)):
-                    if label[xx, yy, zz] != b:
-                        continue
-                    dz = zz - z
-                    low = (x, y, z) if dz > 0 else (xx, yy, zz)
-                    above = [low[2] + self.headroom + k for k in range(abs(dz))]
-                    blocked = any(h >= height or not self.free[low[0], low[1], h] for h in above)
-                    reason = "step_exceeds_limit" if abs(dz) > self.step else "low_side_headroom_blocked" if blocked else "unexplained_graph_disconnect"
-                    out[reason] = out.get(reason, 0) + 1
-        return out
+        shut = np.pad(~self.free, ((0, 0), (0, 0), (0, self.headroom + reach)), constant_values=True)
+        over = [np.zeros(self.dims, bool)]  # over[m]: whether one of the m cells above the head of who stands here is shut
+        for k in range(reach):
+            over.append(over[-1] | shut[:, :, self.headroom + k : self.headroom + k + height])
+        found = dict.fromkeys(GAPS, 0)
+        for (dx, dy), dz in itertools.product(SIDES, range(-reach, reach + 1)):
+            own, far = zip(*(shifted(d, n) for d, n in zip((dx, dy, dz), self.dims)))
+            met = (label[own] == a) & (label[far] == b)
+            n, low = int(met.sum()), own if dz > 0 else far
+            if abs(dz) > self.step:
+                found[GAPS[0]] += n
+            else:
+                blocked = int((met & over[abs(dz)][low]).sum())
+                found[GAPS[1]] += blocked
+                found[GAPS[2]] += n - blocked
+        return {reason: n for reason, n in found.items() if n}
 
     def inward(self, point, count: int = 9) -> dict:
         """What lies straight in from the side of the tile that a point is nearest to."""

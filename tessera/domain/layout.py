@@ -150,6 +150,7 @@ def tile_usage(pieces: DataFrame, tiles: DataFrame, top: int = 30) -> tuple[Data
     return ranked, by.groupBy("of", "name").agg(F.count("*").alias("pieces"))
 
 
+# Tags of tiles that hold a resource.
 RESOURCES = ["deposit", "gold", "sapphire", "sparkstone", "potato", "crystal", "corralium"]
 
 
