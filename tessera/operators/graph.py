@@ -33,6 +33,13 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def transient(spark: SparkSession, base: str, name: str) -> str:
+    """A new folder's path below base, deleted when the driver ends."""
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as a table in the cluster's shared folder and read again: cuts the lineage, survives lost executors. It goes with the driver.
 
@@ -40,9 +47,8 @@ def cut(df: DataFrame) -> DataFrame:
     joins is multiplied in each round, until planning takes longer than the work.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = transient(spark, _shared_folder(spark), "cut")
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

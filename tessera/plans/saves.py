@@ -404,6 +404,60 @@ def log_runs(table, spark):
     return rows.groupBy("file", "run").agg(F.count_if(good).alias("good"), F.count_if(F.col("reject_reason").isNotNull()).alias("bad"))
 
 
+#: Lines of a log for each user; some markers name another world, some nothing, and indices repeat.
+LOG_KIND = "CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 97 = 0 THEN 'unnamed' WHEN event_id % 5 = 0 THEN 'other' ELSE 'mine' END WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'bad' ELSE 'good' END"
+LOG_STATES = f"""WITH e AS (SELECT user_id::VARCHAR AS file, event_id AS line, event_id % 40 AS ix, {LOG_KIND} AS kind FROM events WHERE user_id IS NOT NULL),
+    n AS (SELECT *, sum(CASE WHEN kind IN ('mine', 'other', 'unnamed') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM e),
+    f AS (SELECT file, max(run) FILTER (kind = 'mine') AS run, max(line) FILTER (kind = 'mine') AS marker_line, count(*) FILTER (kind = 'unnamed') AS unnamed FROM n GROUP BY file),
+    r AS (SELECT file, count(*) AS records, count(*) FILTER (n.kind = 'bad') AS bad, count(DISTINCT CASE WHEN n.kind = 'bad' THEN -1 ELSE ix END) AS different, string_agg(line, ',' ORDER BY line) AS lines FROM n JOIN f USING (file, run) WHERE n.kind IN ('good', 'bad') GROUP BY file),
+    s AS (SELECT f.*, coalesce(records, 0) AS records, coalesce(bad, 0) AS bad, lines, CASE WHEN unnamed > 0 THEN 'marker' WHEN f.run IS NULL THEN 'none' WHEN records = 3 AND different = 3 AND bad = 0 THEN 'whole' ELSE 'broken' END AS status FROM f LEFT JOIN r USING (file))
+    SELECT file, status, run::BIGINT AS run, marker_line, CASE WHEN run IS NOT NULL THEN records END AS records, CASE WHEN run IS NOT NULL THEN bad END AS bad, CASE WHEN status = 'whole' THEN lines ELSE '' END AS lines FROM s"""
+
+
+def event_lines(table) -> DataFrame:
+    e = table("events").filter("user_id is not null").withColumn("kind", F.expr(LOG_KIND))
+    meta = F.when(F.col("kind") == "unnamed", "X_RUN_META,world=x").when(F.col("kind") == "other", "X_RUN_META,world=8,count=3").when(F.col("kind") == "mine", "[x] X_RUN_META,world=9,count=3")
+    record = F.concat(F.lit("12:00 X_RUN,"), F.concat_ws(",", F.col("event_id") % 40, F.lit(1), F.lit("1.0"), F.lit("2.0"), F.lit("3.0"), F.lit(9), F.lit("4.5"), F.lit("0,0,1"), F.coalesce("event_type", F.lit("-"))))
+    return e.select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("line"), F.coalesce(meta, F.when(F.col("kind") == "bad", "X_RUN,broken").otherwise(record)).alias("value"))
+
+
+def shown_states(states: DataFrame) -> DataFrame:
+    return states.select("file", "status", "run", "marker_line", "records", "bad", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
+
+
+@query(LOG_STATES)
+def log_states(table, spark):
+    """Of each log the newest run that a marker names, and whether it is whole."""
+    from ..sources import logs
+
+    return shown_states(logs.run_states(logs.parsed(event_lines(table), "X_RUN_META,", "X_RUN,", 64), 9, 3))
+
+
+@query(LOG_STATES)
+def streamed_log_states(table, spark):
+    """The same from a stream over three pieces of every log, a batch a piece, which stops after each and goes on from its checkpoint."""
+    from ..operators.graph import _shared_folder, transient
+    from ..streaming.runs import run_states
+
+    lines, folder = event_lines(table), transient(spark, _shared_folder(spark), "stream")
+    most = lines.agg(F.max("line")).first()[0] or 0
+    answers = f"{folder}/answers"
+
+    def follow() -> None:
+        stream = spark.readStream.schema(lines.schema).parquet(f"{folder}/lines")
+        states = run_states(stream, "X_RUN_META,", "X_RUN,", 9, 3)
+        sink = states.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        sink.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{answers}/batch={n}")).start().awaitTermination()
+
+    for k in range(3):
+        piece = lines.filter((F.col("line") >= most * k / 3) & (F.col("line") < most * (k + 1) / 3 if k < 2 else F.lit(True)))
+        piece.write.mode("append").parquet(f"{folder}/lines")
+        follow()
+    states = spark.read.parquet(answers)
+    newest = states.groupBy("file").agg(F.max_by(F.struct(*[c for c in states.columns if c not in ("file", "batch", "seen")]), F.struct("seen", "batch")).alias("s"))
+    return shown_states(newest.select("file", "s.*"))
+
+
 TERRAIN_ROWS = """SELECT *, 13 + list_sum([10 + length(k) FOR k IN ['caves', 'tunnels', 'uid'][1:n]]) + 15 * extra + 114 + pad AS size FROM (
     SELECT c_custkey::BIGINT AS row_id, (c_custkey // 8 % 60000)::INT AS w, c_custkey % 4 AS n, c_custkey * 7919 % 5 AS extra, c_custkey * 104729 % 3 = 0 AS squeezed, c_custkey * 31 % 13 * 100 AS pad FROM customer) WHERE row_id % 23 <> 0 AND n > 0"""
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 FIELDS = ["index int", "hit int", "x double", "y double", "predicted_z double", "world_id int", "z double", "nx double", "ny double", "nz double", "kind string"]
 NAMES = [x.split()[0] for x in FIELDS]
 MOST_SAMPLES = 512
+#: Lines of a file within which its markers are counted at once.
+LINES = 1 << 18
 
 
 class NoRun(ValueError):
@@ -22,22 +24,26 @@ class NoRun(ValueError):
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, line, value) of text files, lines from 1 on: one task a file, which is what gives its lines numbers."""
-    text = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r\n|\n|\r").alias("l"))
-    return text.select("file", F.posexplode("l").alias("line", "value")).withColumn("line", F.col("line") + 1)
-
-
-def parsed(lines: DataFrame, marker: str, record: str) -> DataFrame:
-    """lines: file, line, value. Markers and records with their run (markers so far in the file); a bad one has a reject_reason."""
+    """(file, line, value) of text files, lines from 1 on. A file is read in ranges that end with a line; a line's number is its place in its range
+    and the lines of the ranges before, which are counted in a pass of their own. So no row or task holds a file. Files must not change meanwhile."""
+    m = F.col("_metadata")
+    at = spark.read.text(paths).select(m["file_path"].alias("file"), m["file_block_start"].alias("range"), F.monotonically_increasing_id().alias("at"), "value")
+    counts = at.groupBy("file", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a file
+    starts = counts.select("file", "range", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return at.join(starts, ["file", "range"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
+def fields(lines: DataFrame, marker: str, record: str) -> DataFrame:
+    """lines: file, line, value. The markers and records among them, each by itself, so for streams too; a bad one has a reject_reason."""
     at = lines.withColumns({"_m": F.instr("value", marker), "_r": F.instr("value", record)}).filter("_m > 0 or _r > 0")
-    at = at.withColumn("run", F.sum((F.col("_m") > 0).cast("int")).over(Window.partitionBy("file").orderBy("line")))
     is_marker = F.col("_m") > 0
     text = F.trim(F.when(is_marker, F.expr("substring(value, _m)")).otherwise(F.expr("substring(value, _r)")))
-    rows = at.select("file", "line", "run", is_marker.alias("is_marker"), text.alias("text")).withColumn("f", F.when(~F.col("is_marker"), F.split("text", ",", 12)))
+    rows = at.select("file", "line", is_marker.alias("is_marker"), text.alias("text")).withColumn("f", F.when(~F.col("is_marker"), F.split("text", ",", 12)))
     named = F.regexp_extract("text", r"^[^,]*,world=(\d+),count=(\d+)$", 0) != ""
     number = lambda k: F.when(F.col("is_marker") & named, F.regexp_extract("text", r"^[^,]*,world=(\d+),count=(\d+)$", k))
     typed = [F.when(F.size("f") == 12, F.expr(f"try_cast(f[{k + 1}] as {t})")).alias(n) for k, (n, t) in enumerate(x.split() for x in FIELDS)]
-    out = rows.select("file", "line", "run", "is_marker", number(1).alias("marker_world"), number(2).alias("marker_count"), F.size("f").alias("_n"), *typed)
+    out = rows.select("file", "line", "is_marker", number(1).alias("marker_world"), number(2).alias("marker_count"), F.size("f").alias("_n"), *typed)
     finite = F.lit(True)
     for n in ("x", "y", "predicted_z", "z", "nx", "ny", "nz"):
         finite = finite & F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf"))
@@ -46,6 +52,38 @@ def parsed(lines: DataFrame, marker: str, record: str) -> DataFrame:
     return out.withColumn("reject_reason", F.when(F.col("is_marker"), marked).when(F.col("_n") != 12, "fields").when(~F.coalesce(good, F.lit(False)), "values")).drop("_n")
 
 
+def parsed(lines: DataFrame, marker: str, record: str, most: int = LINES) -> DataFrame:
+    """Markers and records (fields) with their run: how many markers of the file precede it, itself included. Markers are counted in stretches of so
+    many lines, and over the stretches of a file, so a window holds a stretch or a row for each of them."""
+    rows = fields(lines, marker, record).withColumns({"_stretch": F.floor(F.col("line") / most), "_m": F.col("is_marker").cast("long")})
+    counts = rows.groupBy("file", "_stretch").agg(F.sum("_m").alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("file", "_stretch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.sum("_m").over(Window.partitionBy("file", "_stretch").orderBy("line"))
+    return rows.withColumn("run", within).join(counts, ["file", "_stretch"]).withColumn("run", F.col("run") + F.col("_before")).drop("_stretch", "_m", "_before")
+
+
+def run_states(rows: DataFrame, world: int, count: int) -> DataFrame:
+    """For each file of parsed rows the newest run whose marker names the world and count, whole or not: (file, status, run, marker_line, records,
+    bad, lines). status: "marker" where a marker of the file names nothing, "none" where none names these, "whole" where the run has every
+    record once and none bad, else "broken". lines are those of a whole run's records, in order. A file without markers and records has no row."""
+    mine = F.col("is_marker") & (F.col("marker_world") == str(world)) & (F.col("marker_count") == str(count))
+    last = F.max(F.when(mine, F.struct("run", "line")))
+    files = rows.groupBy("file").agg(last.alias("m"), F.count_if(F.col("is_marker") & F.col("reject_reason").isNotNull()).alias("unnamed"))
+    files = files.select("file", "unnamed", F.col("m.run").alias("run"), F.col("m.line").alias("marker_line"))
+    records = rows.filter(~F.col("is_marker")).join(files.filter("run is not null").select("file", "run"), ["file", "run"])
+    # A run is split by index first, so that one without end is counted in parts; of one that is whole there are `count` records.
+    parts = records.groupBy("file", "index").agg(F.count("*").alias("n"), F.count("reject_reason").alias("bad"), F.min("line").alias("line"))
+    totals = parts.groupBy("file").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("different"))
+    whole = totals.filter((F.col("n") == count) & (F.col("different") == count) & (F.col("bad") == 0))
+    lines = parts.join(whole.select("file"), "file", "left_semi").groupBy("file").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    out = files.join(totals, "file", "left").join(lines, "file", "left")
+    status = F.when(F.col("unnamed") > 0, "marker").when(F.col("run").isNull(), "none").when(F.col("lines").isNotNull() | F.lit(count == 0) & F.col("n").isNull(), "whole").otherwise("broken")
+    counted = lambda c: F.when(F.col("run").isNotNull(), F.coalesce(c, F.lit(0).cast("long")))
+    empty = F.array().cast("array<bigint>")
+    return out.select("file", status.alias("status"), "run", "marker_line", counted("n").alias("records"), counted("bad").alias("bad"), F.when(status == "whole", F.coalesce("lines", empty)).otherwise(empty).alias("lines"))
+
+
 def latest_run(rows: DataFrame, world: int, count: int) -> DataFrame:
     """Records of the last run of a file whose marker names the world and count. A newest run that is not whole raises; none older steps in."""
     mine = rows.filter(F.col("is_marker") & (F.col("marker_world") == str(world)) & (F.col("marker_count") == str(count)))
