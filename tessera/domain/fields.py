@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
+from ..operators.relational import medians
 from ..operators.voxel import volume
 
 SHIFTS = [(x, y, z) for x in (0.0, 0.5) for y in (0.0, 0.5) for z in (0.0, 0.5)]
@@ -149,7 +151,8 @@ def hypothesis_scores(read: DataFrame) -> DataFrame:
     single floors, then the least error, then the order of the models."""
     single = F.when(F.col("status") == "single_candidate", F.get("roots", F.lit(0)) - F.col("z"))
     n = lambda s, name: F.count_if(F.col("status") == s).alias(name)
-    rows = read.withColumn("e", single).withColumn("bias", F.median("e").over(Window.partitionBy(*MODEL)))
+    rows = cut(read.select(*MODEL, "status", single.alias("e")))
+    rows = rows.join(medians(rows, MODEL, "e").withColumnRenamed("median", "bias"), MODEL, "left")
     g = rows.groupBy(*MODEL).agg(
         n("single_candidate", "single_candidates"), n("no_candidate", "no_candidates"), n("ambiguous_multiple_candidates", "ambiguous_samples"), F.max("bias").alias("bias"),
         F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.sqrt(F.avg((F.col("e") - F.col("bias")) ** 2)).alias("rmse_after_bias"),
@@ -166,7 +169,8 @@ def held_out_models(read: DataFrame) -> DataFrame:
 def isovalue_spread(read: DataFrame) -> DataFrame:
     """Of each model the densities at the hits: how many fall, rise or stay upward, how far they are from the fixed midpoint, and how far they
     spread around their own median. Without variation a spread says nothing, so the counts stand beside it."""
-    rows = read.withColumn("middle", F.median("density").over(Window.partitionBy(*MODEL)))
+    rows = cut(read.select(*MODEL, "density", "upward"))
+    rows = rows.join(medians(rows, MODEL, "density").withColumnRenamed("median", "middle"), MODEL, "left")
     fixed = F.pow(F.lit(2), F.col("bits") - 1) / (F.pow(F.lit(2), F.col("bits")) - 1)
     g = rows.groupBy(*MODEL).agg(
         F.count("density").alias("scored"), F.count("*").alias("expected"), F.count_if(F.col("upward") < -1e-9).alias("falling"), F.count_if(F.col("upward") > 1e-9).alias("rising"),
@@ -178,10 +182,10 @@ def isovalue_spread(read: DataFrame) -> DataFrame:
 
 def normal_scores(read: DataFrame) -> DataFrame:
     """Of each model the angles between the field's and the measured normals: over all hits, over those off the lattice's planes, and over cells
-    of the lattice, each cell counting once however many rays fell into it."""
+    of a tile's lattice, each cell counting once however many rays fell into it."""
     ok = F.col("normal_status") == "sampled"
     off = ok & ~F.col("on_grid_plane")
-    cell = read.groupBy(*MODEL, "cell_x", "cell_y").agg(
+    cell = read.groupBy(*MODEL, "tile", "cell_x", "cell_y").agg(
         F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.count_if(off).alias("off"), F.sum(F.when(ok, F.col("angle"))).alias("s"), F.sum(F.when(off, F.col("angle"))).alias("so"), F.max(F.when(ok, F.col("angle"))).alias("m"),
         F.count_if(F.col("normal_status") == "density_not_falling_upward").alias("rising"), F.count_if(F.col("normal_status").isin("missing_neighbour_or_boundary", "flat_field_or_invalid_normal")).alias("none"),
     )

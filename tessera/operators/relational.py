@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import cycle
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,13 +73,41 @@ def digest(df: DataFrame, group: str, row: Column) -> DataFrame:
     return df.groupBy(group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256).alias("digest"), F.count("*").alias("records"))
 
 
-def medians(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, median), exactly. Values are numbered by ranges and the middle ones picked by number, so no task holds a group, however large."""
-    v = df.select(group, value).filter(F.col(value).isNotNull()).withColumn("_tie", F.monotonically_increasing_id())
-    n = numbered(v, [group, value, "_tie"], "_n")
-    span = n.groupBy(group).agg(F.min("_n").alias("_lo"), F.count("*").alias("_k"))
-    middle = n.join(span, group).filter((F.col("_n") - F.col("_lo")).isin(F.floor((F.col("_k") - 1) / 2), F.floor(F.col("_k") / 2)))
-    return middle.groupBy(group).agg(F.avg(value).alias("median"))
+#: Values of a group that a median takes at once, and bins of a histogram of more.
+AT_ONCE, BINS = 1 << 16, 1024
+
+
+def medians(df: DataFrame, group: str | list[str], value: str, at_once: int = AT_ONCE, bins: int = BINS) -> DataFrame:
+    """(group, median), exactly, of the values that are finite. A group of more than `at_once` values is not gathered: its range is counted in
+    bins, the bin of each middle rank becomes the next range, from its least to its greatest value, and so on until it is one value. Only
+    counts travel, and nothing is sorted."""
+    keys = [group] if isinstance(group, str) else list(group)
+    v = cut(df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v between -1.7976931348623157E308D and 1.7976931348623157E308D"))
+    sizes = cut(v.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]  # noqa: E731  a null is a group, too
+    few = v.alias("v").join(sizes.filter(F.col("_n") <= at_once).alias("s"), same("v", "s"), "left_semi")
+    out = few.groupBy(*keys).agg(F.median("_v").alias("median"))
+    ranks = F.explode(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))
+    targets, found = cut(sizes.filter(F.col("_n") > at_once).withColumn("_rank", ranks).select(*keys, "_lo", "_hi", "_rank")), None
+    if targets.isEmpty():
+        return out
+    # Both keep the order: halves, so that the widest range is finite, and in every other round logarithms, 0 for 0, for values of all magnitudes.
+    scales = cycle((lambda c: F.col(c) / 2, lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.signum(c) * (F.log(F.abs(c)) + 746))))
+    while not targets.isEmpty():
+        scale = next(scales)
+        settled = targets.filter("_lo = _hi").select(*keys, F.col("_lo").alias("_v"))
+        found = settled if found is None else found.unionByName(settled)
+        open_ = targets.filter("_lo < _hi")
+        inside = v.alias("v").join(open_.select(*keys, "_lo", "_hi").distinct().alias("r"), [*same("v", "r"), F.col("_v").between(F.col("_lo"), F.col("_hi"))])
+        place = F.floor(F.try_divide(scale("_v") - scale("_lo"), scale("_hi") - scale("_lo")) * bins)
+        place = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), bins - 1).otherwise(F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)))
+        counts = inside.select(*[F.col(f"v.{k}").alias(k) for k in keys], "_lo", "_hi", "_v", place.alias("_bin")).groupBy(*keys, "_lo", "_hi", "_bin").agg(F.count("*").alias("_k"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        upto = F.sum("_k").over(Window.partitionBy(*keys, "_lo", "_hi").orderBy("_bin"))  # a row for each bin
+        counts = counts.withColumn("_below", upto - F.col("_k")).alias("c")
+        at = [*same("t", "c"), F.col("t._lo") == F.col("c._lo"), F.col("t._hi") == F.col("c._hi"), F.col("_rank") >= F.col("_below"), F.col("_rank") < F.col("_below") + F.col("_k")]
+        targets = cut(open_.alias("t").join(counts, at).select(*[F.col(f"t.{k}").alias(k) for k in keys], F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), (F.col("_rank") - F.col("_below")).alias("_rank")))
+    middle = found.groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    return out.unionByName(middle.select(*keys, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") / 2 + F.col("_b") / 2).alias("median")))
 
 
 def error_stats(df: DataFrame, group: str, error: str) -> DataFrame:

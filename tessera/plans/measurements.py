@@ -84,17 +84,22 @@ def facet_groups(table, spark):
 DIMS = (16, 16, 16)
 
 
-def slope_blocks(table) -> DataFrame:
-    """One tile of one block whose bytes fall by one a voxel from 15 at the bottom."""
+#: Suppliers whose hits lie in one tile.
+HITS_EACH = 20
+MANY = f"concat('t', floor(s_suppkey / {HITS_EACH}))"
+
+
+def slope_blocks(table, tile: str = "'t'") -> DataFrame:
+    """Tiles of one block whose bytes fall by one a voxel from 15 at the bottom."""
     data = bytes(max(0, 15 - z) for _ in range(256) for z in range(16))
-    return table("region").filter("r_regionkey = 0").select(F.lit("t").alias("tile"), *[F.lit(0).alias(b) for b in ("bx", "by", "bz")], F.lit(data).alias("data"))
+    return table("supplier").select(F.expr(tile).alias("tile")).distinct().select("tile", *[F.lit(0).alias(b) for b in ("bx", "by", "bz")], F.lit(data).alias("data"))
 
 
-def slope_samples(table) -> DataFrame:
+def slope_samples(table, tile: str = "'t'") -> DataFrame:
     """Suppliers as hits around the height at which four bits cross their midpoint."""
     k = F.col("s_suppkey")
     return table("supplier").select(
-        F.lit("t").alias("tile"), k.cast("int").alias("index"), (k % 3).cast("double").alias("lane"), (k % 11 + 1.25).alias("x"), (k % 7 + 2.25).alias("y"), (7.0 + k % 9 / 8.0 + 0.0625).alias("z"), F.lit(7.5).alias("predicted_z"),
+        F.expr(tile).alias("tile"), k.cast("int").alias("index"), (k % 3).cast("double").alias("lane"), (k % 11 + 1.25).alias("x"), (k % 7 + 2.25).alias("y"), (7.0 + k % 9 / 8.0 + 0.0625).alias("z"), F.lit(7.5).alias("predicted_z"),
         F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"), F.lit(0).alias("rotation"),
     )
 
@@ -107,7 +112,7 @@ SLOPE = "SELECT s_suppkey AS i, 7.0 + s_suppkey % 9 / 8.0 + 0.0625 AS z FROM sup
     SELECT bits, shift_x, shift_y, shift_z, count(e) AS single_candidates, count(*) - count(e) AS no_candidates, round(any_value(bias), 6) AS bias, round(sqrt(avg(e * e)), 6) AS rmse, round(sqrt(avg((e - bias) ** 2)), 6) AS rmse_after_bias FROM e JOIN b USING (bits, shift_x, shift_y, shift_z) GROUP BY ALL""")
 def field_hypotheses(table, spark):
     """How well readings of bytes as densities put a floor where rays hit; only four bits cross their midpoint here."""
-    s = fields.hypothesis_scores(fields.readings(slope_blocks(table), slope_samples(table), DIMS))
+    s = fields.hypothesis_scores(fields.readings(slope_blocks(table, MANY), slope_samples(table, MANY), DIMS))
     return s.select(*fields.MODEL, "single_candidates", "no_candidates", *[F.round(c, 6).alias(c) for c in ("bias", "rmse", "rmse_after_bias")])
 
 
@@ -115,14 +120,14 @@ def field_hypotheses(table, spark):
     SELECT bits, shift_x, shift_y, shift_z, count(*) AS scored, count(*) AS falling, 0::BIGINT AS rising, round(any_value(m), 6) AS median_density, round(avg(abs(v - m)), 6) AS spread FROM d JOIN b USING (bits, shift_x, shift_y, shift_z) GROUP BY ALL""")
 def isovalue_spread(table, spark):
     """Densities at the hits, of each reading."""
-    s = fields.isovalue_spread(fields.readings(slope_blocks(table), slope_samples(table), DIMS))
+    s = fields.isovalue_spread(fields.readings(slope_blocks(table, MANY), slope_samples(table, MANY), DIMS))
     return s.select(*fields.MODEL, "scored", "falling", "rising", F.round("median_density", 6).alias("median_density"), F.round("spread", 6).alias("spread"))
 
 
-@query(f"""SELECT bits, shift_x, shift_y, shift_z, (SELECT count(*) FROM supplier) AS scored, 0.0::DOUBLE AS mean_angle, 0::BIGINT AS not_falling, (SELECT count(DISTINCT (floor(s_suppkey % 11 + 1.25 - shift_x), floor(s_suppkey % 7 + 2.25 - shift_y))) FROM supplier) AS cells FROM ({MODELS}) AS m""")
+@query(f"""SELECT bits, shift_x, shift_y, shift_z, (SELECT count(*) FROM supplier) AS scored, 0.0::DOUBLE AS mean_angle, 0::BIGINT AS not_falling, (SELECT count(DISTINCT (s_suppkey // {HITS_EACH}, floor(s_suppkey % 11 + 1.25 - shift_x), floor(s_suppkey % 7 + 2.25 - shift_y))) FROM supplier) AS cells FROM ({MODELS}) AS m""")
 def normal_angles(table, spark):
     """Angles between the fields' and the measured normals, which agree here, and over how many cells of the lattice."""
-    s = fields.normal_scores(fields.readings(slope_blocks(table), slope_samples(table), DIMS))
+    s = fields.normal_scores(fields.readings(slope_blocks(table, MANY), slope_samples(table, MANY), DIMS))
     return s.select(*fields.MODEL, "scored", "mean_angle", "not_falling", "cells")
 
 
