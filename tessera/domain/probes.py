@@ -125,6 +125,20 @@ def nested_signatures(nodes: DataFrame, most: int = 20) -> DataFrame:
     return counted.withColumn("rank", rank).filter(F.col("rank") <= most).select("key", "rank", "signature", "tables")
 
 
+BLOCK = "offset int, packed int, sha256 string, dense long, materials array<long>"
+
+
+def block_starts(data: bytes, most: int = 96, want: int = 17**3) -> Iterator[dict]:
+    """BLOCK for each of the first offsets where a block begins that makes so many voxels, whatever follows it."""
+    for at in range(min(most + 1, len(data))):
+        try:
+            out, used = codecs.lz4_prefix(data[at:], want)
+        except codecs.Reject:
+            continue
+        v = np.frombuffer(out, np.uint8)
+        yield {"offset": at, "packed": used, "sha256": hashlib.sha256(out).hexdigest(), "dense": int((v & 63 > 0).sum()), "materials": np.bincount(v >> 6, minlength=4).tolist()}
+
+
 def lz4_starts(blobs: DataFrame, most: int = 96, want: int = 17**3) -> DataFrame:
     """(id, offset, packed, sha256, dense, materials) for each offset of a blob (id, data) where a block begins that makes so many voxels, whatever
     follows it: bytes it takes, digest, voxels whose low six bits are not zero, and how many have each value of the two high bits."""
@@ -134,18 +148,10 @@ def lz4_starts(blobs: DataFrame, most: int = 96, want: int = 17**3) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for ident, data in zip(b.column("id").to_pylist(), b.column("data").to_pylist()):
-                for at in range(min(most + 1, len(data or b""))):
-                    try:
-                        out, used = codecs.lz4_prefix(data[at:], want)
-                    except codecs.Reject:
-                        continue
-                    v = np.frombuffer(out, np.uint8)
-                    rows.append({"id": ident, "offset": at, "packed": used, "sha256": hashlib.sha256(out).hexdigest(), "dense": int((v & 63 > 0).sum()), "materials": np.bincount(v >> 6, minlength=4).tolist()})
+            rows = [{"id": i} | x for i, data in zip(b.column("id").to_pylist(), b.column("data").to_pylist()) for x in block_starts(data or b"", most, want)]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return blobs.select(F.col("id").cast("long").alias("id"), "data").mapInArrow(run, "id long, offset int, packed int, sha256 string, dense long, materials array<long>")
+    return blobs.select(F.col("id").cast("long").alias("id"), "data").mapInArrow(run, f"id long, {BLOCK}")
 
 
 def summed(df: DataFrame, keys: str, counts: str, each: Callable[[pa.RecordBatch], Iterable[dict]], extremes: str = "") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..domain import layout, navigation, regions
+from ..functions.surface import register
 from ..operators import boxes as B
 from ..operators.relational import numbered
 
@@ -216,3 +217,24 @@ def contact_coverage(table, spark):
 def numbered_rows(table, spark):
     """A dense number in a total order, by ranges."""
     return numbered(table("orders").select("o_orderkey", (-F.col("o_totalprice")).alias("p")), ["p", "o_orderkey"], "place").select("o_orderkey", "place")
+
+
+HITS = "SELECT event_id, (event_id % 37 - 2)::DOUBLE AS x, (user_id % 29 + 0.25)::DOUBLE AS y, (event_id % 23 + 1.125)::DOUBLE AS z FROM events"
+SIX = ", ".join(f"('{a}{s}', {u} - 0.0, {v} - 0.0, abs({a} - {at}))" for a, u, v in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y")) for s, at in (("-", "0.0"), ("+", "32.0")))
+
+
+@query(f"""SELECT event_id, face, u, v, d AS distance, CASE WHEN d <= 0.5 THEN '<=0.5' WHEN d <= 1 THEN '<=1' WHEN d <= 2 THEN '<=2' WHEN d <= 4 THEN '<=4' WHEN d <= 8 THEN '<=8' WHEN d <= 16 THEN '<=16' WHEN d <= 32 THEN '<=32' ELSE '>32' END AS ray,
+    CASE WHEN d <= 4.1 THEN '<=4.1' WHEN d <= 8 THEN '<=8' WHEN d <= 16 THEN '<=16' WHEN d <= 32 THEN '<=32' ELSE '>32' END AS contact, greatest(0 - x, x - 32, 0) AS outside
+    FROM (SELECT * FROM ({HITS}), LATERAL (SELECT * FROM (VALUES {SIX}) AS f(face, u, v, d) ORDER BY d, face LIMIT 1))""")
+def sql_nearest_faces(table, spark):
+    """The face of a box nearest to a point and how far the point lies outside, with both ladders of distances, as SQL text."""
+    register(spark)
+    return spark.sql(
+        f"""WITH p AS (SELECT event_id, CAST(event_id % 37 - 2 AS DOUBLE) AS x, CAST(user_id % 29 + 0.25 AS DOUBLE) AS y, CAST(event_id % 23 + 1.125 AS DOUBLE) AS z FROM {{events}}),
+        f AS (SELECT event_id, nearest_face(x, y, z, {BOX32}) AS f, box_distance(x, y, z, {BOX32}) AS outside FROM p)
+        SELECT event_id, f.face, f.u, f.v, f.distance, ray_bucket(f.distance) AS ray, contact_bucket(f.distance) AS contact, outside FROM f""",
+        events=table("events"),
+    )
+
+
+BOX32 = "0D, 32D, 0D, 32D, 0D, 32D"

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalogue import query
+from ..catalogue import SQL, query
 from ..domain import layout, probes, terrain, underground
+from ..functions.surface import register
 from ..operators.series import interpolated_midpoint
 from ..sinks import formats as W
 from ..sources import decode
@@ -507,3 +508,37 @@ def nested_signatures(table, spark):
 
     made = records(g.withColumn("row_id", F.col("conv_id") * 1000000 + F.col("block")), script, ["t"])
     return probes.nested_signatures(sound(decode.lua_nodes(made.select("row_id", F.lit(1).alias("worldId"), "data"))))
+
+
+@query(SQL["tile_chunk_totals"])
+def sql_tile_chunks(table, spark):
+    """Chunks of tile files by kind, as SQL text over the table function."""
+    register(spark)
+    return spark.sql(
+        """SELECT kind, count(*) AS chunks, count_if(NOT in_file) AS outside, sum(CAST(packed AS BIGINT)) AS packed, sum(CAST(full AS BIGINT)) AS full
+        FROM {tiles} t, LATERAL tile_chunks(t.content) WHERE present GROUP BY kind""",
+        tiles=tile_files(table),
+    )
+
+
+@query("""SELECT CASE WHEN c % 9 = 0 THEN 'envelope:truncated' WHEN c % 8 = 0 THEN 'envelope:trailing' ELSE 'decoded' END AS reason, count(*) AS records, CASE WHEN c % 9 > 0 AND c % 8 > 0 THEN sum(c)::BIGINT END AS total
+    FROM (SELECT DISTINCT conv_id AS c FROM conversations) GROUP BY 1, c % 9 > 0 AND c % 8 > 0""")
+def sql_value_nodes(table, spark):
+    """Values in script records and why they cannot be read, as SQL text over the table function."""
+    register(spark)
+
+    def script(conv: int) -> bytes:
+        blob = W.script(1, conv)
+        return blob[:-1] if conv % 9 == 0 else blob + b"x" if conv % 8 == 0 else blob
+
+    rows = records(table("conversations").select("conv_id").distinct(), script, ["conv_id"])
+    return spark.sql("SELECT coalesce(n.reject_reason, 'decoded') AS reason, count(*) AS records, sum(n.i) AS total FROM {scripts} s, LATERAL value_nodes(s.data) n GROUP BY 1", scripts=rows)
+
+
+@query("""SELECT k, lead AS "offset", count(*) AS blobs, CASE WHEN k = 0 THEN 0 ELSE 4913 END::BIGINT AS dense FROM (SELECT p_partkey % 4 AS k, (p_size % 5)::INT AS lead FROM part) GROUP BY ALL""")
+def sql_block_starts(table, spark):
+    """Where a block of a chunk's voxels begins behind up to four bytes that begin none, all offsets searched, as SQL text."""
+    register(spark)
+    p = table("part").select((F.col("p_partkey") % 4).alias("k"), (F.col("p_size") % 5).cast("int").alias("lead"))
+    blobs = records(p, lambda k, lead: b"\xff" * lead + W.lz4(bytes([k * 65]) * 17**3), ["k", "lead"])
+    return spark.sql("SELECT k, b.offset, count(*) AS blobs, max(b.dense) AS dense FROM {blobs} s, LATERAL block_starts(s.data) b WHERE b.packed + b.offset = length(s.data) GROUP BY k, b.offset", blobs=blobs)

@@ -20,6 +20,20 @@ from . import codecs
 BATCH = 4096
 
 
+def attempts(decode: Callable[..., Iterable[dict]], values: tuple, names: list[str]) -> Iterator[dict]:
+    """What decode yields for the values, by the names and with reject_reason; where they are rejected a row that has the reason alone."""
+    none = dict.fromkeys(names)
+    try:
+        if any(v is None for v in values):
+            raise codecs.Reject("not_blob")
+        for x in decode(*values):
+            yield {n: x.get(n) for n in names} | {"reject_reason": None}
+    except codecs.Reject as e:
+        yield none | {"reject_reason": str(e)}
+    except (ArithmeticError, LookupError, RecursionError, ValueError, struct.error) as e:
+        yield none | {"reject_reason": f"error:{type(e).__name__}"}
+
+
 def decoded(df: DataFrame, keep: list[str], fields: str, decode: Callable[..., Iterable[dict]], inputs: list[str]) -> DataFrame:
     """keep columns, what decode yields for the inputs of a row (null where it was rejected), reject_reason.
 
@@ -31,16 +45,8 @@ def decoded(df: DataFrame, keep: list[str], fields: str, decode: Callable[..., I
 
     def rows(b: pa.RecordBatch) -> Iterator[dict]:
         for r in b.to_pylist():
-            base = {k: r[k] for k in keep}
-            try:
-                if any(r[c] is None for c in inputs):
-                    raise codecs.Reject("not_blob")
-                for x in decode(*(r[c] for c in inputs)):
-                    yield base | {n: x.get(n) for n in names} | {"reject_reason": None}
-            except codecs.Reject as e:
-                yield base | {"reject_reason": str(e)}
-            except (ArithmeticError, LookupError, RecursionError, ValueError, struct.error) as e:
-                yield base | {"reject_reason": f"error:{type(e).__name__}"}
+            for x in attempts(decode, tuple(r[c] for c in inputs), names):
+                yield {k: r[k] for k in keep} | x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
