@@ -359,7 +359,7 @@ def tile_ground_audit(spark, plan: str, log: str, mark: str, tile: str, six_bits
     planned = c.select("index", F.col("plan_x").alias("x"), F.col("plan_y").alias("y"), "fraction")
     facets = cut(ground.facets(hits))
     return {
-        "hypotheses": fields.hypothesis_scores(read), "held_out": ground.held_out(models), "isovalues": fields.isovalue_spread(read), "normals": fields.normal_scores(read), "slopes": ground.slope_scores(models, planned),
+        "hypotheses": fields.hypothesis_scores(read), "held_out": ground.held_out(models, c.filter("status <> 'foreign'").select("lane", "index")), "isovalues": fields.isovalue_spread(read), "normals": fields.normal_scores(read), "slopes": ground.slope_scores(models, planned),
         "tangents": ground.tangent_held_out(hits), "facets": ground.facet_evidence(hits, facets), "profile": fields.density_profile(b, s, dims, margin),
         **{f"bits_{k}": fields.bit_transitions(p) for k, p in whole.items()}, **{f"midpoints_{k}": fields.midpoint_checks(p) for k, p in whole.items()}, **{f"pairs_{k}": fields.common_pairs(p) for k, p in whole.items()},
     }

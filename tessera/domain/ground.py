@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, cut
+from ..operators.relational import medians
 from ..operators.series import cross_lane
 from ..operators.spatial import cells
 
@@ -36,23 +37,49 @@ def end_to_end(compared: DataFrame) -> DataFrame:
     return ends.select("lane", F.when((F.col("a.status") == "hit") & (F.col("b.status") == "hit"), F.col("b.z") - F.col("a.z")).alias("rise"))
 
 
-def held_out(models: DataFrame) -> DataFrame:
-    """models: model, lane, index, measured, modelled (null: no root). For each lane the model and bias that the other lanes choose, and its
-    error beside a flat baseline, the other lanes' mean height, on the same rows of the lane.
+# Fixed values of the report: what a held-out lane comes to.
+UNKNOWN_LANES = "unavailable_track_metadata"
+FEW_LANES = "insufficient_distinct_tracks"
+NOTHING_LEARNED = "no_scorable_training_candidate"
+NOTHING_SCORED = "no_unambiguous_held_out_roots"
+SCORED = "scored"
 
-    The other lanes' rows are gathered by explicit pairs of lanes, which are few; everything else is joined by lane.
+
+def held_out(models: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """models: model, lane, index, measured, modelled (null: no root). For each lane the model and bias that the other lanes choose, and its error
+    beside a flat baseline, the median height of the other lanes' hits, on the same rows of the lane.
+
+    planned (lane, index; else the rows of models) says which hits there should be; those missing are counted apart from missing roots. status
+    is "scored" or why nothing is: a sample without a lane, or fewer than three lanes (then of all folds), no root among the other lanes' hits,
+    none in this one. Of the models most roots win, then the least error, then the name. Lanes are few: each row is read once for each fold.
     """
-    lanes = models.select("lane").distinct()
-    others = lanes.agg(F.sort_array(F.collect_list("lane")).alias("all")).select(F.explode("all").alias("fold"), "all").select("fold", F.explode("all").alias("lane")).filter("lane <> fold")
-    train = models.join(others, "lane").filter("measured is not null")
+    planned = models.select("lane", "index").distinct() if planned is None else planned
+    lanes = planned.agg(F.sort_array(F.collect_set("lane")).alias("all"), F.max(F.col("lane").isNull()).alias("unknown"))
+    folds = lanes.select(F.explode("all").alias("fold"), "all", F.when(F.col("unknown"), UNKNOWN_LANES).when(F.size("all") < 3, FEW_LANES).alias("_why"))
+    others = folds.select("fold", "_why", F.explode("all").alias("lane")).filter("lane <> fold")
+    known = models.filter("measured is not null")
+    hits = cut(known.select("lane", "index", "measured").distinct())
+    counts = planned.groupBy("lane").agg(F.count("*").alias("_p")).join(hits.groupBy("lane").agg(F.count("*").alias("_h")), "lane", "left").fillna(0, "_h")
+    own = counts.select(F.col("lane").alias("fold"), F.col("_p").alias("held_out_samples"), F.col("_h").alias("held_out_hits"))
+    rest = others.join(counts, "lane").groupBy("fold").agg(F.sum("_p").alias("training_samples"), F.sum("_h").alias("training_hits"))
+    teach = others.filter("_why is null").select("fold", "lane")
     e = F.col("modelled") - F.col("measured")
-    scored = train.groupBy("fold", "model").agg(F.count(e).alias("n"), F.median(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    chosen = scored.groupBy("fold").agg(F.min_by(F.struct("model", "bias", "n"), F.struct(-F.col("n"), "rmse", "model")).alias("c"))
-    flat = train.select("fold", "lane", "index", "measured").distinct().groupBy("fold").agg(F.avg("measured").alias("flat"))
-    test = models.withColumnRenamed("lane", "fold").join(chosen.join(flat, "fold"), "fold").filter("model = c.model and measured is not null")
-    left = F.col("modelled") - F.col("c.bias") - F.col("measured")
-    level = F.when(F.col("modelled").isNotNull(), F.col("flat") - F.col("measured"))
-    return test.groupBy("fold", F.col("c.model").alias("model")).agg(F.count("modelled").alias("scored"), F.count_if(F.col("modelled").isNull()).alias("without_root"), F.sqrt(F.avg(left * left)).alias("rmse"), F.sqrt(F.avg(level * level)).alias("flat_rmse"))
+    train = cut(known.join(teach, "lane").select("fold", "model", e.alias("e")).filter("e is not null"))
+    ranked = train.groupBy("fold", "model").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("error")).join(medians(train, ["fold", "model"], "e"), ["fold", "model"])
+    best = ranked.groupBy("fold").agg(F.min_by(F.struct("model", "n", "error", "median"), F.struct(-F.col("n"), "error", "model")).alias("c"))
+    best = best.select("fold", "c.model", F.col("c.n").alias("training_unambiguous"), F.col("c.error").alias("training_rmse"), F.col("c.median").alias("bias"))
+    flat = medians(hits.join(teach, "lane").select("fold", "measured"), "fold", "measured").withColumnRenamed("median", "flat")
+    test = known.select(F.col("lane").alias("fold"), "model", "measured", "modelled", e.alias("e")).join(best.join(flat, "fold"), ["fold", "model"])
+    rmse = lambda c: F.sqrt(F.avg(c * c))
+    level = F.when(F.col("e").isNotNull(), F.col("flat") - F.col("measured"))
+    errors = test.groupBy("fold").agg(F.count("e").alias("scored"), F.count_if(F.col("e").isNull()).alias("without_root"), rmse(F.col("e")).alias("raw_rmse"), rmse(F.col("e") - F.col("bias")).alias("rmse"), rmse(level).alias("flat_rmse"))
+    out = folds.select("fold", "_why").join(own, "fold").join(rest, "fold", "left").join(best, "fold", "left").join(errors, "fold", "left").fillna(0, ["training_samples", "training_hits", "training_unambiguous", "scored"])
+    status = F.coalesce("_why", F.when(F.col("model").isNull(), NOTHING_LEARNED).when(F.col("scored") == 0, NOTHING_SCORED).otherwise(SCORED))
+    missing = lambda kind: (F.col(f"{kind}_samples") - F.col(f"{kind}_hits")).alias(f"{kind}_missing")
+    return out.select(
+        "fold", status.alias("status"), "training_samples", "training_hits", missing("training"), "held_out_samples", "held_out_hits", missing("held_out"), "model", "training_unambiguous", "training_rmse", "bias",
+        "scored", "without_root", "raw_rmse", "rmse", "flat_rmse", (F.col("flat_rmse") - F.col("rmse")).alias("gain"),
+    )
 
 
 def angle(a: str, b: str) -> Column:
@@ -115,7 +142,7 @@ def tangent_held_out(hits: DataFrame, reach: float = 1.0) -> DataFrame:
     tangent = F.col("n.z_b") - (F.col("n.nx_b") * (F.col("x_a") - F.col("n.x_b")) + F.col("n.ny_b") * (F.col("y_a") - F.col("n.y_b"))) / F.col("n.nz_b")
     lanes = h.select("lane").distinct()
     others = lanes.agg(F.collect_list("lane").alias("all")).select(F.explode("all").alias("fold"), "all").select("fold", F.explode("all").alias("lane")).filter("lane <> fold")
-    flat = h.join(others, "lane").groupBy(F.col("fold").alias("lane")).agg(F.median("z").alias("flat"))
+    flat = medians(h.join(others, "lane").select(F.col("fold").alias("lane"), "z"), "lane", "z").withColumnRenamed("median", "flat")
     rows = best.select(F.col("lane_a").alias("lane"), F.col("z_a").alias("z"), tangent.alias("t"), F.col("n.z_b").alias("near")).join(flat, "lane")
     rmse = lambda c: F.sqrt(F.avg((F.col(c) - F.col("z")) ** 2))
     scored = rows.groupBy("lane").agg(F.count("*").alias("scored"), rmse("t").alias("tangent_rmse"), rmse("near").alias("nearest_rmse"), rmse("flat").alias("flat_rmse"))

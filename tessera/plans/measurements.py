@@ -84,6 +84,28 @@ def facet_groups(table, spark):
 DIMS = (16, 16, 16)
 
 
+#: Events as measurements in five lanes, of which some are missing, and three models, of which one leads to no root in two lanes.
+LANE_MODELS = """SELECT lane, i, m AS model, value AS measured, CASE m WHEN 'near' THEN CASE WHEN i % 11 <> 0 THEN value + i % 7 * 0.25 END WHEN 'far' THEN CASE WHEN i % 11 <> 0 THEN value + i % 5 * 3 END ELSE CASE WHEN lane < 2 THEN value END END AS modelled
+    FROM (SELECT user_id % 5 AS lane, event_id AS i, value FROM events WHERE event_id % 13 <> 0 AND event_id % 500 <> 0), (SELECT unnest(['near', 'far', 'rare']) AS m)"""
+HELD_OUT = f"""WITH p AS (SELECT user_id % 5 AS lane FROM events WHERE event_id % 500 <> 0), x AS ({LANE_MODELS}), f AS (SELECT DISTINCT lane AS fold FROM p),
+    r AS (SELECT fold, model, count(modelled) AS n, sqrt(avg((modelled - measured) ** 2)) AS error, median(modelled - measured) AS bias FROM f JOIN x ON lane <> fold GROUP BY ALL HAVING n > 0),
+    c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY fold ORDER BY n DESC, error, model) = 1), l AS (SELECT fold, median(measured) AS flat FROM f JOIN (SELECT DISTINCT lane, i, measured FROM x) ON lane <> fold GROUP BY 1),
+    t AS (SELECT c.fold, any_value(c.model) AS model, any_value(n) AS n, any_value(bias) AS bias, count(modelled) AS scored, count(*) - count(modelled) AS without_root, sqrt(avg((modelled - measured - bias) ** 2)) AS rmse, sqrt(avg((flat - measured) ** 2) FILTER (modelled IS NOT NULL)) AS flat_rmse
+      FROM c JOIN l USING (fold) JOIN x ON lane = c.fold AND x.model = c.model GROUP BY 1)
+    SELECT fold, 'scored' AS status, (SELECT count(*) FROM p WHERE lane <> fold) AS training_samples, (SELECT count(*) FROM p WHERE lane = fold) - (SELECT count(*) FROM x WHERE lane = fold AND model = 'near') AS held_out_missing, model, n AS training_unambiguous, round(bias, 6) AS bias, scored, without_root,
+      round(rmse, 6) AS rmse, round(flat_rmse, 6) AS flat_rmse FROM t"""
+
+
+@query(HELD_OUT)
+def lane_hold_out(table, spark):
+    """The model that all other lanes choose, scored on a lane, beside a flat height."""
+    e = table("events").select((F.col("user_id") % 5).alias("lane"), F.col("event_id").alias("index"), F.col("value").alias("measured")).filter("index % 500 <> 0")
+    modelled = {"near": "if(index % 11 <> 0, measured + index % 7 * 0.25D, null)", "far": "if(index % 11 <> 0, measured + index % 5 * 3, null)", "rare": "if(lane < 2, measured, null)"}
+    models = e.filter("index % 13 <> 0").withColumn("m", F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.expr(x).alias("modelled")) for n, x in modelled.items()]))).select("lane", "index", "measured", "m.*")
+    out = ground.held_out(models, e.select("lane", "index"))
+    return out.select("fold", "status", "training_samples", "held_out_missing", "model", "training_unambiguous", *[F.round(c, 6).alias(c) for c in ("bias", "rmse", "flat_rmse")], "scored", "without_root")
+
+
 #: Suppliers whose hits lie in one tile.
 HITS_EACH = 20
 MANY = f"concat('t', floor(s_suppkey / {HITS_EACH}))"

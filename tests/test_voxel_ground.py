@@ -108,6 +108,24 @@ def test_held_out_lanes_choose_nothing(spark):
     assert got[1]["flat_rmse"] == pytest.approx(((0.5**2 + 0.5**2 + 1.5**2) / 3) ** 0.5)
 
 
+def test_what_a_held_out_lane_comes_to(spark):
+    ddl, plan = "model string, lane int, index int, measured double, modelled double", "lane int, index int"
+    frame = lambda rows, lanes: ground.held_out(spark.createDataFrame(rows, ddl), spark.createDataFrame(lanes, plan))
+    lanes = [(k % 4, k) for k in range(16)]
+    rows = [("m", lane, k, k * 1.0, None if lane == 3 else k + 1.0 + (k == 0) * 8) for lane, k in lanes if k != 5]
+    got = {r["fold"]: r for r in frame(rows, lanes).collect()}
+    assert {f: r["status"] for f, r in got.items()} == {0: "scored", 1: "scored", 2: "scored", 3: "no_unambiguous_held_out_roots"}
+    assert (got[1]["training_samples"], got[1]["training_missing"], got[1]["held_out_samples"], got[1]["held_out_hits"], got[1]["held_out_missing"]) == (12, 0, 4, 3, 1)
+    assert (got[3]["training_missing"], got[3]["training_unambiguous"], got[3]["scored"], got[3]["without_root"], got[3]["rmse"]) == (1, 11, 0, 4, None)
+    assert got[1]["bias"] == 1.0 and got[1]["rmse"] == 0.0 and got[1]["raw_rmse"] == 1.0
+    flat = 7.5  # the median of 0, 2, 3, 4, 6, 7, 8, 10, 11, 12, 14, 15, whose mean is another
+    assert got[1]["flat_rmse"] == pytest.approx((((flat - 1) ** 2 + (flat - 9) ** 2 + (flat - 13) ** 2) / 3) ** 0.5) and got[1]["gain"] == got[1]["flat_rmse"]
+    assert {r["status"] for r in frame([r for r in rows if r[1] == 3], lanes).collect()} == {"no_scorable_training_candidate"}
+    assert [(r["status"], r["model"]) for r in frame([r for r in rows if r[1] < 2], [x for x in lanes if x[0] < 2]).collect()] == [("insufficient_distinct_tracks", None)] * 2
+    assert {r["status"] for r in frame(rows, [*lanes, (None, 16)]).collect()} == {"unavailable_track_metadata"}
+    assert frame([], []).collect() == []
+
+
 def test_facets(spark):
     hits = [(0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 0.5, 0.0, 0.0, 0.0, 0.0, 1.0), (2, 1.0, 0.0, 0.0, 0.0, 0.6, 0.8), (3, 1.2, 0.0, 0.0, 0.0, 0.6, 0.8), (5, 1.1, 0.0, 0.0, 0.0, 1.0, 0.0), (4, 9.0, 0.0, 0.0, 0.0, 0.0, 1.0)]
     got = {r["index"]: r["facet"] for r in ground.facets(spark.createDataFrame(hits, "index int, x double, y double, z double, nx double, ny double, nz double")).collect()}
