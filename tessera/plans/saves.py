@@ -535,10 +535,10 @@ def sql_value_nodes(table, spark):
     return spark.sql("SELECT coalesce(n.reject_reason, 'decoded') AS reason, count(*) AS records, sum(n.i) AS total FROM {scripts} s, LATERAL value_nodes(s.data) n GROUP BY 1", scripts=rows)
 
 
-@query("""SELECT k, lead AS "offset", count(*) AS blobs, CASE WHEN k = 0 THEN 0 ELSE 4913 END::BIGINT AS dense FROM (SELECT p_partkey % 4 AS k, (p_size % 5)::INT AS lead FROM part) GROUP BY ALL""")
+@query("""SELECT k, lead AS "offset", count(*) AS blobs, CASE WHEN k = 0 THEN 0 ELSE 4913 END::BIGINT AS dense FROM (SELECT s_suppkey % 4 AS k, (s_nationkey % 5)::INT AS lead FROM supplier) GROUP BY ALL""")
 def sql_block_starts(table, spark):
     """Where a block of a chunk's voxels begins behind up to four bytes that begin none, all offsets searched, as SQL text."""
     register(spark)
-    p = table("part").select((F.col("p_partkey") % 4).alias("k"), (F.col("p_size") % 5).cast("int").alias("lead"))
+    p = table("supplier").select((F.col("s_suppkey") % 4).alias("k"), (F.col("s_nationkey") % 5).cast("int").alias("lead"))
     blobs = records(p, lambda k, lead: b"\xff" * lead + W.lz4(bytes([k * 65]) * 17**3), ["k", "lead"])
     return spark.sql("SELECT k, b.offset, count(*) AS blobs, max(b.dense) AS dense FROM {blobs} s, LATERAL block_starts(s.data) b WHERE b.packed + b.offset = length(s.data) GROUP BY k, b.offset", blobs=blobs)
