@@ -39,3 +39,11 @@ def test_contacts_match_all_pairs(spark):
                     want[pair] = min(want.get(pair, c), c)
     got = spatial.face_contacts(spark.createDataFrame(rows, ["id", *BOX]), size=4.0).collect()
     assert sorted((r["a"], r["b"], r["axis"], r["area"], r["direction"]) for r in got) == sorted((*p, *c[1:]) for p, c in want.items())
+
+
+def test_touching_segments_are_counted_without_a_list(spark):
+    s = spark.range(4000).select(*[F.lit(v).alias(c) for c, v in {"x": 0.0, "y": 0.0, "xx": 1.0, "yy": 1.5}.items()])
+    b = spark.range(3000).select("id", *[F.lit(v).alias(c) for c, v in {"x0": 0.5, "x1": 2.0, "y0": 1.0, "y1": 2.0}.items()])
+    found = spatial.touch_counts(s, b, "id", 20.0)
+    n, moved = shuffled(spark, found)
+    assert n == 3000 and moved < 2_000_000 and found.agg(F.sum("touching")).first()[0] == 12_000_000
