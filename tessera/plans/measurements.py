@@ -188,7 +188,7 @@ def placements_near_path(table, spark):
 def room_block(size: int) -> bytes:
     """Solid up to a height, free above it."""
     floor = size % 10 + 1
-    return bytes(8 if z < floor else 0 for _ in range(256) for z in range(16))
+    return (bytes([8]) * floor + bytes(16 - floor)) * 256
 
 
 def room_blocks(table) -> DataFrame:

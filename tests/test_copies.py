@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import spatial
+from tessera.domain import caverns
+from tessera.operators import spatial, voxel
 
 
 def shuffled(spark, df):
@@ -47,3 +48,21 @@ def test_touching_segments_are_counted_without_a_list(spark):
     found = spatial.touch_counts(s, b, "id", 20.0)
     n, moved = shuffled(spark, found)
     assert n == 3000 and moved < 2_000_000 and found.agg(F.sum("touching")).first()[0] == 12_000_000
+
+
+def test_equal_tiles_are_solved_once(spark):
+    solid, room = bytes([8]) * 4096, (bytes([8]) * 4 + bytes(12)) * 256
+    tiles = [(t, 0, 0, 0, room if t is None or int(t) % 2 else solid) for t in [None, *map(str, range(60))]]
+    blocks = spark.createDataFrame(tiles, "tile string, bx int, by int, bz int, data binary")
+    seen = []
+
+    def solve(b, _):
+        seen.append(b.count())
+        return b.select("tile", F.length("data").alias("n"))
+
+    assert voxel.once(blocks, None, solve).count() == 61 and seen == [2]
+    found = {r["tile"]: r["cells"] for r in voxel.tile_components(blocks, (16, 16, 16), 15, 8).collect()}
+    assert found == {t: 12 * 256 for t in [None, *map(str, range(1, 60, 2))]}
+    sockets = spark.createDataFrame([(str(t), "s", 8.5, 8.5, z) for t in range(60) for z in [4.5 + t % 4]] + [(None, "s", 8.5, 8.5, 5.0), ("no blocks", "s", 8.5, 8.5, 5.0)], "tile string, socket string, x double, y double, z double")
+    near = {r["tile"]: r["distance"] for r in caverns.socket_voids(blocks, sockets, (16, 16, 16)).collect()}
+    assert near == {str(t): 0.0 if t % 2 else None for t in range(60)} | {None: 0.5, "no blocks": None}
