@@ -19,9 +19,10 @@ def terrain_rows(nodes: DataFrame, script: DataFrame) -> DataFrame:
     script (row_id, worldId, data), rejections included."""
     own = F.when((F.col("depth") == 1) & F.col("key_str").isin(SIGNALS), F.col("key_str"))
     whole = nodes.groupBy("worldId", "row_id").agg(F.countDistinct(own).alias("signals"), F.count("reject_reason").alias("rejects")).filter("signals > 0 and rejects = 0")
-    rows = script.join(whole.select("row_id", "signals"), "row_id").select("row_id", "worldId", "signals", "data")
+    # Merged, as a broadcast of a row for each script would be the driver's.
+    rows = script.join(whole.select("row_id", "signals").hint("merge"), "row_id").select("row_id", "worldId", "signals", "data")
     packed = rows.select("row_id", "signals", F.octet_length("data").alias("packed_size"))
-    sized = scripts(rows).filter("reject_reason is null").select("row_id", "worldId", "size").join(packed, "row_id")
+    sized = scripts(rows).filter("reject_reason is null").select("row_id", "worldId", "size").join(packed.hint("merge"), "row_id")
     order = [F.col("signals"), F.col("size"), F.col("packed_size"), -F.col("row_id")]
     return argmax(sized, "worldId", order, ["row_id", "signals", "size", "packed_size"])
 
