@@ -137,13 +137,18 @@ def tangent_held_out(hits: DataFrame, reach: float = 1.0) -> DataFrame:
     if not 0 < reach <= 4:
         raise ValueError("the reach must be in (0, 4]")
     h = hits.select("lane", "index", "x", "y", "z", "nx", "ny", "nz")
-    met = near_pairs(h, h.filter("nz > 0.1"), reach, []).filter("lane_a <> lane_b")
-    best = met.groupBy("lane_a", "index_a", "x_a", "y_a", "z_a").agg(F.min(F.struct("apart", "index_b", "x_b", "y_b", "z_b", "nx_b", "ny_b", "nz_b")).alias("n"))
-    tangent = F.col("n.z_b") - (F.col("n.nx_b") * (F.col("x_a") - F.col("n.x_b")) + F.col("n.ny_b") * (F.col("y_a") - F.col("n.y_b"))) / F.col("n.nz_b")
+    # Hits of one lane at one place ask once, and of them only the least index can be an answer.
+    asking = h.select("lane", "x", "y").distinct()
+    least = F.min(F.struct("index", "z", "nx", "ny", "nz")).alias("b")
+    asked = h.filter("nz > 0.1").groupBy("lane", "x", "y").agg(least).select("lane", "x", "y", "b.*")
+    met = near_pairs(asking, asked, reach, []).filter("lane_a <> lane_b")
+    best = met.groupBy(F.col("lane_a").alias("lane"), F.col("x_a").alias("x"), F.col("y_a").alias("y")).agg(F.min(F.struct("apart", "index_b", "x_b", "y_b", "z_b", "nx_b", "ny_b", "nz_b")).alias("n"))
+    best = h.select("lane", "index", "x", "y", "z").distinct().join(best, ["lane", "x", "y"])
+    tangent = F.col("n.z_b") - (F.col("n.nx_b") * (F.col("x") - F.col("n.x_b")) + F.col("n.ny_b") * (F.col("y") - F.col("n.y_b"))) / F.col("n.nz_b")
     lanes = h.select("lane").distinct()
     others = lanes.agg(F.collect_list("lane").alias("all")).select(F.explode("all").alias("fold"), "all").select("fold", F.explode("all").alias("lane")).filter("lane <> fold")
     flat = medians(h.join(others, "lane").select(F.col("fold").alias("lane"), "z"), "lane", "z").withColumnRenamed("median", "flat")
-    rows = best.select(F.col("lane_a").alias("lane"), F.col("z_a").alias("z"), tangent.alias("t"), F.col("n.z_b").alias("near")).join(flat, "lane")
+    rows = best.select("lane", "z", tangent.alias("t"), F.col("n.z_b").alias("near")).join(flat, "lane")
     rmse = lambda c: F.sqrt(F.avg((F.col(c) - F.col("z")) ** 2))
     scored = rows.groupBy("lane").agg(F.count("*").alias("scored"), rmse("t").alias("tangent_rmse"), rmse("near").alias("nearest_rmse"), rmse("flat").alias("flat_rmse"))
     all_of = h.groupBy("lane").agg(F.count("*").alias("hits"))

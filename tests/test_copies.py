@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.domain import caverns
+from tessera.domain import caverns, ground
 from tessera.operators import spatial, voxel
+from tessera.plans import saves
 
 
 def shuffled(spark, df):
@@ -66,3 +67,16 @@ def test_equal_tiles_are_solved_once(spark):
     sockets = spark.createDataFrame([(str(t), "s", 8.5, 8.5, z) for t in range(60) for z in [4.5 + t % 4]] + [(None, "s", 8.5, 8.5, 5.0), ("no blocks", "s", 8.5, 8.5, 5.0)], "tile string, socket string, x double, y double, z double")
     near = {r["tile"]: r["distance"] for r in caverns.socket_voids(blocks, sockets, (16, 16, 16)).collect()}
     assert near == {str(t): 0.0 if t % 2 else None for t in range(60)} | {None: 0.5, "no blocks": None}
+
+
+def test_held_out_tangents_of_copies_meet_once_a_place(spark):
+    at = {"lane": F.col("index") % 2, "x": F.floor(F.col("index") % 4 / 2) * 0.5, "y": F.lit(0.0), "z": F.col("index") % 4, "nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)}
+    hits = spark.range(40_000).withColumnRenamed("id", "index").select("index", *[c.cast("double").alias(n) for n, c in at.items()])
+    got = ground.tangent_held_out(hits).orderBy("lane").collect()
+    assert [(r["hits"], r["scored"], r["tangent_rmse"]) for r in got] == [(20_000, 20_000, 1.0)] * 2
+
+
+def test_terrain_rows_broadcast_no_script(spark):
+    table = lambda name: spark.range(2000).withColumnRenamed("id", "c_custkey")
+    df = saves.best_terrain_row(table, spark)
+    assert len(df.collect()) > 100 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
