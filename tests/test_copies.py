@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.domain import caverns, ground
-from tessera.operators import spatial, voxel
+from tessera.domain import caverns, ground, regions
+from tessera.operators import boxes, spatial, voxel
 from tessera.plans import saves
 
 
@@ -80,3 +80,41 @@ def test_terrain_rows_broadcast_no_script(spark):
     table = lambda name: spark.range(2000).withColumnRenamed("id", "c_custkey")
     df = saves.best_terrain_row(table, spark)
     assert len(df.collect()) > 100 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_of_copies_is_asked_once_a_place(spark):
+    at = (F.col("id") % 2).cast("double")
+    p = spark.range(6000).select("id", at.alias("x"), F.lit(0.0).alias("y"))
+    got = spatial.nearest_within(p, p, "id", ["x", "y"], 1.0)
+    n, moved = shuffled(spark, got)
+    assert n == 6000 and moved < 3_000_000
+    assert [tuple(r) for r in got.filter("id in (0, 1, 2, 5)").orderBy("id").collect()] == [(0, 2, 0.0, 5999), (1, 3, 0.0, 5999), (2, 0, 0.0, 5999), (5, 1, 0.0, 5999)]
+
+
+def test_nearest_matches_all_pairs_where_ids_are_elsewhere_and_twice(spark):
+    rng = random.Random(5)
+    some = lambda n: [(rng.randrange(40), float(rng.randrange(6)), float(rng.randrange(6))) for _ in range(n)]
+    left, right = some(60), some(60)
+    want = []
+    for i in sorted({r[0] for r in left}):
+        met = [((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, b[0]) for a in left if a[0] == i for b in right if b[0] != i]
+        near = [m for m in met if m[0] <= 2.25]
+        if near:
+            want.append((i, min(near)[1], min(near)[0], len(near)))
+    df = lambda rows: spark.createDataFrame(rows, "id long, x double, y double")
+    for l, r in ((left, right),):
+        assert sorted(map(tuple, spatial.nearest_within(df(l), df(r), "id", ["x", "y"], 1.5).collect())) == want
+
+
+def test_boxes_and_points_of_one_place_meet_once(spark):
+    p = spark.range(3000).select(F.col("id").alias("point"), *[F.lit(0.5).alias(c) for c in "xyz"])
+    b = spark.range(3000).select("id", F.lit("cave").alias("kind"), *[F.lit(float(c[1])).alias(c) for c in BOX])
+    near = boxes.nearest_box(p, b, 4.0)
+    n, moved = shuffled(spark, near)
+    assert n == 3000 and moved < 2_000_000 and near.filter("box <> 0 or distance <> 0").isEmpty()
+    n, moved = shuffled(spark, regions.region_boxes(b).filter("region = 1"))
+    assert n == 3000 and moved < 2_000_000
+    spots = spark.range(3000).select(F.lit("t").alias("tile"), F.col("id").alias("placement"), *[F.lit(0.5).alias(c) for c in "xyz"])
+    feet = spark.range(1000).select(F.lit("t").alias("tile"), F.col("id").cast("int").alias("fx"), F.lit(0).alias("fy"), F.lit(0).alias("fz"))
+    df = caverns.near_path(spots, feet, 20.0)
+    assert df.filter("distance = 0").count() == 3000 and df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 4
