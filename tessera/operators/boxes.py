@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
 from .grid import meet, wider
 
 AXES = ("x", "y", "z")
@@ -40,17 +41,26 @@ def near_boxes(points: DataFrame, boxes: DataFrame, tolerance: float, size: floa
     return met.withColumns({"distance": distance, "volume": volume}).filter(F.col("distance") <= tolerance)
 
 
+def _nearest(points: DataFrame, boxes: DataFrame, order: list[str], tolerance: float, size: float) -> DataFrame:
+    """(point, n): the least of order for each point with a box within the tolerance. Points of one place ask once."""
+    places = cut(points.select(*AXES).distinct().withColumn("point", F.monotonically_increasing_id()))
+    met = near_boxes(places, boxes, tolerance, size).groupBy("x", "y", "z").agg(F.min(F.struct(*order)).alias("n"))
+    return points.select("point", *AXES).join(met, [*AXES]).groupBy("point").agg(F.min("n").alias("n"))
+
+
 def nearest_box(points: DataFrame, boxes: DataFrame, tolerance: float, size: float = 64.0) -> DataFrame:
     """(point, box, distance) for each point (point, x, y, z) with a box within the tolerance, inclusive; the nearest, then the smallest, then
     the lowest id."""
-    met = near_boxes(points, boxes, tolerance, size)
-    return met.groupBy("point").agg(F.min(F.struct("distance", "volume", "id")).alias("n")).select("point", F.col("n.id").alias("box"), F.col("n.distance").alias("distance"))
+    bounds = [f"{x}{k}" for x in AXES for k in (0, 1)]
+    near = _nearest(points, cut(boxes.groupBy(*bounds).agg(F.min("id").alias("id"))), ["distance", "volume", "id"], tolerance, size)
+    return near.select("point", F.col("n.id").alias("box"), F.col("n.distance").alias("distance"))
 
 
 def nearest_group(points: DataFrame, boxes: DataFrame, group: str, tolerance: float, size: float = 64.0) -> DataFrame:
     """(point, group, distance): the nearest group of boxes within the tolerance; equal distances go to the lowest group."""
-    met = near_boxes(points, boxes, tolerance, size)
-    return met.groupBy("point").agg(F.min(F.struct("distance", group)).alias("n")).select("point", F.col(f"n.{group}").alias(group), F.col("n.distance").alias("distance"))
+    bounds = [f"{x}{k}" for x in AXES for k in (0, 1)]
+    near = _nearest(points, cut(boxes.select(group, *bounds).distinct()), ["distance", group], tolerance, size)
+    return near.select("point", F.col(f"n.{group}").alias(group), F.col("n.distance").alias("distance"))
 
 
 def turned_point(x: Column, y: Column, w: Column, d: Column, rotation: Column) -> tuple[Column, Column]:
