@@ -291,11 +291,12 @@ def near_path(placements: DataFrame, path: DataFrame, radius: float = 5.0) -> Da
     distances to the least foot."""
     if radius <= 0:
         raise ValueError("the radius must be positive")
-    p, q = placements.select("tile", "placement", *AXES), path.select("tile", *[F.col(f"f{c}") for c in AXES]).distinct()
+    p, q = placements.select("tile", *AXES).distinct(), path.select("tile", *[F.col(f"f{c}") for c in AXES]).distinct()
     for c in "xy":
         p = p.withColumn(f"_{c}", cells(F.col(c) - radius, F.col(c) + radius, radius))
         q = q.withColumn(f"_{c}", F.floor((F.col(f"f{c}") + 0.5) / radius).cast("long"))
     d2 = sum(((F.col(f"f{c}") + 0.5 - F.col(c)) ** 2 for c in AXES), F.lit(0.0))
     met = p.join(q, ["tile", "_x", "_y"]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
-    best = met.groupBy("tile", "placement").agg(F.min(F.struct("d2", "fx", "fy", "fz")).alias("n"))
+    near = met.groupBy("tile", *AXES).agg(F.min(F.struct("d2", "fx", "fy", "fz")).alias("n"))
+    best = placements.select("tile", "placement", *AXES).join(near, ["tile", *AXES]).groupBy("tile", "placement").agg(F.min("n").alias("n"))
     return best.select("tile", "placement", F.sqrt("n.d2").alias("distance"), F.struct("n.fx", "n.fy", "n.fz").alias("foot"))
