@@ -9,6 +9,9 @@ from ..operators import graph
 from ..operators.boxes import nearest_group, overlaps
 from ..operators.grid import close_components
 from ..operators.relational import numbered
+from ..operators.spatial import shapes
+
+BOUNDS = [f"{x}{k}" for x in "xyz" for k in (0, 1)]
 
 # Kinds of tunnels that can be walked, and those that are veins.
 CORRIDORS = ["TtDefault"]
@@ -29,10 +32,27 @@ def piece_boxes(pieces: DataFrame) -> DataFrame:
     return pieces.select(F.col("node").alias("id"), "kind", *[c for x in "xyz" for c in (F.col(x).alias(f"{x}0"), (F.col(x) + F.col(size[x])).alias(f"{x}1"))])
 
 
+def _shape_components(kinds: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, component: its least id) of boxes whose shape has an inside: equal ones overlap, so only shapes are compared."""
+    thick = F.lit(True)
+    for x in "xyz":
+        thick = thick & (F.col(f"{x}1") - F.col(f"{x}0") > 1e-6)
+    kinds = kinds.filter(thick)
+    met = graph.components(overlaps(kinds.withColumnRenamed("_shape", "id"))).select(F.col("node").alias("_shape"), "component")
+    named = kinds.select("_shape").join(met, "_shape", "left").select("_shape", F.coalesce("component", "_shape").alias("_c"))
+    own = graph.cut(members.join(named, "_shape"))
+    return own.join(own.groupBy("_c").agg(F.min("_member").alias("component")), "_c").select(F.col("_member").alias("id"), "component").distinct()
+
+
 def region_boxes(boxes: DataFrame) -> DataFrame:
     """boxes (id, kind, x0, ...) with their region: those that overlap, directly or through others; regions are numbered by their least corner
     (z, y, x), then size."""
-    found = graph.components(overlaps(boxes.drop("kind"))).select(F.col("node").alias("id"), "component")
+    kinds, members = shapes(boxes, "id", BOUNDS)
+    members = graph.cut(members)
+    if members.groupBy("_member").agg(F.countDistinct("_shape").alias("n")).filter("n > 1").isEmpty():
+        found = _shape_components(kinds, members)
+    else:  # an id with several boxes joins them
+        found = graph.components(overlaps(boxes.drop("kind"))).select(F.col("node").alias("id"), "component")
     own = boxes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     order = own.groupBy("component").agg(F.min("z0").alias("z"), F.min("y0").alias("y"), F.min("x0").alias("x"), F.count("*").alias("n"))
     return own.join(numbered(order, ["z", "y", "x", "n", "component"], "region").select("component", "region"), "component").drop("component")
