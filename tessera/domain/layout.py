@@ -40,10 +40,12 @@ def known(tiles: DataFrame) -> DataFrame:
 
 def adjacent_components(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Adds component: cells (id, keys, cell_x, cell_y) connected through neighbours in x or y with equal keys. Null keys equal nothing."""
-    shifted = cells.select(F.col("id").alias("b"), *keys, F.explode(F.array(F.struct((F.col("cell_x") - 1).alias("cell_x"), "cell_y"), F.struct("cell_x", (F.col("cell_y") - 1).alias("cell_y")))).alias("c"))
-    links = cells.join(shifted.select("b", *keys, "c.*"), [*keys, "cell_x", "cell_y"]).select(F.col("id").alias("a"), "b")
-    found = graph.components(links).select(F.col("node").alias("id"), "component")
-    return cells.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    at = [*keys, "cell_x", "cell_y"]
+    places = graph.cut(cells.groupBy(*at).agg(F.min("id").alias("_least")))  # rows of one cell have the same neighbours
+    shifted = places.select(F.col("_least").alias("b"), *keys, F.explode(F.array(F.struct((F.col("cell_x") - 1).alias("cell_x"), "cell_y"), F.struct("cell_x", (F.col("cell_y") - 1).alias("cell_y")))).alias("c"))
+    links = places.join(shifted.select("b", *keys, "c.*"), at).select(F.col("_least").alias("a"), "b")
+    found = places.join(graph.components(links).select(F.col("node").alias("_least"), "component"), "_least").select(*at, "component")
+    return cells.join(found, at, "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def cave_structures(pieces: DataFrame, tiles: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.domain import caverns, ground, regions
+from tessera.domain import caverns, ground, layout, regions
 from tessera.operators import boxes, spatial, voxel
 from tessera.plans import saves
 
@@ -118,3 +118,11 @@ def test_boxes_and_points_of_one_place_meet_once(spark):
     feet = spark.range(1000).select(F.lit("t").alias("tile"), F.col("id").cast("int").alias("fx"), F.lit(0).alias("fy"), F.lit(0).alias("fz"))
     df = caverns.near_path(spots, feet, 20.0)
     assert df.filter("distance = 0").count() == 3000 and df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 4
+
+
+def test_cells_of_copies_are_linked_once(spark):
+    place = F.when(F.col("id") % 3 == 2, 9).otherwise(F.col("id") % 3)  # two neighbours and one alone
+    cells = spark.range(4500).select("id", F.lit("t").alias("tile"), place.alias("cell_x"), F.lit(0).cast("long").alias("cell_y"))
+    n, moved = shuffled(spark, layout.adjacent_components(cells, ["tile"]))
+    got = {r["id"]: r["component"] for r in layout.adjacent_components(cells, ["tile"]).collect()}
+    assert n == 4500 and moved < 1_000_000 and got == {i: i if i % 3 == 2 else 0 for i in range(4500)}
