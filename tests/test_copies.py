@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.domain import caverns, ground, layout, regions
-from tessera.operators import boxes, spatial, voxel
+from tessera.operators import boxes, graph, spatial, voxel
 from tessera.plans import saves
 
 
@@ -126,3 +126,32 @@ def test_cells_of_copies_are_linked_once(spark):
     n, moved = shuffled(spark, layout.adjacent_components(cells, ["tile"]))
     got = {r["id"]: r["component"] for r in layout.adjacent_components(cells, ["tile"]).collect()}
     assert n == 4500 and moved < 1_000_000 and got == {i: i if i % 3 == 2 else 0 for i in range(4500)}
+
+
+def test_components_links_shrink_from_round_to_round(spark, monkeypatch):
+    """A grid without a third of its links, its nodes numbered at random, and a chain that winds: nodes that are not ends are not read again."""
+    rng, side = random.Random(2), 60
+    name = [*range(side * side)]
+    rng.shuffle(name)
+    edges = [(name[k], name[k + d]) for k in range(side * side) for d in (1, side) if k + d < side * side and (d > 1 or (k + 1) % side) and rng.random() < 0.66]
+    edges += [(10_000 + k, 10_001 + k) for k in range(500)] + [(7, 7), (90_000, 90_000)]
+    root = {n: n for e in edges for n in e}
+
+    def find(n):
+        while root[n] != n:
+            root[n] = n = root[root[n]]
+        return n
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    rows, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.extend([out.count()] * (out.columns == ["a", "b"]))
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {n: find(n) for n in root} and got.count() == len(root)
+    assert rows[0] <= len(edges) and rows[-1] == 0 and sum(rows[1:]) < rows[0]
