@@ -30,7 +30,7 @@ def _table(fields: str, decoder: Callable[..., Iterable[dict]]):
             for row in decode.attempts(decoder, (data,), names):
                 yield tuple(row.values())
 
-    return udtf(Decoded, returnType=f"{fields}, reject_reason string", useArrow=True)
+    return udtf(Decoded, returnType=f"{fields}, reject_reason string", useArrow=False)
 
 
 def value_nodes(blob: bytes) -> Iterable[dict]:
