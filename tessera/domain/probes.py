@@ -132,7 +132,7 @@ def block_starts(data: bytes, most: int = 96, want: int = 17**3) -> Iterator[dic
     """BLOCK for each of the first offsets where a block begins that makes so many voxels, whatever follows it."""
     for at in range(min(most + 1, len(data))):
         try:
-            out, used = codecs.lz4_prefix(data[at:], want)
+            out, used = codecs.lz4_prefix(data, want, at)
         except codecs.Reject:
             continue
         v = np.frombuffer(out, np.uint8)

@@ -19,3 +19,24 @@ from tessera.sources import codecs, decode
 def test_table_functions_hand_rows_over_without_a_frame_for_each_record():
     made = surface._table(decode.CHUNK, codecs.tile_chunks)
     assert made.evalType == PythonEvalType.SQL_TABLE_UDF
+
+
+class Counted(bytes):
+    reads = 0
+
+    def __getitem__(self, k):
+        Counted.reads += 1
+        got = super().__getitem__(k)
+        return Counted(got) if isinstance(k, slice) else got
+
+
+def test_bytes_that_begin_no_block_are_left_at_once():
+    block = W.lz4(bytes([195]) * 17**3)
+    for data, want in ((bytes(4000), []), (b"\x01" * 4000, []), (b"\xff\xff" + block + b"tail", [(2, len(block))])):
+        Counted.reads = 0
+        assert [(r["offset"], r["packed"]) for r in probes.block_starts(Counted(data))] == want
+        assert Counted.reads < 97 * 40
+    with pytest.raises(codecs.Reject, match="lz4:bad offset"):
+        codecs.lz4_prefix(b"\x10a\x02\x00\x00", 6)
+    packed = pa.compress(b"abcd" * 50, codec="lz4_raw", asbytes=True)
+    assert codecs.lz4_prefix(b"??" + packed + b"!", 200, 2) == (b"abcd" * 50, len(packed))
