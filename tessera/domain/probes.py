@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..sources import codecs
 
+from ..sources.decode import slices
 
 def unsigned(data: Column, at: Column, size: int, little: Column | None = None) -> Column:
     """An unsigned integer of so many bytes; null where the data end before it."""
@@ -147,7 +148,7 @@ def lz4_starts(blobs: DataFrame, most: int = 96, want: int = 17**3) -> DataFrame
     schema = pa.schema([("id", pa.int64()), ("offset", pa.int32()), ("packed", pa.int32()), ("sha256", pa.string()), ("dense", pa.int64()), ("materials", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [{"id": i} | x for i, data in zip(b.column("id").to_pylist(), b.column("data").to_pylist()) for x in block_starts(data or b"", most, want)]
             yield pa.RecordBatch.from_pylist(rows, schema)
 

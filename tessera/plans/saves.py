@@ -24,7 +24,7 @@ def records(df: DataFrame, build: Callable[..., bytes], inputs: list[str], name:
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], f"{name} binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in decode.slices(batches):
             made = pa.array([build(*row) for row in zip(*(b.column(c).to_pylist() for c in inputs))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, name])
 

@@ -20,6 +20,17 @@ from . import codecs
 BATCH = 4096
 
 
+#: Rows and bytes of a batch that become Python objects at once.
+SLICE, SLICE_BYTES = 256, 1 << 22
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts: Spark bounds a batch's rows, not what each of them holds or becomes."""
+    for b in batches:
+        n = max(1, min(SLICE, b.num_rows * SLICE_BYTES // max(1, b.nbytes)))
+        yield from (b.slice(at, n) for at in range(0, b.num_rows, n))
+
+
 def attempts(decode: Callable[..., Iterable[dict]], values: tuple, names: list[str]) -> Iterator[dict]:
     """What decode yields for the values, by the names and with reject_reason; where they are rejected a row that has the reason alone."""
     none = dict.fromkeys(names)
@@ -49,7 +60,7 @@ def decoded(df: DataFrame, keep: list[str], fields: str, decode: Callable[..., I
                 yield {k: r[k] for k in keep} | x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             some = rows(b)
             while out := [*itertools.islice(some, BATCH)]:
                 yield pa.RecordBatch.from_pylist(out, arrow)

@@ -40,3 +40,11 @@ def test_bytes_that_begin_no_block_are_left_at_once():
         codecs.lz4_prefix(b"\x10a\x02\x00\x00", 6)
     packed = pa.compress(b"abcd" * 50, codec="lz4_raw", asbytes=True)
     assert codecs.lz4_prefix(b"??" + packed + b"!", 200, 2) == (b"abcd" * 50, len(packed))
+
+
+def test_a_batch_becomes_objects_in_bounded_parts():
+    batch = pa.RecordBatch.from_pydict({"id": [*range(5000)], "data": [bytes(5000)] * 5000})
+    parts = [*decode.slices([batch])]
+    assert max(p.num_rows for p in parts) <= decode.SLICE and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    large = pa.RecordBatch.from_pydict({"data": [bytes(1 << 20)] * 20})
+    assert max(p.num_rows for p in decode.slices([large])) <= 4 and sum(p.num_rows for p in decode.slices([large, batch, large.slice(0, 0)])) == 5020
