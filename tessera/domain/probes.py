@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
@@ -15,9 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..sources import codecs
-
 from ..sources.decode import slices
 
+
 def unsigned(data: Column, at: Column, size: int, little: Column | None = None) -> Column:
     """An unsigned integer of so many bytes; null where the data end before it."""
     part = F.substring(data, at + 1, F.lit(size))
@@ -393,17 +394,24 @@ def face_places() -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def densities(body: bytes, places: np.ndarray, start: int, order: str) -> np.ndarray:
-    """Values of six bits at the places of a stream that begins at a bit; -1 where the stream ends before one does."""
-    bits = np.unpackbits(np.frombuffer(body, np.uint8), bitorder="big" if order == "msb" else "little").astype(np.int64)
-    first = start + places * DENSITY_BITS
-    ok = first + DENSITY_BITS <= len(bits)
-    out = np.full(len(places), -1)
-    if ok.any():
-        v = bits[first[ok][:, None] + np.arange(DENSITY_BITS)]
-        weight = 1 << np.arange(DENSITY_BITS)
-        out[ok] = v @ (weight[::-1] if order == "msb" else weight)
-    return out
+#: Pairs of different bodies that are read at once.
+PAIRS = 256
+
+
+class Streams:
+    """Bodies as rows of bytes, with room for every place under every reading."""
+
+    def __init__(self, bodies: list[bytes], most_byte: int):
+        width = (SIDE**3 * DENSITY_BITS + 7) // 8 + most_byte + 2
+        self.bits = np.array([[8 * len(x)] for x in bodies])
+        self.raw = np.frombuffer(b"".join(x[:width].ljust(width, b"\0") for x in bodies), np.uint8).reshape(len(bodies), width)
+
+    def densities(self, places: np.ndarray, start: int, order: str) -> np.ndarray:
+        """Values of six bits at the places of each stream that begins at a bit; -1 where the stream ends before one does."""
+        first = start + places * DENSITY_BITS
+        one, two = (self.raw[:, first // 8 + k].astype(np.int64) for k in (0, 1))
+        v = (one << 8 | two) >> 16 - DENSITY_BITS - first % 8 if order == "msb" else (one | two << 8) >> first % 8
+        return np.where(first + DENSITY_BITS <= self.bits, v & (1 << DENSITY_BITS) - 1, -1)
 
 
 SCORES = "face_pairs long, samples long, exact long, active long, active_exact long, observed long, observed_exact long, observed_active long, observed_active_exact long, error long, active_error long, observed_error long, observed_active_error long"
@@ -417,20 +425,26 @@ def density_scan(voxels: DataFrame, most_byte: int = 4) -> DataFrame:
     where = face_places()
 
     def each(b: pa.RecordBatch) -> Iterator[dict]:
-        rows = [*zip(*(b.column(c).to_pylist() for c in ("mode", "axis", "body", "other")))]
-        for byte, bit, order in itertools.product(range(most_byte + 1), range(DENSITY_BITS), ("msb", "lsb")):
-            sums: dict = {}
-            for mode, axis, body, other in rows:
-                a, c = densities(body, where[axis][0], byte * 8 + bit, order), densities(other, where[axis][1], byte * 8 + bit, order)
-                seen = (a >= 0) & (c >= 0)
-                for fill in (0, (1 << DENSITY_BITS) - 1):
-                    l, r = np.where(a < 0, fill, a), np.where(c < 0, fill, c)
-                    e, same, active = np.abs(l - r), l == r, (l != 0) | (r != 0)
-                    both = seen & active
-                    got = [1, len(e), same.sum(), active.sum(), (active & same).sum(), seen.sum(), (seen & same).sum(), both.sum(), (both & same).sum(), e.sum(), e[active].sum(), e[seen].sum(), e[both].sum()]
-                    sums[mode, fill] = np.array(got) + sums.get((mode, fill), 0)
-            for (mode, fill), v in sums.items():
-                yield {"mode": mode, "byte_offset": byte, "bit_offset": bit, "bit_order": order, "fill": fill} | dict(zip((x.split()[0] for x in SCORES.split(", ")), v.tolist()))
+        different: Counter = Counter()
+        for part in slices([b]):
+            different.update(zip(*(part.column(c).to_pylist() for c in ("mode", "axis", "body", "other"))))
+        sums: dict = {}
+        for (mode, axis), own in itertools.groupby(sorted(different.items()), lambda x: x[0][:2]):
+            while some := [*itertools.islice(own, PAIRS)]:
+                left, right = (Streams([x[0][k] for x in some], most_byte) for k in (2, 3))
+                times = np.array([n for _, n in some])
+                for byte, bit, order in itertools.product(range(most_byte + 1), range(DENSITY_BITS), ("msb", "lsb")):
+                    a, c = left.densities(where[axis][0], byte * 8 + bit, order), right.densities(where[axis][1], byte * 8 + bit, order)
+                    seen = (a >= 0) & (c >= 0)
+                    for fill in (0, (1 << DENSITY_BITS) - 1):
+                        l, r = np.where(a < 0, fill, a), np.where(c < 0, fill, c)
+                        e, same, active = np.abs(l - r), l == r, (l != 0) | (r != 0)
+                        both, every = seen & active, np.ones_like(seen)
+                        got = [times.sum(), *[x.sum(1) @ times for x in (every, same, active, active & same, seen, seen & same, both, both & same, e, e * active, e * seen, e * both)]]
+                        key = mode, byte, bit, order, fill
+                        sums[key] = np.array(got) + sums.get(key, 0)
+        for key, v in sums.items():
+            yield dict(zip(("mode", "byte_offset", "bit_offset", "bit_order", "fill"), key)) | dict(zip((x.split()[0] for x in SCORES.split(", ")), v.tolist()))
 
     found = summed(neighbours(voxels).drop("id"), "mode string, byte_offset int, bit_offset int, bit_order string, fill int", SCORES, each)
     share = lambda a, b: F.coalesce(F.col(a) / F.nullif(b, F.lit(0)), F.lit(0.0))

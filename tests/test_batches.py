@@ -48,3 +48,21 @@ def test_a_batch_becomes_objects_in_bounded_parts():
     assert max(p.num_rows for p in parts) <= decode.SLICE and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
     large = pa.RecordBatch.from_pydict({"data": [bytes(1 << 20)] * 20})
     assert max(p.num_rows for p in decode.slices([large])) <= 4 and sum(p.num_rows for p in decode.slices([large, batch, large.slice(0, 0)])) == 5020
+
+
+def test_densities_of_many_bodies_are_read_at_once(spark):
+    rng = random.Random(4)
+    bodies = [rng.randbytes(n) for n in (0, 1, 3, 40, 900, 3685, 3686, 5000)]
+    places, streams = np.array([0, 1, 2, 7, 50, 1199, 4900, 4912]), probes.Streams(bodies, 4)
+    for start, order in itertools.product(range(38), ("msb", "lsb")):
+        for body, got in zip(bodies, streams.densities(places, start, order)):
+            bits = [byte >> (7 - k if order == "msb" else k) & 1 for byte in body for k in range(8)]
+            for p, v in zip(places, got):
+                own = bits[start + 6 * p : start + 6 * p + 6]
+                assert v == (sum(x << (5 - k if order == "msb" else k) for k, x in enumerate(own)) if len(own) == 6 else -1)
+    p = spark.range(1204).select("id", F.lit(1).alias("worldId"), F.lit(None).cast("string").alias("reject_reason"), F.floor(F.col("id") / 4).cast("int").alias("chunk_x"), F.lit(0).alias("chunk_y"), (F.col("id") % 4 * 9).cast("int").alias("chunk_z"))
+    frame = lambda b: F.lit(b"\x04" + len(b).to_bytes(2, "big") + b)
+    p = p.withColumn("payload", F.when(F.col("chunk_x") % 2 == 0, frame(bodies[4])).otherwise(frame(bodies[5])))
+    many, one = (probes.density_scan(x, 0).drop("error").orderBy("bit_offset", "bit_order", "fill").collect() for x in (p, p.filter("chunk_x < 3 and chunk_z = 0")))
+    assert len(many) == 24 and [r["face_pairs"] for r in one] == [2] * 24 and [r["face_pairs"] for r in many] == [1200] * 24
+    assert all(a["samples"] == 600 * b["samples"] and a["exact"] == 600 * b["exact"] and a["active_error"] == 600 * b["active_error"] for a, b in zip(many, one))
