@@ -147,9 +147,36 @@ CHUNK = "cell int, cell_x int, cell_y int, kind string, level int, count int, in
 OBJECT = "kind string, cell int, number int, x double, y double, z double, rotation array<double>, scale array<double>, uuid_hex string, tail_hex string"
 
 
+#: Cells whose directories are read at once; each has 26 chunks.
+CELLS = 1024
+
+
 def tile_chunks(files: DataFrame) -> DataFrame:
-    """files: path, content, as format "binaryFile" reads them."""
-    return decoded(files, ["path"], CHUNK, codecs.tile_chunks, ["content"])
+    """files: path, content, as format "binaryFile" reads them. As decoded would with codecs.tile_chunks; the directories of many cells are read at once."""
+    schema = StructType([*files.select("path").schema, *StructType.fromDDL(f"{CHUNK}, reject_reason string")])
+    arrow = to_arrow_schema(schema)
+
+    def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+        for path, data in zip(b.column("path"), b.column("content")):
+            for r in attempts(codecs.tile_directories, (data.as_py(),), ["cell", "width", "ints", "size"]):
+                yield path, *r.values()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = rows(b)
+            while part := [*itertools.islice(some, CELLS)]:
+                sound, bad = [r for r in part if r[5] is None], [r for r in part if r[5] is not None]
+                if sound:
+                    path, cell, width, ints, size, _ = zip(*sound)
+                    columns = codecs.directory_columns(*map(np.array, (cell, width, ints, size)))
+                    at = np.repeat(np.arange(len(path)), len(codecs.CHUNKS))
+                    arrays = [pa.array(path, arrow[0].type).take(pa.array(at)), *[x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, [*arrow][1:-1])], pa.nulls(len(at), pa.string())]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+                if bad:
+                    none = [pa.nulls(len(bad), f.type) for f in [*arrow][1:-1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in bad], arrow[0].type), *none, pa.array([r[5] for r in bad], pa.string())], schema=arrow)
+
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def tile_objects(files: DataFrame) -> DataFrame:

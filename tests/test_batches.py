@@ -66,3 +66,16 @@ def test_densities_of_many_bodies_are_read_at_once(spark):
     many, one = (probes.density_scan(x, 0).drop("error").orderBy("bit_offset", "bit_order", "fill").collect() for x in (p, p.filter("chunk_x < 3 and chunk_z = 0")))
     assert len(many) == 24 and [r["face_pairs"] for r in one] == [2] * 24 and [r["face_pairs"] for r in many] == [1200] * 24
     assert all(a["samples"] == 600 * b["samples"] and a["exact"] == 600 * b["exact"] and a["active_error"] == 600 * b["active_error"] for a, b in zip(many, one))
+
+
+def test_directories_of_many_cells_are_read_at_once(spark):
+    cell = {"harvestable": (2, W.objects_body([(1.0, 2.0, 3.0)] * 2)), "voxel_terrain": (1, W.blocks_body([((0, 0, 1), bytes(4096))]))}
+    whole = W.tile_of([{}, cell, cell, {}], 2)
+    cells = [*codecs.tile_directories(whole)]
+    got = codecs.directory_columns(*(np.array([c[k] for c in cells]) for k in ("cell", "width", "ints", "size")))
+    assert [*zip(*(x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in got))] == [tuple(r.values()) for r in codecs.tile_chunks(whole)]
+    head = codecs.TILE_HEAD.size + 2 * codecs.CELL_INTS * 4  # two of four cells are there
+    files = spark.createDataFrame([("t", whole), ("cut", whole[:head]), ("end", whole[:-9]), ("short", b"TILE"), ("none", None), (None, b"\0" * 99)], "path string, content binary")
+    want = decode.decoded(files, ["path"], decode.CHUNK, codecs.tile_chunks, ["content"])
+    found = decode.tile_chunks(files)
+    assert found.schema == want.schema and sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == (4 + 2 + 4) * 26 + 4
