@@ -19,8 +19,12 @@ from ..sources import decode
 UNRESOLVED = 65535
 
 
+#: Shares of a core in the rows that become records.
+SHARES = 2
+
+
 def records(df: DataFrame, build: Callable[..., bytes], inputs: list[str], name: str = "data") -> DataFrame:
-    """df with the bytes that build makes of each row."""
+    """df with the bytes that build makes of each row. Rows are few bytes and records many, so rows are dealt out to all cores first."""
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], f"{name} binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,7 +32,7 @@ def records(df: DataFrame, build: Callable[..., bytes], inputs: list[str], name:
             made = pa.array([build(*row) for row in zip(*(b.column(c).to_pylist() for c in inputs))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, name])
 
-    return df.mapInArrow(run, ddl)
+    return df.repartition(SHARES * df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, ddl)
 
 
 KINDS = ["Overworld", "DungeonWorld", "WarehouseWorld", "UndergroundWorldDeep", "CreativeWorld"]

@@ -79,3 +79,10 @@ def test_directories_of_many_cells_are_read_at_once(spark):
     want = decode.decoded(files, ["path"], decode.CHUNK, codecs.tile_chunks, ["content"])
     found = decode.tile_chunks(files)
     assert found.schema == want.schema and sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == (4 + 2 + 4) * 26 + 4
+
+
+def test_rows_that_become_records_are_dealt_out(spark):
+    few = spark.range(100).coalesce(1)
+    made = saves.records(few, lambda k: bytes([k]) * 10, ["id"])
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {(r["id"], bytes(r["data"])) for r in made.collect()} == {(k, bytes([k]) * 10) for k in range(100)}
