@@ -86,3 +86,13 @@ def test_rows_that_become_records_are_dealt_out(spark):
     made = saves.records(few, lambda k: bytes([k]) * 10, ["id"])
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert {(r["id"], bytes(r["data"])) for r in made.collect()} == {(k, bytes([k]) * 10) for k in range(100)}
+
+
+def test_records_of_a_batch_are_not_held_together(spark):
+    def build(k):
+        with open("/proc/self/statm") as f:
+            return f.read().split()[1].encode().ljust(200_000)
+
+    made = saves.records(spark.range(3000).coalesce(1), build, ["id"])
+    pages = made.agg(F.max(F.expr("cast(trim(cast(substring(data, 1, 20) as string)) as long)"))).first()[0]
+    assert pages * 4096 < 450e6
