@@ -150,8 +150,9 @@ def sample(raw: np.ndarray, written: np.ndarray, x: float, y: float, z: float) -
 def once(blocks: DataFrame, other: DataFrame | None, solve: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
     """What solve(blocks, other) says of each tile, where tiles with the same blocks (by SHA-256) and the same rows of the other table are solved once, as
     the least of them, and the answer is joined to all. blocks: tile, bx, by, bz, data; the answer has a column tile and may depend on no tile's name."""
-    block = F.struct("bx", "by", "bz", F.sha2("data", 256).alias("data"))
-    parts = blocks.groupBy("tile").agg(F.sort_array(F.collect_list(block)).alias("_blocks"))
+    # Digests are taken before rows are gathered: a group's lists fall back on sorting whole rows, which would hold and spill all voxels.
+    hashed = blocks.select("tile", F.struct("bx", "by", "bz", F.sha2("data", 256).alias("data")).alias("_block"))
+    parts = hashed.groupBy("tile").agg(F.sort_array(F.collect_list("_block")).alias("_blocks"))
     if other is not None:
         rows = other.groupBy(F.col("tile").alias("_tile")).agg(F.sort_array(F.collect_list(F.struct(*[c for c in other.columns if c != "tile"]))).alias("_rows"))
         parts = rows.join(parts, F.col("tile").eqNullSafe(F.col("_tile")), "left").select(F.col("_tile").alias("tile"), "_blocks", "_rows")

@@ -69,6 +69,21 @@ def test_equal_tiles_are_solved_once(spark):
     assert near == {str(t): 0.0 if t % 2 else None for t in range(60)} | {None: 0.5, "no blocks": None}
 
 
+def test_voxels_are_digested_before_tiles_are_gathered(spark, monkeypatch):
+    """Lists of more groups than a few are made by sorting whole rows: these may hold digests, not voxels."""
+    cut, plans = voxel.cut, []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(voxel, "cut", kept)
+    blocks = spark.createDataFrame([(str(t), 0, 0, 0, bytes([t])) for t in range(3)], "tile string, bx int, by int, bz int, data binary")
+    assert voxel.once(blocks, None, lambda b, _: b.select("tile")).count() == 3
+    gathered = [line for line in plans[0].splitlines() if "Aggregate" in line]
+    assert gathered and not [line for line in gathered if "sha2(data" in line]
+
+
 def test_held_out_tangents_of_copies_meet_once_a_place(spark):
     at = {"lane": F.col("index") % 2, "x": F.floor(F.col("index") % 4 / 2) * 0.5, "y": F.lit(0.0), "z": F.col("index") % 4, "nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)}
     hits = spark.range(40_000).withColumnRenamed("id", "index").select("index", *[c.cast("double").alias(n) for n, c in at.items()])
