@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, relational, series, spatial
+from tessera.operators import graph, grid, relational, series, spatial
 from tessera.operators.search import interleaved, search, terms
 from tessera.plans import graphs
 
@@ -170,6 +170,37 @@ def test_assignment_pairs_all_values_within_the_tolerance(spark):
     assert rows(graphs.greedy_assignment(lambda name: df, spark), "l", "r") == sorted(want) and {(100, 101), (102, 103)} < {*want}
 
 
+def greedy(left, right, tolerance):
+    """(l, r) by brute force, in the order of (d, l, r)."""
+    used, out = set(), []
+    for _, l, r in sorted((abs(v - w), l, r) for l, v in left for r, w in right if abs(v - w) <= tolerance):
+        if ("l", l) not in used and ("r", r) not in used:
+            used |= {("l", l), ("r", r)}
+            out.append((l, r))
+    return sorted(out)
+
+
+def test_tied_places_are_matched_together(spark, monkeypatch):
+    """Places as near to two others, of many points each: rounds do not grow with the points."""
+    pairs, calls = grid.Plan.pairs, []
+    monkeypatch.setattr(grid.Plan, "pairs", lambda self, l, r: calls.append(1) or pairs(self, l, r))
+    left = [(k * 7 % 31, 0.0) for k in range(24)] + [(40 + k, 0.5) for k in range(5)]
+    right = [(k * 5 % 37, (-0.25, 0.25)[k % 2]) for k in range(30)]
+    points = lambda rows: spark.createDataFrame(rows, "id long, value double")
+    got = grid.nearest_matching(points(left), points(right), ["value"], 0.5)
+    assert rows(got, "l", "r") == greedy(left, right, 0.5) and len(calls) <= 8
+
+
+@pytest.mark.parametrize("seed, most", [(1, None), (2, 3)])
+def test_tied_places_match_brute_force(spark, seed, most):
+    """On a lattice most distances are tied, and some places wait for nearer ones; also where a group is taken in parts."""
+    rng = random.Random(seed)
+    ids = rng.sample(range(1000), 160)
+    sides = [[(i, rng.randrange(16) * 0.125 + rng.choice([0, 0, 0.0625])) for i in ids[s::2]] for s in (0, 1)]
+    points = lambda rows: spark.createDataFrame(rows, "id long, value double")
+    assert rows(grid.nearest_matching(points(sides[0]), points(sides[1]), ["value"], 0.3, most=most), "l", "r") == greedy(*sides, 0.3)
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "Red Cave", "a"), (2, "red pocket", "b"), (3, "blue cave", "a")], "i int, t string, g string")
     assert rows(search(df, " RED  ca", F.col("t")), "i") == [(1,)]
