@@ -104,3 +104,9 @@ def tunnel_lengths(points: DataFrame) -> DataFrame:
     w = Window.partitionBy("row_id", "tunnel_id").orderBy("ord")
     step = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in "xyz"), F.lit(0.0)))
     return points.withColumn("_s", step).groupBy("worldId", "row_id", "tunnel_id", "tunnel_type").agg(F.count("*").alias("points"), F.sum("_s").alias("length"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))])
+
+
+def whole_tunnels(parts: DataFrame) -> DataFrame:
+    """Lengths of tunnels whose points lie in several rows, each of which begins with the last point of the one before."""
+    ends = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]
+    return parts.groupBy("worldId", "tunnel_id", "tunnel_type").agg((F.sum("points") - F.count("*") + 1).alias("points"), F.sum("length").alias("length"), *ends)

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import SQL, query
@@ -280,18 +280,32 @@ def tile_usage(table, spark):
 LINES = "SELECT user_id AS tunnel_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS ord, value::FLOAT::DOUBLE AS x, (event_id % 100)::DOUBLE AS y, (event_id % 7)::DOUBLE AS z FROM events"
 
 
-def tunnel_nodes(table) -> DataFrame:
-    """One script record for each user, whose events are the points of a tunnel."""
-    e = table("events").select("user_id", "ts", "event_id", F.col("value").cast("float").alias("v"))
-    g = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "v"))).alias("p"))
-    g = g.select("user_id", (F.col("user_id") % 16).cast("int").alias("worldId"), F.transform("p", lambda x: F.struct(x["event_id"].alias("e"), x["v"].alias("v"))).alias("p"))
+#: Points of a tunnel that one record holds at most, without the one that it takes over from the record before.
+POINTS = 1000
+
+
+def tunnel_records(table) -> DataFrame:
+    """Script records of users, whose events are the points of a tunnel: a record for each POINTS of them, which begins with the last point of the one
+    before, so that no step is lost between records. The user's number is the row's upper half, as a value's keys have 32 bits."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table("events").select("user_id", "event_id", F.col("value").cast("float").alias("v"), F.row_number().over(order).alias("k"))
+    last = F.floor((F.col("k") - 1) / POINTS).cast("int")
+    e = e.withColumn("part", F.explode(F.when(F.col("k") % POINTS == 0, F.array(last, last + 1)).otherwise(F.array(last))))
+    g = e.groupBy("user_id", "part").agg(F.sort_array(F.collect_list(F.struct("k", "event_id", "v"))).alias("p"))
+    g = g.select("user_id", (F.col("user_id") % 16).cast("int").alias("worldId"), "part", *[F.col(f"p.{c}").alias(c) for c in ("k", "event_id", "v")])
 
-    def script(world: int, user: int, points: list[dict]) -> bytes:
-        line = {"tunnelType": ("TtDefault", "MainVein", "Odd")[user % 3], "positions": {k + 1: (x["v"], float(x["e"] % 100), float(x["e"] % 7)) for k, x in enumerate(points)}}
+    def script(world: int, user: int, k: list[int], events: list[int], v: list[float]) -> bytes:
+        line = {"tunnelType": ("TtDefault", "MainVein", "Odd")[user % 3], "positions": {n: (x, float(e % 100), float(e % 7)) for n, e, x in zip(k, events, v)}}
         return W.script(world, {"tunnels": {user: line}})
 
-    made = records(g, script, ["worldId", "user_id", "p"]).select("worldId", F.col("user_id").cast("long").alias("row_id"), "data")
-    return sound(decode.lua_nodes(made))
+    row = F.shiftleft(F.col("user_id").cast("long"), 32) + F.col("part")
+    return records(g, script, ["worldId", "user_id", "k", "event_id", "v"]).select("worldId", row.alias("row_id"), "data")
+
+
+def tunnel_nodes(table) -> DataFrame:
+    from ..operators.graph import cut
+
+    return cut(sound(decode.lua_nodes(tunnel_records(table))))
 
 
 @query(f"""WITH p AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2) AS s FROM ({LINES}) WINDOW w AS (PARTITION BY tunnel_id ORDER BY ord))
@@ -300,7 +314,7 @@ def saved_tunnels(table, spark):
     """Tunnels out of a value tree: points in order, length, bounds, and what kind of way they are."""
     from ..domain.regions import tunnel_role
 
-    t = underground.tunnel_lengths(underground.tunnels(tunnel_nodes(table)))
+    t = underground.whole_tunnels(underground.tunnel_lengths(underground.tunnels(tunnel_nodes(table))))
     return t.select("tunnel_id", tunnel_role(F.col("tunnel_type")).alias("role"), "points", F.round("length", 3).alias("length"), "min_x", "max_y")
 
 
@@ -309,8 +323,6 @@ def saved_tunnels(table, spark):
     SELECT tunnel_id, round(px + (x - px) * (total / 2 - (t - s)) / s, 4) AS x, round(py + (y - py) * (total / 2 - (t - s)) / s, 4) AS y FROM r WHERE s > 0 AND t >= total / 2 QUALIFY row_number() OVER (PARTITION BY tunnel_id ORDER BY ord) = 1""")
 def line_midpoints(table, spark):
     """Points at half the length of each user's line, between two of its points."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table("events").select(F.col("user_id").alias("tunnel_id"), F.row_number().over(w).alias("ord"), F.col("value").cast("float").cast("double").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
     m = interpolated_midpoint(e, ["tunnel_id"], "ord", ["x", "y"])

@@ -1,6 +1,7 @@
 """What a batch becomes in Python: bounded parts of it, few steps for each record, rows spread over all cores."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -96,3 +97,18 @@ def test_records_of_a_batch_are_not_held_together(spark):
     made = saves.records(spark.range(3000).coalesce(1), build, ["id"])
     pages = made.agg(F.max(F.expr("cast(trim(cast(substring(data, 1, 20) as string)) as long)"))).first()[0]
     assert pages * 4096 < 450e6
+
+
+def test_tunnels_of_many_points_are_records_of_bounded_size(spark):
+    """One user's points may be all of a table's: a record holds a part of them, and no step between parts is lost or counted twice."""
+    sizes = [1, 2, 1000, 1001, 2500]
+    points = [(user, e, float(e * 7 % 31)) for user, n in enumerate(sizes) for e in range(n)]
+    events = spark.createDataFrame([(u, 10_000 * u + e, -e, v) for u, e, v in points], "user_id long, event_id long, ts long, value double").repartition(4)
+    held = saves.tunnel_nodes(lambda _: events).groupBy("row_id").count().agg(F.max("count")).first()[0]
+    assert held <= 1010
+    got = {r["tunnel_id"]: r for r in saves.saved_tunnels(lambda _: events, spark).collect()}
+    assert {u: r["points"] for u, r in got.items()} == {u: n for u, n in enumerate(sizes) if n > 1}
+    for u, r in got.items():
+        way = [(v, float(e % 100), float((10_000 * u + e) % 7)) for w, e, v in reversed(points) if w == u]
+        assert abs(r["length"] - sum(math.dist(p, q) for p, q in zip(way, way[1:]))) < 0.002
+        assert r["min_x"] == min(p[0] for p in way) and r["max_y"] == max(p[1] for p in way)
