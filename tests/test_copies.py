@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.domain import caverns, ground, layout, regions
 from tessera.operators import boxes, graph, spatial, voxel
-from tessera.plans import saves
+from tessera.plans import measurements, saves
 
 
 def shuffled(spark, df):
@@ -84,6 +84,14 @@ def test_voxels_are_digested_before_tiles_are_gathered(spark, monkeypatch):
     assert gathered and not [line for line in gathered if "sha2(data" in line]
 
 
+def test_blocks_of_rows_are_made_without_python(spark):
+    """Blocks are a thousand times what their rows are: they may not travel to Python and back before most of them are found to be equal."""
+    part = spark.createDataFrame([(k, k) for k in range(1, 51)], "p_partkey long, p_size int")
+    blocks = measurements.room_blocks(lambda _: part)
+    assert {(r["tile"], bytes(r["data"])) for r in blocks.collect()} == {(str(k), (bytes([8]) * (k % 10 + 1) + bytes(15 - k % 10)) * 256) for k in range(1, 51)}
+    assert "MapInArrow" not in blocks._jdf.queryExecution().optimizedPlan().toString() and blocks.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_held_out_tangents_of_copies_meet_once_a_place(spark):
     at = {"lane": F.col("index") % 2, "x": F.floor(F.col("index") % 4 / 2) * 0.5, "y": F.lit(0.0), "z": F.col("index") % 4, "nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)}
     hits = spark.range(40_000).withColumnRenamed("id", "index").select("index", *[c.cast("double").alias(n) for n, c in at.items()])
