@@ -129,6 +129,19 @@ def test_nearest_matches_all_pairs_where_ids_are_elsewhere_and_twice(spark):
         assert sorted(map(tuple, spatial.nearest_within(df(l), df(r), "id", ["x", "y"], 1.5).collect())) == want
 
 
+def test_nearest_sorts_no_pairs(spark):
+    """Of 3,000 points at different places, with some 90 near each: no aggregate sorts the pairs, and all rows are those of all pairs."""
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(2000) / 100, rng.randrange(1000) / 100) for i in range(3000)]
+    p = spark.createDataFrame(rows, "id long, x double, y double")
+    got = spatial.nearest_within(p, p, "id", ["x", "y"], 1.5)
+    found = {r[0]: tuple(r[1:]) for r in got.collect()}
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    for i, x, y in rows[::10]:
+        near = [(d2, j) for j, u, v in rows if j != i and (d2 := (x - u) * (x - u) + (y - v) * (y - v)) <= 2.25]
+        assert found[i] == (min(near)[1], min(near)[0], len(near))
+
+
 def test_boxes_and_points_of_one_place_meet_once(spark):
     p = spark.range(3000).select(F.col("id").alias("point"), *[F.lit(0.5).alias(c) for c in "xyz"])
     b = spark.range(3000).select("id", F.lit("cave").alias("kind"), *[F.lit(float(c[1])).alias(c) for c in BOX])
