@@ -130,28 +130,54 @@ def nested_signatures(nodes: DataFrame, most: int = 20) -> DataFrame:
 BLOCK = "offset int, packed int, sha256 string, dense long, materials array<long>"
 
 
-def block_starts(data: bytes, most: int = 96, want: int = 17**3) -> Iterator[dict]:
-    """BLOCK for each of the first offsets where a block begins that makes so many voxels, whatever follows it."""
-    for at in range(min(most + 1, len(data))):
-        try:
-            out, used = codecs.lz4_prefix(data, want, at)
-        except codecs.Reject:
-            continue
-        v = np.frombuffer(out, np.uint8)
-        yield {"offset": at, "packed": used, "sha256": hashlib.sha256(out).hexdigest(), "dense": int((v & 63 > 0).sum()), "materials": np.bincount(v >> 6, minlength=4).tolist()}
-
-
-def lz4_starts(blobs: DataFrame, most: int = 96, want: int = 17**3) -> DataFrame:
-    """(id, offset, packed, sha256, dense, materials) for each offset of a blob (id, data) where a block begins that makes so many voxels, whatever
-    follows it: bytes it takes, digest, voxels whose low six bits are not zero, and how many have each value of the two high bits."""
-    if not 0 <= most <= 512:
-        raise ValueError("most must be between 0 and 512")
+#: Offsets of a record that are looked at together.
+STRETCH = 1 << 16
+
+
+def sound_starts(data: bytes, first: int, last: int, want: int) -> np.ndarray:
+    """Of the offsets from first to before last those whose first sequence may begin a block of so many voxels: its literals are all of them, or a
+    match follows that refers to them. All are judged at once, and only bytes that such a sequence can reach are read."""
+    raw = np.frombuffer(data, np.uint8, min(len(data), last + want + want // 255 + 8) - first, first)
+    end = len(raw)
+    at = np.arange(last - first)
+    n, after = (raw[: last - first] >> 4).astype(np.int64), at + 1
+    long = np.flatnonzero(n == 15)
+    if len(long):
+        stop = np.append(np.minimum.accumulate(np.where(raw == 255, end, np.arange(end))[::-1])[::-1], end)[after[long]]
+        n[long] = np.where(stop < end, 15 + 255 * (stop - after[long]) + raw[np.minimum(stop, end - 1)], want + 1)
+        after[long] = stop + 1
+    after = after + n
+    back = [raw[np.minimum(after + k, end - 1)].astype(np.int64) for k in (0, 1)]
+    back = back[0] | back[1] << 8
+    return first + np.flatnonzero((n == want) & (after <= end) | (n < want) & (after + 2 <= end) & (0 < back) & (back <= n))
+
+
+def block_starts(data: bytes, most: int | None = 96, want: int = 17**3) -> Iterator[dict]:
+    """BLOCK for each offset, up to the given one where there is one, where a block begins that makes so many voxels, whatever follows it."""
+    last = len(data) if most is None else min(most + 1, len(data))
+    for first in range(0, last, STRETCH):
+        for at in sound_starts(data, first, min(first + STRETCH, last), want).tolist():
+            try:
+                out, used = codecs.lz4_prefix(data, want, at)
+            except codecs.Reject:
+                continue
+            v = np.frombuffer(out, np.uint8)
+            yield {"offset": at, "packed": used, "sha256": hashlib.sha256(out).hexdigest(), "dense": int((v & 63 > 0).sum()), "materials": np.bincount(v >> 6, minlength=4).tolist()}
+
+
+def lz4_starts(blobs: DataFrame, most: int | None = 96, want: int = 17**3) -> DataFrame:
+    """(id, offset, packed, sha256, dense, materials) for each offset of a blob (id, data), none left out where most is None, where a block begins that
+    makes so many voxels, whatever follows it: bytes it takes, digest, voxels whose low six bits are not zero, and how many have each value of the
+    two high bits. Equal blobs of a part of a batch are searched once."""
+    if most is not None and not 0 <= most <= 512:
+        raise ValueError("most must be between 0 and 512, or None")
     schema = pa.schema([("id", pa.int64()), ("offset", pa.int32()), ("packed", pa.int32()), ("sha256", pa.string()), ("dense", pa.int64()), ("materials", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = [{"id": i} | x for i, data in zip(b.column("id").to_pylist(), b.column("data").to_pylist()) for x in block_starts(data or b"", most, want)]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            blob = b.column("data").to_pylist()
+            found = {data: [*block_starts(data or b"", most, want)] for data in set(blob)}
+            yield pa.RecordBatch.from_pylist([{"id": i} | x for i, data in zip(b.column("id").to_pylist(), blob) for x in found[data]], schema)
 
     return blobs.select(F.col("id").cast("long").alias("id"), "data").mapInArrow(run, f"id long, {BLOCK}")
 

@@ -264,7 +264,7 @@ def density_readings(table, spark):
 
 @query("""SELECT event_id % 4 AS id, 0 AS "offset", count(*) AS blobs, 4913::BIGINT - CASE WHEN event_id % 4 = 0 THEN 4913 ELSE 0 END AS dense FROM events GROUP BY event_id % 4""")
 def block_candidates(table, spark):
-    """Offsets at which a block of exactly one chunk's voxels begins."""
+    """Offsets at which a block of exactly one chunk's voxels begins; every offset of a record is looked at."""
     blob = records(table("events").select(F.col("event_id").alias("id")), lambda i: W.lz4(bytes([i % 4 * 65]) * 17**3), ["id"])
-    found = probes.lz4_starts(blob, 0)
+    found = probes.lz4_starts(blob, None)
     return found.groupBy((F.col("id") % 4).alias("id"), "offset").agg(F.count("*").alias("blobs"), F.max("dense").alias("dense"))

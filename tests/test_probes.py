@@ -8,6 +8,8 @@ import fixtures as X
 from pyspark.sql import functions as F
 
 from tessera.domain import probes as P
+from tessera.plans import measurements
+from tessera.sources import codecs
 
 
 def voxels(spark, payloads):
@@ -31,6 +33,32 @@ def test_lz4_starts(spark):
     assert (got[1, 3]["packed"], got[1, 3]["dense"], got[1, 3]["materials"]) == (6, 4, [0, 4, 1, 0])
 
 
+def test_lz4_starts_at_every_offset(spark):
+    """Blocks after the first 512 bytes, and across stretches, are found; what begins none is left out as by trying each offset."""
+    block = X.lz4(b"\x41\x80zzz")
+    df = spark.createDataFrame([(1, bytearray(b"\xff" * 700 + block + b"more")), (2, bytearray(bytes(P.STRETCH - 3) + block)), (3, bytearray(b"")), (4, None)], "id int, data binary")
+    assert [tuple(r) for r in P.lz4_starts(df, None, 5).select("id", "offset", "packed").orderBy("id", "offset").collect()] == [(1, 700, 6), (2, P.STRETCH - 3, 6)]
+    rng, lz = random.Random(7), lambda n: bytes(rng.choice([0, 1, 2, 3, 16, 31, 79, 240, 255, 255]) for _ in range(n))
+    for want in (5, 20, 300, 700):
+        for n in (0, 1, 2, 60, 900):
+            data, plain = lz(n), []
+            data += X.lz4(bytes(want)) + lz(n % 7)
+            for at in range(len(data)):
+                try:
+                    plain.append((at, codecs.lz4_prefix(data, want, at)[1]))
+                except codecs.Reject:
+                    pass
+            assert plain and [(r["offset"], r["packed"]) for r in P.block_starts(data, None, want)] == plain
+
+
+def test_the_planted_blocks_are_searched_whole(spark, monkeypatch):
+    seen, own = [], P.lz4_starts
+    monkeypatch.setattr(P, "lz4_starts", lambda blobs, *a: seen.append(a) or own(blobs, *a))
+    table = lambda name: spark.range(8).select(F.col("id").alias("event_id"))
+    got = measurements.block_candidates(table, spark).orderBy("id").collect()
+    assert seen == [(None,)] and [tuple(r) for r in got] == [(k, 0, 2, 4913 if k else 0) for k in range(4)]
+
+
 def test_the_planted_layout_ranks_first(spark):
     rows = [(x, y, bytearray(bytes(10) + struct.pack("<iii", z, y * 4 + 1, x * 4 + 2) + bytes(30))) for x, y, z in ((1, -3, 5), (7, 2, -9), (-4, 6, 60), (3, 9, 1))]
     best = P.layout_scan(spark.createDataFrame(rows, "x int, y int, data binary"), range(8, 16), (2, 4)).first()
