@@ -409,12 +409,13 @@ def neighbours(voxels: DataFrame) -> DataFrame:
     return met.select("mode", "axis", "id", "body", F.col("o.body").alias("other"))
 
 
-def face_places() -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Of each axis the voxels on the far face of one chunk and on the near face of the next; z is fastest, then y, then x."""
+def face_places(face: Iterable[int] = FACE) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each axis the voxels on the far face of one chunk and on the near face of the next, at the given places along either of its axes; z is fastest,
+    then y, then x."""
     at = lambda x, y, z: z + SIDE * y + SIDE * SIDE * x
     out = {}
     for k, axis in enumerate("xyz"):
-        two = [*itertools.product(FACE, FACE)]
+        two = [*itertools.product(face, repeat=2)]
         full = lambda edge: np.array([at(*(p[:k] + (edge,) + p[k:])) for p in two])  # noqa: B023, E731
         out[axis] = full(SIDE - 1), full(0)
     return out
@@ -443,12 +444,16 @@ class Streams:
 SCORES = "face_pairs long, samples long, exact long, active long, active_exact long, observed long, observed_exact long, observed_active long, observed_active_exact long, error long, active_error long, observed_error long, observed_active_error long"
 
 
-def density_scan(voxels: DataFrame, most_byte: int = 4) -> DataFrame:
+def density_scan(voxels: DataFrame, most_byte: int = 4, face: Iterable[int] = FACE) -> DataFrame:
     """Ranks readings of bodies as streams of six bits: by mode, byte and bit where they begin, order of bits, and what a voxel beyond the end
-    counts as. Two touching faces of neighbours should be equal; active samples are not zero on both sides, observed ones lie in both streams."""
+    counts as. Two touching faces of neighbours should be equal; active samples are not zero on both sides, observed ones lie in both streams. Faces are
+    sampled at the given places along either axis: every second one, or all of range(SIDE)."""
     if not 0 <= most_byte <= 16:
         raise ValueError("the byte offset must be between 0 and 16")
-    where = face_places()
+    face = sorted({*face})
+    if not face or not 0 <= face[0] <= face[-1] < SIDE:
+        raise ValueError("the places of a face must be between 0 and 16")
+    where = face_places(face)
 
     def each(b: pa.RecordBatch) -> Iterator[dict]:
         different: Counter = Counter()

@@ -255,10 +255,10 @@ def mask_readings(table, spark):
 
 
 @query("""WITH p AS (SELECT event_id AS id, event_id % 100 AS x, event_id // 100 AS y FROM events), s AS (SELECT a.id FROM p a JOIN p b ON (b.x = a.x + 1 AND b.y = a.y OR b.x = a.x AND b.y = a.y + 1) AND a.id % 2 = b.id % 2)
-    SELECT CASE WHEN id % 2 = 0 THEN '04' ELSE '05' END AS mode, count(*) AS face_pairs, count(*) * 81 AS samples FROM s GROUP BY 1""")
+    SELECT CASE WHEN id % 2 = 0 THEN '04' ELSE '05' END AS mode, count(*) AS face_pairs, count(*) * 289 AS samples FROM s GROUP BY 1""")
 def density_readings(table, spark):
-    """Faces of touching chunks under one reading as a stream of six bits."""
-    d = probes.density_scan(payloads(table), 0).filter("bit_offset = 5 and bit_order = 'msb' and fill = 0")
+    """Faces of touching chunks, every voxel of them, under one reading as a stream of six bits."""
+    d = probes.density_scan(payloads(table), 0, range(probes.SIDE)).filter("bit_offset = 5 and bit_order = 'msb' and fill = 0")
     return d.select("mode", "face_pairs", "samples")
 
 
