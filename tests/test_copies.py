@@ -129,6 +129,18 @@ def test_nearest_matches_all_pairs_where_ids_are_elsewhere_and_twice(spark):
         assert sorted(map(tuple, spatial.nearest_within(df(l), df(r), "id", ["x", "y"], 1.5).collect())) == want
 
 
+def test_lists_of_contacts_travel_once_a_pair_of_shapes(spark):
+    """40 shapes in a grid of two rows, all of the one touching all of the other, with 600 boxes each: 400 pairs of shapes of 4,800 bytes a list. Lists that
+    many shapes touch are dealt out in shares, and all pairs are there."""
+    k = F.col("id") % 40
+    low = (k % 2).cast("double")
+    boxes = spark.range(24_000).select("id", low.alias("x0"), (low + 1).alias("x1"), (-k / 100).alias("y0"), (k / 100 + 1).alias("y1"), F.lit(0.0).alias("z0"), F.lit(1.0).alias("z1"))
+    n, moved = shuffled(spark, spatial.face_contacts(boxes, size=4.0))
+    assert n == 400 * 600 * 600 and moved < 1_600_000
+    got = spatial.face_contacts(boxes.filter("id < 4000 and id % 40 < 4"), size=4.0).collect()
+    assert len({(r["a"], r["b"]) for r in got}) == len(got) == 4 * 100 * 100 and all(r["axis"] == "x" and r["a"] % 2 != r["b"] % 2 for r in got)
+
+
 def test_nearest_sorts_no_pairs(spark):
     """Of 3,000 points at different places, with some 90 near each: no aggregate sorts the pairs, and all rows are those of all pairs."""
     rng = random.Random(9)
