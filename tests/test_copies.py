@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.domain import caverns, ground, layout, regions
 from tessera.operators import boxes, graph, spatial, voxel
-from tessera.plans import measurements, saves
+from tessera.plans import geometry, measurements, saves
 
 
 def shuffled(spark, df):
@@ -154,6 +154,21 @@ def test_nearest_sorts_no_pairs(spark):
         assert found[i] == (min(near)[1], min(near)[0], len(near))
 
 
+def test_unambiguous_nearest_sorts_no_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(3), rng.randrange(2000) / 100) for i in range(300)]
+    table = lambda name: spark.createDataFrame(rows, "event_id long, user_id long, value double")
+    df = geometry.unambiguous_nearest(table, spark)
+    got = {r[0]: tuple(r[1:]) for r in df.collect()}
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    at, want = [(i, u % 50 * 10.0 + i % 100 / 10.0, y) for i, u, y in rows], {}
+    for i, x, y in at:
+        near = [(j, d2) for j, u, v in at if j != i and (d2 := (x - u) * (x - u) + (y - v) * (y - v)) <= 2.25]
+        if len(near) == 1:
+            want[i] = near[0]
+    assert want and got == want
+
+
 def test_boxes_and_points_of_one_place_meet_once(spark):
     p = spark.range(3000).select(F.col("id").alias("point"), *[F.lit(0.5).alias(c) for c in "xyz"])
     b = spark.range(3000).select("id", F.lit("cave").alias("kind"), *[F.lit(float(c[1])).alias(c) for c in BOX])
